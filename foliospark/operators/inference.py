@@ -108,7 +108,7 @@ def run_two_pass(
     orders: DataFrame,
     originals: DataFrame,
     folder: str,
-    run_id: str,
+    run_id: int,
     translate_fn: ModelFn,
     edit_fn: ModelFn,
     style: rq.RequestStyle = rq.WHOLE,

@@ -150,10 +150,11 @@ def payment_bodies(events: DataFrame) -> DataFrame:
     )
     body = F.to_json(event)
     broken = F.when(F.col("event_type") == "error", F.concat(body, F.lit(" trailing"))).otherwise(body)
-    delivery = F.explode(F.sequence(F.lit(0), (eid % 3).cast("int"))).alias("delivery")
-    return events.select("event_id", "ts", broken.alias("body"), delivery).select(
-        "body", F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("delivery") * 600).alias("delivered_at")
-    )
+    # The explode comes in a step of its own: next to it, struct fields would lose their names.
+    bodies = events.select(broken.alias("body"), "ts", F.sequence(F.lit(0), (eid % 3).cast("int")).alias("times"))
+    each = bodies.select("body", "ts", F.explode("times").alias("delivery"))
+    first = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return each.select("body", F.timestamp_seconds(first + F.col("delivery") * 600).alias("delivered_at"))
 
 
 def status_log(spark: SparkSession, d: str) -> DataFrame:

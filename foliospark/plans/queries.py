@@ -324,7 +324,7 @@ def stub_edit(batch: pd.DataFrame) -> list:
 def two_pass_inference(spark, d):
     orders = fx.order_inputs(spark, d, customers=True)
     files = inference.run_two_pass(
-        orders, fx.originals(spark, d), fresh_dir(spark, "inference"), "1", stub_translate, stub_edit
+        orders, fx.originals(spark, d), fresh_dir(spark, "inference"), 1, stub_translate, stub_edit
     )
     return files.select(
         "order_id", "language", digest("original_content").alias("translated_md5"),

@@ -16,18 +16,17 @@ def ensure(spark: SparkSession, folder: str, ddl: str, by: str = "run_id") -> No
     spark.createDataFrame([], ddl).write.mode("overwrite").parquet(f"{folder}/{by}=0")
 
 
-def write_run(rows: DataFrame, folder: str, run_id: str | int, by: str = "run_id") -> None:
+def write_run(rows: DataFrame, folder: str, run_id: int, by: str = "run_id") -> None:
     rows.write.mode("overwrite").parquet(f"{folder}/{by}={run_id}")
 
 
-def read(spark: SparkSession, folder: str, ddl: str, by: str | None = None, by_type: str = "string") -> DataFrame:
-    """Read all runs with an explicit schema; ``by`` also returns the run column."""
-    if by is None:
-        return spark.read.schema(ddl).parquet(folder)
-    return spark.read.schema(f"{ddl}, {by} {by_type}").parquet(folder)
+def read(spark: SparkSession, folder: str, ddl: str, by: str = "run_id", keep: bool = False) -> DataFrame:
+    """Read all runs with an explicit schema; ``keep`` also returns the run or batch number."""
+    rows = spark.read.schema(f"{ddl}, {by} bigint").parquet(folder)
+    return rows if keep else rows.drop(by)
 
 
-def write_files_by_language(files: DataFrame, folder: str, run_id: str | int) -> None:
+def write_files_by_language(files: DataFrame, folder: str, run_id: int) -> None:
     """Finished translations, partitioned by language so a delivery for one language reads only it."""
     files.write.mode("overwrite").partitionBy("language").parquet(f"{folder}/run_id={run_id}")
 

@@ -43,11 +43,11 @@ def prepare(spark: SparkSession, folder: str) -> None:
 
 
 def stored_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.read(spark, f"{folder}/orders", ORDER_DDL, BATCH, "bigint")
+    return tables.read(spark, f"{folder}/orders", ORDER_DDL, BATCH, keep=True)
 
 
 def stored_work(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.read(spark, f"{folder}/work", WORK_DDL, BATCH, "bigint")
+    return tables.read(spark, f"{folder}/work", WORK_DDL, BATCH, keep=True)
 
 
 def pending_work(orders: DataFrame) -> DataFrame:

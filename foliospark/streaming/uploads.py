@@ -32,7 +32,7 @@ def batch_writer(folder: str):
 
 def staged(spark: SparkSession, folder: str) -> DataFrame:
     """Current row per session over all batches."""
-    return latest_upload(tables.read(spark, folder, STAGED_DDL)).drop("writes")
+    return latest_upload(tables.read(spark, folder, STAGED_DDL, BATCH)).drop("writes")
 
 
 def start(uploads: DataFrame, folder: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
