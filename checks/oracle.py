@@ -280,7 +280,7 @@ def oracle(name: str, body: str) -> None:
 
 
 oracle("intake_formats", """
-select file_format, supported, count(*) as files, cast(sum(word_count) as bigint) as words, min(title) as first_title,
+select file_format, supported, count(*) as files, cast(sum(word_count) as bigint) as words, max(word_count) as longest,
   cast(sum(length(content)) as bigint) as staged_chars from intake group by 1, 2""")
 oracle("word_counts", "select session_id, extension, title, word_count from intake")
 oracle("book_word_totals", "select book_id, words, documents from books")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import col, trim_all
@@ -11,16 +11,22 @@ _OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mo
 _END = "end_of_text_mark"
 
 
-def strict_json(text: Column | str, ddl: str) -> Column:
-    """Parse ``text`` as exactly one value of type ``ddl``; null when it is anything else.
+def with_json(df: DataFrame, name: str, text: Column | str, ddl: str) -> DataFrame:
+    """Add ``name``: ``text`` parsed as exactly one value of type ``ddl``, null when it is not.
 
     The plain parser stops after the first value, so trailing text would pass. Here the value is
     put between an opening array and an end mark: two values give an array of two, and trailing
     text hides the mark.
+
+    The one-item explode is a fence: without it the optimizer copies the parser into every
+    expression and pushed-down filter that uses the result, and each copy parses the text again.
     """
     wrapped = F.concat(F.lit('{"v":['), col(text), F.lit(f'],"{_END}":true}}'))
     parsed = F.from_json(wrapped, f"struct<v:array<{ddl}>,{_END}:boolean>", _OPTIONS)
-    return F.when(parsed[_END] & (F.size(parsed["v"]) == 1), F.get(parsed["v"], F.lit(0)))
+    raw = f"_{name}"
+    once = df.select("*", F.explode(F.array(parsed)).alias(raw))
+    whole = F.col(raw)[_END] & (F.size(F.col(raw)["v"]) == 1)
+    return once.withColumn(name, F.when(whole, F.get(F.col(raw)["v"], F.lit(0)))).drop(raw)
 
 
 def strip_fences(text: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.json_text import strict_json
+from foliospark.functions.json_text import with_json
 from foliospark.functions.marks import spans, without_marks
 from foliospark.sources.dimensions import CHANGE_TYPES
 
@@ -16,7 +16,7 @@ EDITORIAL = f"struct<editedText:string,changes:array<{CHANGE}>>"
 def parse_editorial(df: DataFrame, answer: str = "answer", translated: str = "translated") -> DataFrame:
     """Add ``edited`` and ``changes``; anything unreadable keeps the translation and no changes."""
     return (
-        df.withColumn("_p", strict_json(answer, EDITORIAL))
+        with_json(df, "_p", answer, EDITORIAL)
         .withColumn("parsed", F.col("_p").isNotNull())
         .withColumn("edited", F.coalesce(F.nullif(F.col("_p.editedText"), F.lit("")), F.col(translated)))
         .withColumn("changes", F.coalesce(F.col("_p.changes"), F.array().cast(f"array<{CHANGE}>")))

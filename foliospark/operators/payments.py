@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.json_text import strict_json
+from foliospark.functions.json_text import with_json
 from foliospark.functions.money import from_cents, parse_money
 from foliospark.functions.text import fallback, leading_int
-from foliospark.sources.events import PAID, parsed
+from foliospark.sources.events import PAID, with_event
 
 
 def order_key(session_id: Column | str) -> Column:
@@ -23,10 +23,11 @@ def typed_events(bodies: DataFrame, body: str = "body") -> DataFrame:
     reason is null for a good paid event, ``ignored_type`` for other event types, and otherwise
     names what is wrong.
     """
-    event = bodies.withColumn("_e", parsed(body))
     meta = "_e.data.object.metadata."
-    languages = strict_json(F.col(meta + "selectedLanguages"), "array<string>")
-    upsells = strict_json(fallback(meta + "selectedUpsells", "[]"), "array<string>")
+    event = with_event(bodies, "_e", body)
+    paid = F.col("_e.type") == PAID  # the lists inside other events are not looked at
+    event = with_json(event, "_languages", F.when(paid, F.col(meta + "selectedLanguages")), "array<string>")
+    event = with_json(event, "_upsells", F.when(paid, fallback(meta + "selectedUpsells", "[]")), "array<string>")
     typed = event.select(
         *[F.col(c) for c in bodies.columns if c != body],
         F.col("_e.type").alias("event_type"),
@@ -38,9 +39,9 @@ def typed_events(bodies: DataFrame, body: str = "body") -> DataFrame:
         leading_int(meta + "wordCount").alias("word_count"),
         F.col(meta + "tier").alias("tier"),
         F.col(meta + "fileFormat").alias("file_format"),
-        languages.alias("languages"),
+        F.col("_languages").alias("languages"),
         F.col(meta + "selectedGenre").alias("genre"),
-        upsells.alias("upsells"),
+        F.col("_upsells").alias("upsells"),
         F.nullif(F.col(meta + "specialInstructions"), F.lit("")).alias("special_instructions"),
         from_cents("_e.data.object.amount_total").alias("amount_paid"),
         F.nullif(F.col(meta + "voucherCode"), F.lit("")).alias("voucher_code"),

@@ -35,9 +35,7 @@ def assign_tier_by_bands(df: DataFrame, words: str, tiers=dims.TIERS, width: int
         for band in range(max(lower, 0) // width, upper // width + 1):
             rows.append((band, name, base, lower, None if last else upper))
         lower = upper
-    bands = df.sparkSession.createDataFrame(
-        rows, "band bigint, tier string, base_price int, above bigint, up_to bigint"
-    )
+    bands = dims.rows_table(df.sparkSession, rows, ("band", "tier", "base_price", "above", "up_to"))
     top = tiers[-1][1] // width
     band = F.least(F.floor(F.col(words) / width), F.lit(top)).cast("bigint")
     inside = (F.col(words) > F.col("above")) & (F.col("up_to").isNull() | (F.col(words) <= F.col("up_to")))
@@ -73,10 +71,8 @@ def addon_sales(orders: DataFrame) -> DataFrame:
     )
     priced = sold.join(dims.constant(dims.addons(orders.sparkSession)), "addon_id", "left")
     price = F.coalesce(F.when(F.col("several"), F.col("price_many")).otherwise(F.col("price")), F.lit(0))
-    return priced.groupBy("addon_id").agg(
-        F.count("*").alias("units"),
-        F.sum(price).alias("revenue"),
-        F.first("addon_name", ignorenulls=True).alias("addon_name"),
+    return priced.groupBy("addon_id", "addon_name").agg(
+        F.count("*").alias("units"), F.sum(price).alias("revenue")
     )
 
 

@@ -62,7 +62,7 @@ def digest(c):
 def intake_formats(spark, d):
     rows = intake.intake(fx.manuscripts(spark, d))
     return rows.groupBy("file_format", "supported").agg(
-        F.count("*").alias("files"), F.sum("word_count").alias("words"), F.min("title").alias("first_title"),
+        F.count("*").alias("files"), F.sum("word_count").alias("words"), F.max("word_count").alias("longest"),
         F.sum(F.length("content")).alias("staged_chars"),
     )
 

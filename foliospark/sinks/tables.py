@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure(spark: SparkSession, folder: str, ddl: str, by: str = "run_id") -> None:
-    """Create an empty table so that the first read finds a schema and a partition."""
-    spark.createDataFrame([], ddl).write.mode("overwrite").parquet(f"{folder}/{by}=0")
+def ensure(spark: SparkSession, folder: str, ddl: str, by: str = "run_id", partition_by: tuple[str, ...] = ()) -> None:
+    """Create an empty table, as run 0, so that the first read finds the folder."""
+    write_run(spark.createDataFrame([], ddl), folder, 0, by, partition_by)
 
 
-def write_run(rows: DataFrame, folder: str, run_id: int, by: str = "run_id") -> None:
-    rows.write.mode("overwrite").parquet(f"{folder}/{by}={run_id}")
+def write_run(rows: DataFrame, folder: str, run_id: int, by: str = "run_id", partition_by: tuple[str, ...] = ()) -> None:
+    """Replace one run's folder. Partitioned rows are rebalanced first: small partition values share
+    a task and large ones are split, so neither tiny files nor one overloaded task come out."""
+    if partition_by:
+        rows = rows.hint("rebalance", *[F.col(c) for c in partition_by])
+    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{folder}/{by}={run_id}")
 
 
 def read(spark: SparkSession, folder: str, ddl: str, by: str = "run_id", keep: bool = False) -> DataFrame:
@@ -28,7 +32,7 @@ def read(spark: SparkSession, folder: str, ddl: str, by: str = "run_id", keep: b
 
 def write_files_by_language(files: DataFrame, folder: str, run_id: int) -> None:
     """Finished translations, partitioned by language so a delivery for one language reads only it."""
-    files.write.mode("overwrite").partitionBy("language").parquet(f"{folder}/run_id={run_id}")
+    write_run(files, folder, run_id, partition_by=("language",))
 
 
 def write_bucketed(rows: DataFrame, table: str, key: str = "order_id", buckets: int = 1024) -> None:

@@ -67,21 +67,22 @@ _VOUCHER_SCHEMA = pa.schema([
 ])
 
 
-def _table(spark: SparkSession, rows, names) -> DataFrame:
+def rows_table(spark: SparkSession, rows, names) -> DataFrame:
+    """Local relation of a few constant rows, planned without any Python scan."""
     columns = [pa.array(list(values)) for values in zip(*rows)]
     return spark.createDataFrame(pa.table(dict(zip(names, columns))))
 
 
 def tiers(spark: SparkSession) -> DataFrame:
-    return _table(spark, TIERS, ("tier", "max_words", "base_price"))
+    return rows_table(spark, TIERS, ("tier", "max_words", "base_price"))
 
 
 def bundles(spark: SparkSession) -> DataFrame:
-    return _table(spark, BUNDLES, ("bundle_size", "bundle_percent"))
+    return rows_table(spark, BUNDLES, ("bundle_size", "bundle_percent"))
 
 
 def addons(spark: SparkSession) -> DataFrame:
-    return _table(spark, ADDONS, ("addon_id", "addon_name", "price", "price_many"))
+    return rows_table(spark, ADDONS, ("addon_id", "addon_name", "price", "price_many"))
 
 
 def vouchers(spark: SparkSession, rows=VOUCHERS) -> DataFrame:
@@ -91,19 +92,19 @@ def vouchers(spark: SparkSession, rows=VOUCHERS) -> DataFrame:
 
 
 def languages(spark: SparkSession) -> DataFrame:
-    return _table(spark, LANGUAGES, ("language", "language_name", "language_setting", "speakers", "flag"))
+    return rows_table(spark, LANGUAGES, ("language", "language_name", "language_setting", "speakers", "flag"))
 
 
 def markets(spark: SparkSession) -> DataFrame:
-    return _table(spark, MARKETS, ("language", "market_language", "market", "currency", "store_domain"))
+    return rows_table(spark, MARKETS, ("language", "market_language", "market", "currency", "store_domain"))
 
 
 def genres(spark: SparkSession) -> DataFrame:
-    return _table(spark, [(g,) for g in GENRES], ("genre",))
+    return rows_table(spark, [(g,) for g in GENRES], ("genre",))
 
 
 def formats(spark: SparkSession) -> DataFrame:
-    return _table(spark, FORMATS, ("extension", "format_name"))
+    return rows_table(spark, FORMATS, ("extension", "format_name"))
 
 
 def constant(df: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.functions.json_text import strict_json
+from foliospark.functions.json_text import with_json
 
 # Fixed value: the only event type that creates an order.
 PAID = "checkout.session.completed"
@@ -22,8 +22,8 @@ EVENT = (
 )
 
 
-def parsed(body: Column | str) -> Column:
-    return strict_json(body, EVENT)
+def with_event(bodies: DataFrame, name: str, body: str = "body") -> DataFrame:
+    return with_json(bodies, name, body, EVENT)
 
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:

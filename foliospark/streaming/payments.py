@@ -15,10 +15,11 @@ payment_session_id string, event_id string, delivered_at timestamp, email string
 book_title string, word_count int, tier string, file_format string, languages array<string>,
 genre string, upsells array<string>, special_instructions string, amount_paid decimal(12,2),
 voucher_code string, original_amount decimal(12,2), created_at timestamp_ntz, order_id string,
-status string
+status string, created_date date
 """
 WORK_DDL = "order_id string, language string, position bigint"
 BATCH = "batch_id"
+DAY = ("created_date",)
 ORDER_COLUMNS = [part.split()[0] for part in ORDER_DDL.replace("decimal(12,2)", "decimal").split(",")]
 
 
@@ -29,8 +30,10 @@ def orders_stream(bodies: DataFrame, watermark: str) -> DataFrame:
     writer, which knows all stored keys.
     """
     paid = paid_orders(typed_events(bodies)).withColumn("delivered_at", F.col("delivered_at").cast("timestamp"))
+    day = F.coalesce(F.col("created_at").cast("date"), F.lit("1970-01-01").cast("date"))
     return (
-        paid.withWatermark("delivered_at", watermark)
+        paid.withColumn("created_date", day)
+        .withWatermark("delivered_at", watermark)
         .dropDuplicatesWithinWatermark(["payment_session_id"])
         .select(*ORDER_COLUMNS)
     )
@@ -38,7 +41,7 @@ def orders_stream(bodies: DataFrame, watermark: str) -> DataFrame:
 
 def prepare(spark: SparkSession, folder: str) -> None:
     """Create the empty order and work tables once, before the first start."""
-    tables.ensure(spark, f"{folder}/orders", ORDER_DDL, BATCH)
+    tables.ensure(spark, f"{folder}/orders", ORDER_DDL, BATCH, DAY)
     tables.ensure(spark, f"{folder}/work", WORK_DDL, BATCH)
 
 
@@ -52,11 +55,10 @@ def stored_work(spark: SparkSession, folder: str) -> DataFrame:
 
 def pending_work(orders: DataFrame) -> DataFrame:
     """One work row per order and known language, in the order's own language order."""
-    each = orders.select("order_id", F.posexplode("languages").alias("p", "language"))
-    return (
-        each.filter(F.col("language").isin(*LANGUAGE_CODES))
-        .groupBy("order_id", "language")
-        .agg((F.min("p") + 1).cast("long").alias("position"))
+    known = F.array_intersect("languages", F.array(*[F.lit(c) for c in LANGUAGE_CODES]))
+    each = orders.select("order_id", "languages", F.explode(known).alias("language"))
+    return each.select(
+        "order_id", "language", F.array_position("languages", F.col("language")).cast("long").alias("position")
     )
 
 
@@ -64,18 +66,28 @@ def batch_writer(folder: str):
     """Write one micro-batch: new orders first, then the work they trigger.
 
     Both folders are named by the batch, so a repeated batch replaces its own rows. The batch is
-    compared with the keys of earlier batches only, so its own first attempt does not hide it. The
-    stored side of that comparison reads a single column.
+    compared with the keys of earlier batches only, so its own first attempt does not hide it. A
+    replayed event keeps the day it was created, and the table is partitioned by that day: the
+    comparison reads one column of the days the batch spans, not of the whole table.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         number = batch_id + 1  # partition 0 is the empty one made by ``prepare``
-        earlier = stored_orders(spark, folder).filter(F.col(BATCH) < number).select("payment_session_id")
-        new = batch.join(earlier, "payment_session_id", "left_anti")
-        tables.write_run(new.select(*ORDER_COLUMNS), f"{folder}/orders", number, BATCH)
-        written = stored_orders(spark, folder).filter(F.col(BATCH) == number)
-        tables.write_run(pending_work(written), f"{folder}/work", number, BATCH)
+        rows = batch.persist()
+        try:
+            first, last = rows.agg(F.min("created_date"), F.max("created_date")).first()
+            if first is None:
+                return
+            stored = stored_orders(spark, folder)
+            days = F.col("created_date").between(F.lit(first), F.lit(last))
+            earlier = stored.filter((F.col(BATCH) < number) & days).select("payment_session_id")
+            new = rows.join(earlier, "payment_session_id", "left_anti").select(*ORDER_COLUMNS)
+            tables.write_run(new, f"{folder}/orders", number, BATCH, DAY)
+            written = stored_orders(spark, folder).filter(F.col(BATCH) == number)
+            tables.write_run(pending_work(written), f"{folder}/work", number, BATCH)
+        finally:
+            rows.unpersist()
 
     return write
 
