@@ -1,9 +1,10 @@
-"""Ordered per-key logic that never puts one key's whole history into one task.
+"""Ordered per-key logic that never puts one hot key's whole history into one task.
 
-A window partitioned by the key alone sorts all rows of a hot key in a single task. Here a key's
-log is cut into time chunks: the window runs per (key, chunk), and only one small row per chunk is
-ordered per key to carry the result across chunks. A task therefore holds at most one chunk of one
-key. The chunk rows are joined back on the same (key, chunk) the data is already partitioned by.
+A window partitioned by the key alone sorts all rows of a key in a single task, which is fine until
+one key holds a large share of the table. Here the log of every hot key is cut into time chunks:
+the window runs per (key, chunk), one small row per chunk is ordered per hot key to carry the
+result across chunks, and that row joins back on the partitioning the data already has. Other keys
+have a single chunk and take part in none of the extra steps.
 """
 
 from __future__ import annotations
@@ -12,39 +13,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
+HOT = "_hot"
+HOT_ROWS = 1_000_000
+MOST_HOT_KEYS = 100_000
 
 
-def with_chunk(df: DataFrame, ts: str, unit: str) -> DataFrame:
-    return df.withColumn(CHUNK, F.date_trunc(unit, F.col(ts)))
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows and more than 1/MOST_HOT_KEYS of all rows.
 
+    By the second condition there can be at most MOST_HOT_KEYS of them, however large the table
+    is, so the list is safe to broadcast. Counting combines on the map side.
+    """
+    total = df.agg(F.count("*")).scalar()
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = (F.col("_n") > hot_rows) & (F.col("_n") * MOST_HOT_KEYS > total)
+    return counts.filter(hot).select(*keys, F.lit(True).alias(HOT))
 
-def _same_chunk(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+
+def with_chunks(df: DataFrame, keys: list[str], ts: str, unit: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add the time chunk: null for ordinary keys, the truncated time for hot ones."""
+    marked = df.join(F.broadcast(hot_keys(df, keys, hot_rows)), keys, "left")
+    return marked.withColumn(CHUNK, F.when(F.col(HOT), F.date_trunc(unit, F.col(ts))))
+
+
+def _carry(inside: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
     test = F.col(f"l.{CHUNK}") == F.col(f"r.{CHUNK}")
     for key in keys:
         test = test & (F.col(f"l.{key}") == F.col(f"r.{key}"))
-    return test
+    return inside.alias("l").join(chunks.alias("r"), test, "left")
 
 
-def lag_by_key(df: DataFrame, keys: list[str], ts: str, tie: str, value: str, out: str, unit: str = "hour") -> DataFrame:
+def lag_by_key(
+    df: DataFrame, keys: list[str], ts: str, tie: str, value: str, out: str, unit: str = "hour", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """``lag(value)`` over (partition by keys order by ts, tie). Keys must not be null."""
-    chunked = with_chunk(df, ts, unit)
+    chunked = with_chunks(df, keys, ts, unit, hot_rows)
     inner = Window.partitionBy(*keys, CHUNK).orderBy(ts, tie)
     inside = chunked.withColumn("_lag", F.lag(value).over(inner)).withColumn("_rn", F.row_number().over(inner))
-    lasts = chunked.groupBy(*keys, CHUNK).agg(F.max_by(value, F.struct(ts, tie)).alias("_last"))
+    lasts = chunked.filter(HOT).groupBy(*keys, CHUNK).agg(F.max_by(value, F.struct(ts, tie)).alias("_last"))
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     carried = lasts.select(*keys, CHUNK, F.lag("_last").over(across).alias("_carried"))
-    joined = inside.alias("l").join(carried.alias("r"), _same_chunk(inside, carried, keys), "left")
-    value_out = F.when(F.col("_rn") == 1, F.col("_carried")).otherwise(F.col("_lag"))
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], value_out.alias(out))
+    first = F.col(HOT) & (F.col("_rn") == 1)
+    value_out = F.when(first, F.col("_carried")).otherwise(F.col("_lag"))
+    return _carry(inside, carried, keys).select(*[F.col(f"l.{c}") for c in df.columns], value_out.alias(out))
 
 
-def rank_by_key(df: DataFrame, keys: list[str], ts: str, tie: str, out: str, unit: str = "hour") -> DataFrame:
+def rank_by_key(
+    df: DataFrame, keys: list[str], ts: str, tie: str, out: str, unit: str = "hour", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """``row_number()`` over (partition by keys order by ts, tie). Keys must not be null."""
-    chunked = with_chunk(df, ts, unit)
+    chunked = with_chunks(df, keys, ts, unit, hot_rows)
     inner = Window.partitionBy(*keys, CHUNK).orderBy(ts, tie)
     inside = chunked.withColumn("_rn", F.row_number().over(inner))
-    counts = chunked.groupBy(*keys, CHUNK).agg(F.count("*").alias("_n"))
+    counts = chunked.filter(HOT).groupBy(*keys, CHUNK).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    joined = inside.alias("l").join(offsets.alias("r"), _same_chunk(inside, offsets, keys), "left")
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("_rn") + F.col("_before")).alias(out))
+    place = (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("long")
+    return _carry(inside, offsets, keys).select(*[F.col(f"l.{c}") for c in df.columns], place.alias(out))
+
+
+def chunk_order() -> Column:
+    """Sort key for chunks; the single chunk of an ordinary key sorts first."""
+    return F.coalesce(F.col(CHUNK), F.lit("0001-01-01").cast("timestamp"))

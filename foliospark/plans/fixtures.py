@@ -256,8 +256,9 @@ def strategy_books(spark: SparkSession, d: str) -> DataFrame:
 
 def strategy_answers(spark: SparkSession, d: str) -> DataFrame:
     """Fenced or bare strategy JSON of varying quality, built from each document."""
-    books = strategy_books(spark, d)
-    did, line = F.col("doc_id"), F.translate("book_description", "\n", " ")
+    # A column of its own: the boxes use it many times, and inlined it would be computed as often.
+    books = strategy_books(spark, d).withColumn("line", F.translate("book_description", "\n", " "))
+    did, line = F.col("doc_id"), F.col("line")
     count = lambda base, m: (F.lit(base) + did % m).cast("int")
     named = lambda word, n: F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit(word + " "), i.cast("string")))
     boxes = F.transform(
@@ -280,7 +281,7 @@ def strategy_answers(spark: SparkSession, d: str) -> DataFrame:
         .when(did % 2 == 1, F.concat(F.lit("```json\n"), bare, F.lit("\n```\n")))
         .otherwise(bare)
     )
-    return books.withColumn("answer", answer)
+    return books.withColumn("answer", answer).drop("line")
 
 
 _DOCX_HEAD = (

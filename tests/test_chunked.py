@@ -22,7 +22,8 @@ def log(seed, n=900):
 
 
 @pytest.mark.parametrize("unit", ["hour", "day", "year"])
-def test_lag_and_rank(spark, unit):
+@pytest.mark.parametrize("hot_rows", [0, 30, 10**6])
+def test_lag_and_rank(spark, unit, hot_rows):
     rows = log(1)
     df = spark.createDataFrame(rows, "order_id int, change_id int, changed_at timestamp_ntz, status string")
     by_key = {}
@@ -33,9 +34,9 @@ def test_lag_and_rank(spark, unit):
         for place, r in enumerate(rs):
             lag[r[1]] = rs[place - 1][3] if place else None
             rank[r[1]] = place + 1
-    got = lag_by_key(df, ["order_id"], "changed_at", "change_id", "status", "previous", unit).collect()
+    got = lag_by_key(df, ["order_id"], "changed_at", "change_id", "status", "previous", unit, hot_rows).collect()
     assert {r.change_id: r.previous for r in got} == lag and len(got) == len(rows)
-    got = rank_by_key(df, ["order_id"], "changed_at", "change_id", "n", unit).collect()
+    got = rank_by_key(df, ["order_id"], "changed_at", "change_id", "n", unit, hot_rows).collect()
     assert {r.change_id: r.n for r in got} == rank and len(got) == len(rows)
 
 
@@ -64,8 +65,9 @@ def fold(rows, items):
     return {(s, i) for s, items_ in chosen.items() for i in items_}
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_selection(spark, seed):
+@pytest.mark.parametrize("hot_rows", [0, 30, 10**6])
+@pytest.mark.parametrize("seed", range(2))
+def test_selection(spark, seed, hot_rows):
     rng = random.Random(seed)
     items = ("es", "fr", "de", "pt")
     rows = []
@@ -74,6 +76,14 @@ def test_selection(spark, seed):
         action = rng.choice(["toggle"] * 6 + ["all", "other"])
         rows.append((session, rng.choice(items), action, START + dt.timedelta(minutes=rng.randrange(400)), i))
     df = spark.createDataFrame(rows, "session_id int, item string, action string, at timestamp_ntz, seq int")
-    got = selection.selection_fold(df, items).collect()
+    got = selection.selection_fold(df, items, hot_rows=hot_rows).collect()
     assert {(r.session_id, r.item) for r in got} == fold(rows, items)
     assert len(got) == len(fold(rows, items))
+
+
+def test_hot_keys_are_the_hot_ones(spark):
+    from foliospark.operators.chunked import hot_keys
+
+    df = spark.createDataFrame(log(3), "order_id int, change_id int, changed_at timestamp_ntz, status string")
+    assert [r.order_id for r in hot_keys(df, ["order_id"], 100).collect()] == [0]
+    assert hot_keys(df, ["order_id"]).count() == 0
