@@ -117,6 +117,14 @@ select *, cast(round(exact, 2) as decimal(12,2)) as discount_amount,
   cast(round(greatest(total - exact, 1) * 100, 0) as bigint) as charged_cents
 from discounted"""
 
+CTE["carts"] = """
+select q.*, e.email, case when q.order_id % 10 = 3 then cast(1 as decimal(12,2)) else cast(q.total as decimal(12,2)) end as claimed
+from quoted q join (select order_id, email from customers) e using (order_id)"""
+CTE["cart_charges"] = f"""
+select k.*, c.code as voucher_code, cast(case when c.code is null then 0 when discount_kind = 'percent' then claimed * discount * {CENT}
+    else least(cast(discount as decimal(12,2)), claimed) end as decimal(14,4)) as exact
+from carts k left join codes c on c.code = upper(trim(k.voucher_input)) where k.order_id % 50 <> 7"""
+
 CTE["paid"] = f"""
 select *, 'cs_' || event_id as payment_session_id, (event_id * 37) % 160000 + 1 as words_,
   cast(floor(value * 100 + 0.5) as bigint) as cents
@@ -338,6 +346,14 @@ select order_id, email, 'Book Translation: ' || book_title as line_name,
   cast(cast(total as decimal(12,2)) as varchar) as "m_originalAmount", coalesce(voucher_code, '') as "m_voucherCode",
   cast(charged_total as varchar) as "m_finalAmount"
 from charged join (select order_id, email from customers) e using (order_id)""")
+oracle("checkout_requests", """
+select order_id, 'Book Translation: ' || book_title as line_name,
+  format('{:,}', word_count) || ' words (' || tier || ') → ' || upper(array_to_string(languages, ', ')) || ' • ' || upper(file_format)
+    || ' format preserved' || case when voucher_code is not null then ' • Voucher: ' || voucher_code else '' end as line_description,
+  cast(claimed as double) as total, cast(total as double) as quoted_total, claimed <> total as total_differs, voucher_code,
+  cast(round(greatest(claimed - exact, 1) * 100, 0) as bigint) as charged_cents from cart_charges""")
+oracle("checkout_rejects", """
+select case when order_id % 50 = 7 then 'bad_body' else 'usable' end as reason, count(*) as carts from carts group by 1""")
 oracle("price_catalogue", """
 select tier, n as n_languages, cast(addon_total as double) as addon_total, voucher_code, count(*) as orders,
   cast(min(total) as double) as total, min(charged_cents) as charged_cents, cast(sum(charged_cents) as bigint) as revenue_cents
@@ -434,6 +450,12 @@ oracle("illegal_transitions", """
 select coalesce(previous, '') as previous, status, count(*) as changes, count(distinct order_id) as orders
 from judged where not legal group by 1, 2""")
 
+oracle("order_progress", f"""
+select order_id, wanted, finished, case when wanted > 0 and finished = wanted then 'completed' when finished > 0 then 'processing' else 'pending' end as status,
+  case when wanted > 0 and finished = wanted then {t('last_at')} end as completed_at
+from (select o.order_id, any_value(o.n) as wanted, count(f.first_at) as finished, max(f.first_at) as last_at
+  from order_inputs o left join (select order_id, language, min(created_at) as first_at from files group by 1, 2) f
+    on f.order_id = o.order_id and list_contains(o.languages, f.language) group by o.order_id)""")
 oracle("delivery_resolve", "select order_id, language, requests, outcome, copies, file_id from resolved")
 oracle("delivery_manifest", f"""
 select order_id, language, file_id, book_title || '_' || coalesce({name_of('language')}, language) || '.txt' as file_name,

@@ -51,3 +51,37 @@ def illegal_transitions(log: DataFrame, unit: str = "hour", hot_rows: int = HOT_
         .groupBy(F.coalesce("previous", F.lit("")).alias("previous"), "status")
         .agg(F.count("*").alias("changes"), F.countDistinct("order_id").alias("orders"))
     )
+
+
+def progress(orders: DataFrame, files: DataFrame) -> DataFrame:
+    """Status each order should have, from the translations it wants and those it has.
+
+    orders: order_id, languages. An order is completed when its last wanted language first got a
+    file, processing when some have one, pending otherwise. Files are folded per (order, language)
+    before they are grouped per order, so that group is as long as the list of languages.
+    """
+    first = (
+        files.filter(F.col("type") == "translated")
+        .groupBy("order_id", "language")
+        .agg(F.min("created_at").alias("first_at"))
+    )
+    entry = F.struct("language", "first_at")
+    have = first.groupBy("order_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_have"))
+    joined = orders.select("order_id", "languages").join(have, "order_id", "left")
+    times = F.transform(F.array_distinct("languages"), lambda c: F.try_element_at("_have", c))
+    done = F.size(F.filter(F.col("_times"), lambda t: t.isNotNull()))
+    finished = (F.col("finished") == F.col("wanted")) & (F.col("wanted") > 0)
+    return (
+        joined.withColumn("_times", times)
+        .withColumn("wanted", F.coalesce(F.size("_times"), F.lit(0)).cast("long"))
+        .withColumn("finished", F.coalesce(done, F.lit(0)).cast("long"))
+        .withColumn("status", F.when(finished, "completed").when(F.col("finished") > 0, "processing").otherwise("pending"))
+        .withColumn("completed_at", F.when(finished, F.array_max("_times")))
+        .drop("_times", "_have", "languages")
+    )
+
+
+def status_rows(progressed: DataFrame) -> DataFrame:
+    """Completion rows for the status log, ready to append."""
+    done = progressed.filter(F.col("status") == "completed")
+    return done.select("order_id", "status", F.col("completed_at").alias("changed_at"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators.intake import intake
-from foliospark.operators.pricing import tier_of
+from foliospark.operators.pricing import quote, tier_of
 from foliospark.sources.dimensions import ADDONS, LANGUAGE_CODES
 from foliospark.sources.events import METADATA, PAID
 from foliospark.sources.tables import table
@@ -83,6 +83,22 @@ def order_inputs(spark: SparkSession, d: str, customers: bool = False) -> DataFr
     return out.join(c, "customer_id").withColumn("genre", genre).drop("segment")
 
 
+def cart_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Checkout bodies of all orders; some claim a total of 1.00, some are cut off."""
+    o = quote(order_inputs(spark, d, customers=True))
+    claimed = F.when(F.col("order_id") % 10 == 3, F.lit("1.00")).otherwise(F.col("total").cast("string"))
+    cart = F.struct(
+        F.col("email"), F.col("author_name").alias("authorName"), F.col("book_title").alias("bookTitle"),
+        F.col("word_count").alias("wordCount"), F.col("tier"), F.col("file_format").alias("fileFormat"),
+        F.col("languages").alias("selectedLanguages"), F.col("genre").alias("selectedGenre"),
+        F.col("upsells").alias("selectedUpsells"), F.col("special_instructions").alias("specialInstructions"),
+        claimed.alias("totalAmount"), F.coalesce("voucher_input", F.lit("")).alias("voucherCode"),
+    )
+    body = F.to_json(cart)
+    cut = F.when(F.col("order_id") % 50 == 7, F.left(body, F.length(body) - 1)).otherwise(body)
+    return o.select("order_id", cut.alias("body"))
+
+
 def file_rows(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     parts = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliospark.operators import (
-    delivery, editorial, inference, intake, launch, outbox, payments, pricing, quality, reports,
+    checkout, delivery, editorial, inference, intake, launch, outbox, payments, pricing, quality, reports,
     requests, retention, selection, status, vouchers,
 )
 from foliospark.plans import fixtures as fx
@@ -208,6 +208,18 @@ def shown_vs_charged(spark, d):
     )
 
 
+@query
+def checkout_requests(spark, d):
+    rows = checkout.checkout(fx.cart_bodies(spark, d), fx.ORDERS_AS_OF)
+    return rows.select("order_id", "line_name", "line_description", "total", "quoted_total", "total_differs", "voucher_code", "charged_cents")
+
+
+@query
+def checkout_rejects(spark, d):
+    rows = checkout.typed_carts(fx.cart_bodies(spark, d))
+    return rows.groupBy(F.coalesce("reason", F.lit("usable")).alias("reason")).agg(F.count("*").alias("carts"))
+
+
 # ---- Payments ---------------------------------------------------------------------------------
 def typed_events(spark, d):
     return payments.typed_events(fx.payment_bodies(table(spark, d, "events")))
@@ -439,6 +451,11 @@ def illegal_transitions(spark, d):
     return status.illegal_transitions(fx.status_log(spark, d))
 
 
+@query
+def order_progress(spark, d):
+    return status.progress(fx.order_inputs(spark, d), fx.file_rows(spark, d))
+
+
 # ---- Delivery ---------------------------------------------------------------------------------------
 def resolved(spark, d):
     orders = retention.kept_orders(fx.order_inputs(spark, d), fx.ORDERS_AS_OF)

@@ -18,11 +18,11 @@ STAGED = """
 session_id string, file_name string, file_format string, content string, word_count bigint,
 created_at timestamp
 """
-CART = """
-email string, authorName string, bookTitle string, wordCount bigint, tier string, fileFormat string,
-selectedLanguages array<string>, selectedGenre string, selectedUpsells array<string>,
-specialInstructions string, totalAmount string, voucherCode string
-"""
+CART = (
+    "email string, authorName string, bookTitle string, wordCount bigint, tier string, fileFormat string, "
+    "selectedLanguages array<string>, selectedGenre string, selectedUpsells array<string>, "
+    "specialInstructions string, totalAmount string, voucherCode string"
+)
 VOUCHER_REQUEST = "code string, subtotal decimal(12,2)"
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliospark.operators.retention import latest_upload
@@ -42,7 +41,3 @@ def start(uploads: DataFrame, folder: str, checkpoint: str, available_now: bool
         writer = writer.trigger(availableNow=True)
     return writer.start()
 
-
-def expire_stream(uploads: DataFrame, watermark: str = "24 hours") -> DataFrame:
-    """Uploads with late rows dropped: a row older than the watermark is already expired."""
-    return uploads.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["upload_id"])
