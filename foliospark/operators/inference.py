@@ -51,16 +51,16 @@ def join_parts(answers: DataFrame, text: str) -> DataFrame:
     A group holds one book: its windows, never other rows, since (order, language, part) is unique.
     """
     ordered = F.array_sort(F.collect_list(F.struct("part", text)))
-    return answers.groupBy("order_id", "language").agg(
+    return answers.groupBy("order_id", "original_id", "language").agg(
         F.array_join(F.transform(ordered, lambda p: p[text]), "").alias(text)
     )
 
 
 def translate(requests: DataFrame, fn: ModelFn, style: rq.RequestStyle = rq.WHOLE) -> DataFrame:
-    """First pass: order_id, language, translated. A non-text answer counts as empty."""
-    answers = ask(requests, fn).withColumn("translated", first_text("blocks", F.lit("")))
+    """First pass: order_id, original_id, language, translated. A non-text answer counts as empty."""
+    answers = ask(requests, fn, carry=("original_id",)).withColumn("translated", first_text("blocks", F.lit("")))
     if style.translate_window is None:
-        return answers.select("order_id", "language", "translated")
+        return answers.select("order_id", "original_id", "language", "translated")
     return join_parts(answers, "translated")
 
 
@@ -121,7 +121,8 @@ def run_two_pass(
     spark = orders.sparkSession
     pass_one, final = f"{folder}/translated", f"{folder}/files"
     id_type = orders.schema["order_id"].dataType.simpleString()
-    one_ddl = f"order_id {id_type}, language string, translated string"
+    file_type = originals.schema["file_id"].dataType.simpleString()
+    one_ddl = f"order_id {id_type}, original_id {file_type}, language string, translated string"
     final_ddl = (
         f"file_id string, order_id {id_type}, type string, language string, content string, "
         f"original_content string, changes array<{CHANGE}>, empty_translation boolean"

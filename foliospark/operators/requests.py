@@ -41,17 +41,23 @@ WINDOWED = RequestStyle("romance", 50000, 25000)
 
 
 def originals_per_order(originals: DataFrame) -> DataFrame:
-    """Number of original files per order and whether one is kept unread; no text is touched."""
+    """Number of original files per order, the id of one, and whether one is kept unread.
+
+    No text is touched, and an order with very many files leaves each task as one row.
+    """
     return originals.groupBy("order_id").agg(
-        F.count("*").alias("originals"), F.max(F.col("file_format").isin(*OPAQUE)).alias("opaque")
+        F.count("*").alias("originals"),
+        F.max("file_id").alias("original_id"),
+        F.max(F.col("file_format").isin(*OPAQUE)).alias("opaque"),
     )
 
 
 def work_per_order(orders: DataFrame, originals: DataFrame, done: DataFrame) -> DataFrame:
     """One row per order with the languages still to do, or the reason nothing can be sent.
 
-    orders: order_id, languages, ...; originals: order_id, file_format, content; done: order_id,
-    language of finished translations (repeats allowed). All three meet on order_id.
+    orders: order_id, languages, ...; originals: file_id, order_id, file_format, content; done:
+    order_id, language of finished translations (repeats allowed). All three meet on order_id. A
+    ready order carries ``original_id``, the id of its only original file.
     """
     finished = done.groupBy("order_id").agg(F.collect_set("language").alias("_done"))
     joined = orders.join(originals_per_order(originals), "order_id", "left").join(finished, "order_id", "left")
@@ -86,9 +92,13 @@ def pending_languages(work: DataFrame) -> DataFrame:
 
 
 def with_text(work: DataFrame, originals: DataFrame) -> DataFrame:
-    """Ready orders with their manuscript text; the one wide join."""
-    ready = work.filter(F.col("reason").isNull())
-    return ready.join(originals.select("order_id", "content"), "order_id")
+    """Ready orders with their manuscript text; the one wide join.
+
+    It goes by file id, which is unique: the texts of an order that has too many of them spread
+    over all tasks and drop out there.
+    """
+    texts = originals.select(F.col("file_id").alias("original_id"), "content")
+    return work.filter(F.col("reason").isNull()).join(texts, "original_id")
 
 
 def with_language(rows: DataFrame) -> DataFrame:
@@ -176,7 +186,7 @@ def translation_requests(work: DataFrame, originals: DataFrame, style: RequestSt
     texts = _per_language(with_text(work, originals))
     parts = texts.select("*", F.explode(windows(F.col("content"), style.translate_window)).alias("_w")).drop("content")
     return with_language(parts).select(
-        "order_id", "language", "position", F.col("_w.part").cast("long").alias("part"),
+        "order_id", "original_id", "language", "position", F.col("_w.part").cast("long").alias("part"),
         translation_text(style, F.col("_w.text")).alias("request"),
     )
 
@@ -184,14 +194,14 @@ def translation_requests(work: DataFrame, originals: DataFrame, style: RequestSt
 def editorial_requests(
     work: DataFrame, originals: DataFrame, translated: DataFrame, style: RequestStyle = WHOLE
 ) -> DataFrame:
-    """Second-pass requests for finished first passes (order_id, language, translated).
+    """Second-pass requests for finished first passes (original_id, language, translated).
 
-    The manuscript and the translations meet on the order alone, which the manuscript is already
-    partitioned by, so its text is not shuffled again per language. With a review window, original
-    and translation are cut at the same places and paired part by part; the longer of the two
-    decides the number of parts.
+    The manuscript and the translations meet on the original's id alone, which the manuscript is
+    already partitioned by, so its text is not shuffled again per language. With a review window,
+    original and translation are cut at the same places and paired part by part; the longer of the
+    two decides the number of parts.
     """
-    texts = with_text(work, originals).join(translated.select("order_id", "language", "translated"), "order_id")
+    texts = with_text(work, originals).join(translated.select("original_id", "language", "translated"), "original_id")
     both = with_language(texts.filter(F.array_contains("pending", F.col("language"))))
     if style.review_window is None:
         return both.select(

@@ -308,7 +308,7 @@ def windowed_requests(spark, d):
 def first_pass(spark, d):
     """A stand-in first pass over every pending language: the manuscript in brackets."""
     ready = requests.with_text(work(spark, d), fx.originals(spark, d))
-    return ready.select("order_id", F.explode("pending").alias("language"), F.concat(F.lit("<"), "content", F.lit(">")).alias("translated"))
+    return ready.select("original_id", F.explode("pending").alias("language"), F.concat(F.lit("<"), "content", F.lit(">")).alias("translated"))
 
 
 @query

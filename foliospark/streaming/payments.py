@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from foliospark.operators.payments import paid_orders, typed_events
+from foliospark.operators.payments import first_delivery, paid_orders, typed_events
 from foliospark.sinks import tables
 from foliospark.sources.dimensions import LANGUAGE_CODES
 
@@ -20,21 +20,25 @@ status string, created_date date
 WORK_DDL = "order_id string, language string, position bigint"
 BATCH = "batch_id"
 DAY = ("created_date",)
+SALTS = 16
 ORDER_COLUMNS = [part.split()[0] for part in ORDER_DDL.replace("decimal(12,2)", "decimal").split(",")]
 
 
 def orders_stream(bodies: DataFrame, watermark: str) -> DataFrame:
-    """Streaming bodies (body, delivered_at) to pending orders.
+    """Streaming bodies (body, delivered_at) to pending orders, most replays already dropped.
 
-    Replays within the watermark are dropped from bounded state; later ones are caught by the
-    writer, which knows all stored keys.
+    The state is bounded by the watermark. It is keyed by session and salt, so a session that is
+    replayed very often is spread over SALTS tasks and leaves at most SALTS rows; the writer, which
+    also knows all stored keys, makes that one.
     """
     paid = paid_orders(typed_events(bodies)).withColumn("delivered_at", F.col("delivered_at").cast("timestamp"))
     day = F.coalesce(F.col("created_at").cast("date"), F.lit("1970-01-01").cast("date"))
+    salt = F.pmod(F.xxhash64("delivered_at"), F.lit(SALTS))
     return (
         paid.withColumn("created_date", day)
+        .withColumn("salt", salt)
         .withWatermark("delivered_at", watermark)
-        .dropDuplicatesWithinWatermark(["payment_session_id"])
+        .dropDuplicatesWithinWatermark(["payment_session_id", "salt"])
         .select(*ORDER_COLUMNS)
     )
 
@@ -68,7 +72,8 @@ def batch_writer(folder: str):
     Both folders are named by the batch, so a repeated batch replaces its own rows. The batch is
     compared with the keys of earlier batches only, so its own first attempt does not hide it. A
     replayed event keeps the day it was created, and the table is partitioned by that day: the
-    comparison reads one column of the days the batch spans, not of the whole table.
+    comparison reads one column of the days the batch spans, not of the whole table. Replays within
+    the batch are combined on the map side before anything is shuffled by session.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -82,7 +87,8 @@ def batch_writer(folder: str):
             stored = stored_orders(spark, folder)
             days = F.col("created_date").between(F.lit(first), F.lit(last))
             earlier = stored.filter((F.col(BATCH) < number) & days).select("payment_session_id")
-            new = rows.join(earlier, "payment_session_id", "left_anti").select(*ORDER_COLUMNS)
+            once = first_delivery(rows).select(*ORDER_COLUMNS)
+            new = once.join(earlier, "payment_session_id", "left_anti")
             tables.write_run(new, f"{folder}/orders", number, BATCH, DAY)
             written = stored_orders(spark, folder).filter(F.col(BATCH) == number)
             tables.write_run(pending_work(written), f"{folder}/work", number, BATCH)

@@ -14,7 +14,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the stub models b
 
 ORDERS = """order_id bigint, languages array<string>, genre string, book_title string, author_name string,
 special_instructions string"""
-ORIGINALS = "order_id bigint, file_format string, content string"
+ORIGINALS = "file_id string, order_id bigint, file_format string, content string"
 LONG = "".join(chr(97 + i % 26) for i in range(120_001))
 
 
@@ -27,7 +27,10 @@ def tables(spark):
         ORDERS,
     )
     originals = spark.createDataFrame(
-        [(1, ".txt", "short text"), (2, ".txt", LONG), (3, ".epub", "[EPUB]"), (5, ".txt", "t"), (6, ".txt", "t"), (7, ".txt", "x"), (4, ".txt", "a"), (4, ".txt", "b")],
+        [
+            ("f1", 1, ".txt", "short text"), ("f2", 2, ".txt", LONG), ("f3", 3, ".epub", "[EPUB]"), ("f4a", 4, ".txt", "a"),
+            ("f4b", 4, ".txt", "b"), ("f5", 5, ".txt", "t"), ("f6", 6, ".txt", "t"), ("f7", 7, ".txt", "x"),
+        ],
         ORIGINALS,
     )
     done = spark.createDataFrame([(1, "fr")] * 3, "order_id bigint, language string")
@@ -59,7 +62,7 @@ def test_windows_cover_everything(spark):
     parts = [r for r in rq.translation_requests(work, originals, rq.WINDOWED).orderBy("part").collect() if r.order_id == 2]
     sent = [r.request.split("Manuscript:\n")[1].split("\nAnswer with")[0] for r in parts]
     assert [len(s) for s in sent] == [50000, 50000, 20001] and "".join(sent) == LONG
-    translated = spark.createDataFrame([(2, "de", LONG.upper() + "END")], "order_id bigint, language string, translated string")
+    translated = spark.createDataFrame([("f2", "de", LONG.upper() + "END")], "original_id string, language string, translated string")
     pairs = rq.editorial_requests(work, originals, translated, rq.WINDOWED).orderBy("part").collect()
     assert "".join(r.translated for r in pairs) == LONG.upper() + "END"
     assert "".join(r.request.split("Original:\n")[1].split("\nTranslation:")[0] for r in pairs) == LONG
@@ -68,7 +71,7 @@ def test_windows_cover_everything(spark):
 def test_editor_limit_is_an_option(spark):
     orders, originals, done = tables(spark)
     work = rq.work_per_order(orders, originals, done)
-    translated = spark.createDataFrame([(2, "de", "T")], "order_id bigint, language string, translated string")
+    translated = spark.createDataFrame([("f2", "de", "T")], "original_id string, language string, translated string")
     shown = lambda style: rq.editorial_requests(work, originals, translated, style).first().request.split("Original:\n")[1].split("\nTranslation:")[0]
     assert shown(rq.WHOLE) == LONG
     assert shown(rq.RequestStyle(original_limit=rq.EDITOR_LIMIT)) == LONG[:30000]
