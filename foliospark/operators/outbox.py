@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from foliospark.functions.text import fallback, thousands
 from foliospark.sources.dimensions import language_name
 
+# Subjects, the download path and the words used for empty lists.
+CONFIRMED = ("Order Confirmed: ", " Translation")
+NEW_ORDER = "New Order: "
+READY = "Your translations are ready: "
+COMPLETE = "Translation Complete: "
+DOWNLOAD_PATH = "/download/"
+NONE = "None"
+
 
 def language_names(languages: Column | str = "languages") -> Column:
     """Names joined with commas; an unknown code stands for itself."""
@@ -23,7 +31,7 @@ def links(base_url: str, languages: Column | str = "languages") -> Column:
         languages,
         lambda c: F.struct(
             F.coalesce(language_name(c), c).alias("language"),
-            F.concat(F.lit(base_url + "/download/"), order, F.lit("/"), c).alias("url"),
+            F.concat(F.lit(base_url + DOWNLOAD_PATH), order, F.lit("/"), c).alias("url"),
         ),
     )
 
@@ -47,20 +55,20 @@ def outbox(orders: DataFrame, admin: str, base_url: str) -> DataFrame:
         )
 
     confirmations = F.array(
-        notice("order_confirmation", F.col("email"), F.concat(F.lit("Order Confirmed: "), title, F.lit(" Translation")), F.upper(codes), False),
-        notice("admin_new_order", F.lit(admin), F.concat(F.lit("New Order: "), title, F.lit(" - "), amount), codes, False),
+        notice("order_confirmation", F.col("email"), F.concat(F.lit(CONFIRMED[0]), title, F.lit(CONFIRMED[1])), F.upper(codes), False),
+        notice("admin_new_order", F.lit(admin), F.concat(F.lit(NEW_ORDER), title, F.lit(" - "), amount), codes, False),
     )
     completions = F.array(
-        notice("completion", F.col("email"), F.concat(F.lit("Your translations are ready: "), title), language_names(), True),
-        notice("admin_completion", F.lit(admin), F.concat(F.lit("Translation Complete: "), title), language_names(), False),
+        notice("completion", F.col("email"), F.concat(F.lit(READY), title), language_names(), True),
+        notice("admin_completion", F.lit(admin), F.concat(F.lit(COMPLETE), title), language_names(), False),
     )
     notices = F.when(done, F.concat(confirmations, completions)).otherwise(confirmations)
     facts = orders.select(
         "order_id", "author_name", "book_title", "tier", "file_format", "genre",
         thousands("word_count").alias("words_text"),
         F.upper("file_format").alias("format_text"),
-        F.when(F.size("upsells") > 0, F.array_join("upsells", ", ")).otherwise(F.lit("None")).alias("upsells_text"),
-        fallback("special_instructions", "None").alias("instructions_text"),
+        F.when(F.size("upsells") > 0, F.array_join("upsells", ", ")).otherwise(F.lit(NONE)).alias("upsells_text"),
+        fallback("special_instructions", NONE).alias("instructions_text"),
         F.explode(notices).alias("n"),
     )
     return facts.select("*", "n.*").drop("n")

@@ -12,6 +12,14 @@ from foliospark.functions.text import fallback, thousands, trim_all
 from foliospark.operators.chunked import HOT_ROWS, rank_by_key
 from foliospark.sources import dimensions as dims
 
+# The pieces of a charge line.
+LINE_NAME = "Book Translation: "
+CURRENCY = "usd"
+WORDS_OPEN, WORDS_CLOSE = " words (", ") → "
+BULLET = " • "
+FORMAT_NOTE = " format preserved"
+VOUCHER_NOTE = " • Voucher: "
+
 UNKNOWN, EXPIRED, USED_UP = "unknown_code", "expired", "used_up"
 
 
@@ -138,12 +146,12 @@ def charge_lines(applied: DataFrame) -> DataFrame:
     columns of ``apply_voucher``.
     """
     voucher_note = F.when(
-        F.col("voucher_code").isNotNull(), F.concat(F.lit(" • Voucher: "), F.col("voucher_code"))
+        F.col("voucher_code").isNotNull(), F.concat(F.lit(VOUCHER_NOTE), F.col("voucher_code"))
     ).otherwise(F.lit(""))
     description = F.concat(
-        thousands("word_count"), F.lit(" words ("), F.col("tier"), F.lit(") → "),
-        F.upper(F.array_join("languages", ", ")), F.lit(" • "), F.upper("file_format"),
-        F.lit(" format preserved"), voucher_note,
+        thousands("word_count"), F.lit(WORDS_OPEN), F.col("tier"), F.lit(WORDS_CLOSE),
+        F.upper(F.array_join("languages", ", ")), F.lit(BULLET), F.upper("file_format"),
+        F.lit(FORMAT_NOTE), voucher_note,
     )
     metadata = F.struct(
         F.col("author_name").alias("authorName"),
@@ -160,9 +168,9 @@ def charge_lines(applied: DataFrame) -> DataFrame:
         F.col("charged_total").cast("string").alias("finalAmount"),
     )
     return (
-        applied.withColumn("line_name", F.concat(F.lit("Book Translation: "), F.col("book_title")))
+        applied.withColumn("line_name", F.concat(F.lit(LINE_NAME), F.col("book_title")))
         .withColumn("line_description", description)
-        .withColumn("currency", F.lit("usd"))
+        .withColumn("currency", F.lit(CURRENCY))
         .withColumn("quantity", F.lit(1).cast("long"))
         .withColumn("metadata", metadata)
     )
