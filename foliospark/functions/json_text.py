@@ -8,25 +8,38 @@ from pyspark.sql import functions as F
 from foliospark.functions.text import col, trim_all
 
 _OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "mode": "PERMISSIVE"}
-_END = "end_of_text_mark"
+_END, _BROKEN = "end_of_text_mark", "broken_text"
 
 
 def with_json(df: DataFrame, name: str, text: Column | str, ddl: str) -> DataFrame:
     """Add ``name``: ``text`` parsed as exactly one value of type ``ddl``, null when it is not.
 
-    The plain parser stops after the first value, so trailing text would pass. Here the value is
-    put between an opening array and an end mark: two values give an array of two, and trailing
-    text hides the mark.
+    The built-in parser is lenient in two ways: it stops after the first value, and it skips a
+    field it cannot read, even one with a syntax error, as if only its type were wrong. So a first
+    pass checks the text alone, reading no field of an object. The value is put between an opening
+    array and an end mark: two values give an array of two, trailing text hides the mark, and a
+    syntax error fills the broken-text column. The second pass reads the fields; a field of another
+    type is null.
 
-    The one-item explode is a fence: without it the optimizer copies the parser into every
+    The one-item explodes are fences: without them the optimizer copies the parser into every
     expression and pushed-down filter that uses the result, and each copy parses the text again.
     """
-    wrapped = F.concat(F.lit('{"v":['), col(text), F.lit(f'],"{_END}":true}}'))
-    parsed = F.from_json(wrapped, f"struct<v:array<{ddl}>,{_END}:boolean>", _OPTIONS)
-    raw = f"_{name}"
-    once = df.select("*", F.explode(F.array(parsed)).alias(raw))
-    whole = F.col(raw)[_END] & (F.size(F.col(raw)["v"]) == 1)
-    return once.withColumn(name, F.when(whole, F.get(F.col(raw)["v"], F.lit(0)))).drop(raw)
+    text, raw = col(text), f"_{name}"
+    wrapped = F.concat(F.lit('{"v":['), text, F.lit(f'],"{_END}":true}}'))
+    opening, shape = ("[", "array<string>") if ddl.startswith("array") else ("{", "struct<no_such_field:string>")
+    check = F.from_json(
+        wrapped, f"struct<v:array<{shape}>,{_END}:boolean,{_BROKEN}:string>",
+        {**_OPTIONS, "columnNameOfCorruptRecord": _BROKEN},
+    )
+    checked = df.select("*", F.explode(F.array(check)).alias(raw))
+    whole = (
+        F.col(raw)[_END]
+        & (F.size(F.col(raw)["v"]) == 1)
+        & F.col(raw)[_BROKEN].isNull()
+        & F.startswith(F.btrim(text, F.lit(" \t\r\n")), F.lit(opening))
+    )
+    value = F.from_json(F.when(whole, text), ddl, _OPTIONS)
+    return checked.select("*", F.explode(F.array(value)).alias(name)).drop(raw)
 
 
 def strip_fences(text: Column | str) -> Column:

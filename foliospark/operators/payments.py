@@ -24,11 +24,8 @@ def typed_events(bodies: DataFrame, body: str = "body") -> DataFrame:
     names what is wrong.
     """
     meta = "_e.data.object.metadata."
-    event = with_event(bodies, "_e", body)
-    paid = F.col("_e.type") == PAID  # the lists inside other events are not looked at
-    event = with_json(event, "_languages", F.when(paid, F.col(meta + "selectedLanguages")), "array<string>")
-    event = with_json(event, "_upsells", F.when(paid, fallback(meta + "selectedUpsells", "[]")), "array<string>")
-    typed = event.select(
+    # The event is flattened at once, so that the list parsers below carry plain columns only.
+    flat = with_event(bodies, "_e", body).select(
         *[F.col(c) for c in bodies.columns if c != body],
         F.col("_e.type").alias("event_type"),
         F.col("_e.id").alias("event_id"),
@@ -39,15 +36,18 @@ def typed_events(bodies: DataFrame, body: str = "body") -> DataFrame:
         leading_int(meta + "wordCount").alias("word_count"),
         F.col(meta + "tier").alias("tier"),
         F.col(meta + "fileFormat").alias("file_format"),
-        F.col("_languages").alias("languages"),
         F.col(meta + "selectedGenre").alias("genre"),
-        F.col("_upsells").alias("upsells"),
         F.nullif(F.col(meta + "specialInstructions"), F.lit("")).alias("special_instructions"),
         from_cents("_e.data.object.amount_total").alias("amount_paid"),
         F.nullif(F.col(meta + "voucherCode"), F.lit("")).alias("voucher_code"),
         parse_money(meta + "originalAmount").alias("original_amount"),
         F.timestamp_seconds("_e.created").cast("timestamp_ntz").alias("created_at"),
+        # The lists inside other events are not looked at.
+        F.when(F.col("_e.type") == PAID, F.col(meta + "selectedLanguages")).alias("_languages_text"),
+        F.when(F.col("_e.type") == PAID, fallback(meta + "selectedUpsells", "[]")).alias("_upsells_text"),
     )
+    listed = with_json(flat, "languages", "_languages_text", "array<string>")
+    typed = with_json(listed, "upsells", "_upsells_text", "array<string>").drop("_languages_text", "_upsells_text")
     reason = (
         F.when(F.col("event_type").isNull(), F.lit("bad_body"))
         .when(F.col("event_type") != PAID, F.lit("ignored_type"))
@@ -63,7 +63,7 @@ def typed_events(bodies: DataFrame, body: str = "body") -> DataFrame:
 def paid_orders(typed: DataFrame) -> DataFrame:
     """Good paid events as pending order rows, replays still included."""
     return (
-        typed.filter(F.col("reason").isNull())
+        typed.filter((F.col("event_type") == PAID) & F.col("reason").isNull())
         .withColumn("order_id", order_key("payment_session_id"))
         .withColumn("status", F.lit("pending"))
         .drop("reason", "event_type")

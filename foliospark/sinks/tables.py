@@ -7,6 +7,8 @@ row, and readers fold by key.
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ def ensure(spark: SparkSession, folder: str, ddl: str, by: str = "run_id", parti
     write_run(spark.createDataFrame([], ddl), folder, 0, by, partition_by)
 
 
+def batch_number(checkpoint: str, batch_id: int) -> int:
+    """Folder number of a micro-batch. Batches count from zero for every checkpoint, so the number also
+    depends on the checkpoint's name: a stream started over with a new one replaces nothing."""
+    return (zlib.crc32(checkpoint.encode()) << 31) + batch_id + 1
+
+
 def write_run(rows: DataFrame, folder: str, run_id: int, by: str = "run_id", partition_by: tuple[str, ...] = ()) -> None:
     """Replace one run's folder. Partitioned rows are rebalanced first: small partition values share
     a task and large ones are split, so neither tiny files nor one overloaded task come out."""

@@ -66,11 +66,11 @@ def pending_work(orders: DataFrame) -> DataFrame:
     )
 
 
-def batch_writer(folder: str):
+def batch_writer(folder: str, checkpoint: str):
     """Write one micro-batch: new orders first, then the work they trigger.
 
     Both folders are named by the batch, so a repeated batch replaces its own rows. The batch is
-    compared with the keys of earlier batches only, so its own first attempt does not hide it. A
+    compared with the keys of all other batches, so its own first attempt does not hide it. A
     replayed event keeps the day it was created, and the table is partitioned by that day: the
     comparison reads one column of the days the batch spans, not of the whole table. Replays within
     the batch are combined on the map side before anything is shuffled by session.
@@ -78,7 +78,7 @@ def batch_writer(folder: str):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        number = batch_id + 1  # partition 0 is the empty one made by ``prepare``
+        number = tables.batch_number(checkpoint, batch_id)
         rows = batch.persist()
         try:
             first, last = rows.agg(F.min("created_date"), F.max("created_date")).first()
@@ -86,7 +86,7 @@ def batch_writer(folder: str):
                 return
             stored = stored_orders(spark, folder)
             days = F.col("created_date").between(F.lit(first), F.lit(last))
-            earlier = stored.filter((F.col(BATCH) < number) & days).select("payment_session_id")
+            earlier = stored.filter((F.col(BATCH) != number) & days).select("payment_session_id")
             once = first_delivery(rows).select(*ORDER_COLUMNS)
             new = once.join(earlier, "payment_session_id", "left_anti")
             tables.write_run(new, f"{folder}/orders", number, BATCH, DAY)
@@ -101,8 +101,11 @@ def batch_writer(folder: str):
 def start(
     bodies: DataFrame, folder: str, checkpoint: str, watermark: str = "2 hours", available_now: bool = False
 ) -> StreamingQuery:
-    """Start the job. Call ``prepare`` once before; restart with the same checkpoint to resume."""
-    writer = orders_stream(bodies, watermark).writeStream.foreachBatch(batch_writer(folder))
+    """Start the job. Call ``prepare`` once before; restart with the same checkpoint to resume.
+
+    A start with a new checkpoint reads all events again and adds only orders that are not stored.
+    """
+    writer = orders_stream(bodies, watermark).writeStream.foreachBatch(batch_writer(folder, checkpoint))
     writer = writer.option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -20,11 +20,11 @@ def prepare(spark: SparkSession, folder: str) -> None:
     tables.ensure(spark, folder, STAGED_DDL, BATCH)
 
 
-def batch_writer(folder: str):
+def batch_writer(folder: str, checkpoint: str):
     """Keep one row per session and batch; a repeated batch replaces its own folder."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        tables.write_run(latest_upload(batch).select(*COLUMNS), folder, batch_id + 1, BATCH)
+        tables.write_run(latest_upload(batch).select(*COLUMNS), folder, tables.batch_number(checkpoint, batch_id), BATCH)
 
     return write
 
@@ -35,7 +35,7 @@ def staged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def start(uploads: DataFrame, folder: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    writer = uploads.select(*COLUMNS).writeStream.foreachBatch(batch_writer(folder))
+    writer = uploads.select(*COLUMNS).writeStream.foreachBatch(batch_writer(folder, checkpoint))
     writer = writer.option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -64,9 +64,9 @@ def feed(spark, folder, name, rows):
     spark.createDataFrame(rows, BODIES).coalesce(1).write.mode("append").parquet(f"{folder}/in/{name}")
 
 
-def run(spark, folder):
+def run(spark, folder, checkpoint="checkpoint"):
     bodies = spark.readStream.schema(BODIES).parquet(f"{folder}/in/*")
-    job = stream.start(bodies, f"{folder}/out", f"{folder}/checkpoint", "2 hours", available_now=True)
+    job = stream.start(bodies, f"{folder}/out", f"{folder}/{checkpoint}", "2 hours", available_now=True)
     job.awaitTermination()
 
 
@@ -84,8 +84,13 @@ def test_stream_restart_and_replays(spark, folder):
     orders = stream.stored_orders(spark, f"{folder}/out").collect()
     keys = [r.payment_session_id for r in orders]
     assert len(keys) == len(set(keys)) and set(keys) == {f"cs_{n}" for n in [*range(20), 30, 31]}
+    # A lost checkpoint: everything is read again, nothing is stored twice or replaced.
+    feed(spark, folder, "d", [(body(40), at(60 * 24 * 9))])
+    run(spark, folder, "another")
+    keys = [r.payment_session_id for r in stream.stored_orders(spark, f"{folder}/out").collect()]
+    assert len(keys) == len(set(keys)) == 23
     work = stream.stored_work(spark, f"{folder}/out").collect()
-    assert len(work) == 2 * 22
+    assert len(work) == 2 * 23
     assert {(r.language, r.position) for r in work} == {("fr", 1), ("es", 2)}
 
 
@@ -94,7 +99,7 @@ def test_repeated_batch_replaces_itself(spark, folder):
     rows = spark.createDataFrame([(body(n), at(n)) for n in range(5)], BODIES)
     day = payments.F.col("created_at").cast("date")
     batch = payments.paid_orders(payments.typed_events(rows)).withColumn("created_date", day).select(*stream.ORDER_COLUMNS)
-    write = stream.batch_writer(f"{folder}/out")
+    write = stream.batch_writer(f"{folder}/out", "c")
     for _ in range(3):
         write(batch, 0)
     write(batch, 1)
@@ -105,7 +110,7 @@ def test_repeated_batch_replaces_itself(spark, folder):
 @pytest.mark.parametrize("order", [[0, 1, 2], [2, 1, 0]])
 def test_staged_uploads_fold(spark, folder, order):
     uploads.prepare(spark, folder)
-    write = uploads.batch_writer(folder)
+    write = uploads.batch_writer(folder, "c")
     ddl = "session_id string, upload_id bigint, created_at timestamp, file_name string, file_format string, word_count bigint"
     for number, k in enumerate(order):
         rows = [("s1", k * 10 + i, at(k * 10 + i), f"f{k}{i}.txt", ".txt", 1) for i in range(3)] + [(f"t{k}", 100 + k, at(0), "x.txt", ".txt", 2)]
