@@ -32,21 +32,28 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
 
 def with_chunks(df: DataFrame, keys: list[str], ts: str, unit: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the time chunk: null for ordinary keys, the truncated time for hot ones."""
-    marked = df.join(F.broadcast(hot_keys(df, keys, hot_rows)), keys, "left")
+    hot = F.broadcast(hot_keys(df, keys, hot_rows))
+    marked = df.alias("l").join(hot.alias("r"), _same(keys), "left").select("l.*", f"r.{HOT}")
     return marked.withColumn(CHUNK, F.when(F.col(HOT), F.date_trunc(unit, F.col(ts))))
 
 
-def _carry(inside: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
-    test = F.col(f"l.{CHUNK}") == F.col(f"r.{CHUNK}")
+def _same(keys: list[str]) -> Column:
+    """Equality of the keys of sides l and r; a null key is a key like any other."""
+    test = F.lit(True)
     for key in keys:
-        test = test & (F.col(f"l.{key}") == F.col(f"r.{key}"))
+        test = test & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
+    return test
+
+
+def _carry(inside: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
+    test = _same(keys) & (F.col(f"l.{CHUNK}") == F.col(f"r.{CHUNK}"))
     return inside.alias("l").join(chunks.alias("r"), test, "left")
 
 
 def lag_by_key(
     df: DataFrame, keys: list[str], ts: str, tie: str, value: str, out: str, unit: str = "hour", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """``lag(value)`` over (partition by keys order by ts, tie). Keys must not be null."""
+    """``lag(value)`` over (partition by keys order by ts, tie). ``unit`` is the chunk of a hot key."""
     chunked = with_chunks(df, keys, ts, unit, hot_rows)
     inner = Window.partitionBy(*keys, CHUNK).orderBy(ts, tie)
     inside = chunked.withColumn("_lag", F.lag(value).over(inner)).withColumn("_rn", F.row_number().over(inner))
@@ -61,7 +68,7 @@ def lag_by_key(
 def rank_by_key(
     df: DataFrame, keys: list[str], ts: str, tie: str, out: str, unit: str = "hour", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """``row_number()`` over (partition by keys order by ts, tie). Keys must not be null."""
+    """``row_number()`` over (partition by keys order by ts, tie). ``unit`` is the chunk of a hot key."""
     chunked = with_chunks(df, keys, ts, unit, hot_rows)
     inner = Window.partitionBy(*keys, CHUNK).orderBy(ts, tie)
     inside = chunked.withColumn("_rn", F.row_number().over(inner))

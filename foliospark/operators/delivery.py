@@ -22,6 +22,11 @@ def order_reference(session_id: Column | str) -> Column:
     return F.right(session_id, F.lit(REFERENCE_CHARS))
 
 
+def order_by_id(orders: DataFrame, order_id) -> DataFrame:
+    """Rows of one order. The equality reaches the Parquet scan, which skips row groups by their bounds."""
+    return orders.filter(F.col("order_id") == F.lit(order_id))
+
+
 def lookup_one(wanted: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """For each wanted key: how often asked, how many rows match, and found / missing / ambiguous.
 
@@ -37,6 +42,7 @@ def lookup_one(wanted: DataFrame, table: DataFrame, key: str) -> DataFrame:
 def resolve(requests: DataFrame, orders: DataFrame, files: DataFrame) -> DataFrame:
     """One row per requested (order_id, language): the outcome, and the latest file where there is one.
 
+    orders holds one row per order_id; the checks apply in the order an interactive download makes them.
     Requests and files are reduced to one row per pair first and meet on the pair, which both are
     already partitioned by; the order's status joins after that. No text column is touched.
     """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import extension, title_from_name, word_count  # noqa: F401
+from foliospark.functions.text import extension, title_from_name, word_count
 from foliospark.sources.dimensions import FORMATS, OPAQUE_FORMATS, TEXT_FORMATS
 
 # Fixed value: bytes per word assumed for files whose text is not read.

@@ -37,8 +37,8 @@ def check_orders(orders: DataFrame) -> DataFrame:
         "no_language": F.size(languages) == 0,
         "repeated_language": F.size(F.array_distinct(languages)) < F.size(languages),
         "unknown_language": F.size(F.array_except(languages, known)) > 0,
-        "repeated_addon": F.size(F.array_distinct("upsells")) < F.size("upsells"),
-        "bad_format": ~F.col("file_format").isin(*["." + f for f, _ in FORMATS]),
+        "repeated_addon": F.coalesce(F.size(F.array_distinct("upsells")) < F.size("upsells"), F.lit(False)),
+        "bad_format": ~F.coalesce(F.col("file_format").isin(*["." + f for f, _ in FORMATS]), F.lit(False)),
     }
     out = orders
     for name, test in checks.items():

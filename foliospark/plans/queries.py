@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliospark.functions.text import word_count
 from foliospark.operators import (
     checkout, delivery, editorial, inference, intake, launch, outbox, payments, pricing, quality, reports,
     requests, retention, selection, status, vouchers,
@@ -88,13 +89,13 @@ def docx_bulk_extract(spark, d):
     text = manuscripts.extract_docx(fx.docx_files(spark, d), "bytes")
     return text.select(
         "doc_id", F.length("content").cast("long").alias("chars"), digest("content").alias("content_md5"),
-        intake.word_count("content").alias("words"), "error",
+        word_count("content").alias("words"), "error",
     )
 
 
 def books(spark, d):
     """Books made of all documents of one source or one language."""
-    docs = table(spark, d, "documents").select("source", "lang", intake.word_count("text").alias("word_count"))
+    docs = table(spark, d, "documents").select("source", "lang", word_count("text").alias("word_count"))
     return intake.book_totals(docs, "source", "lang")
 
 

@@ -117,3 +117,30 @@ def test_launch_rules_and_document(spark):
     doc = out[2].document
     assert "Box 2: a, b\n" in doc and "Box 7: \n" in doc and "KDP UPLOAD CHECKLIST FOR AMAZON.DE" in doc
     assert "☐ 1. s\n\n☐ 2. t" in doc and "\n25. k24\n" in doc and doc.splitlines()[2] == "Title — German (Germany, Austria, and Switzerland)"
+
+
+def test_relations_have_fixed_schemas(spark, folder):
+    from foliospark.operators import delivery
+
+    made = spark.range(10).select(
+        F.col("id").cast("string").alias("order_id"), F.lit("completed").alias("status"), F.array(F.lit("es")).alias("languages")
+    )
+    made.write.parquet(f"{folder}/orders")
+    orders = tables.orders(spark, f"{folder}/orders")
+    assert dict(orders.dtypes)["amount_paid"] == "decimal(10,2)" and orders.count() == 10
+    one = delivery.order_by_id(orders, "7")
+    assert one.first().languages == ["es"] and one.count() == 1
+    assert "PushedFilters: [IsNotNull(order_id), EqualTo(order_id,7)]" in one._jdf.queryExecution().executedPlan().toString()
+    for reader in (tables.files, tables.staged):
+        assert reader(spark, f"{folder}/orders").count() == 10
+
+
+def test_order_checks(spark):
+    from foliospark.operators import quality
+
+    ddl = "id int, email string, book_title string, languages array<string>, upsells array<string>, file_format string"
+    rows = [(1, "a", "t", ["es"], [], ".txt"), (2, "", None, [], ["x", "x"], ".mobi"), (3, "a", "t", ["es", "es", "xx"], None, None)]
+    out = {r.id: r for r in quality.check_orders(spark.createDataFrame(rows, ddl)).collect()}
+    assert out[1].failed_checks == 0
+    assert out[2].failed_checks == 5 and not out[2].unknown_language
+    assert out[3].repeated_language and out[3].unknown_language and out[3].bad_format and out[3].failed_checks == 3
