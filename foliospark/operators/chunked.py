@@ -5,6 +5,9 @@ one key holds a large share of the table. Here the log of every hot key is cut i
 the window runs per (key, chunk), one small row per chunk is ordered per hot key to carry the
 result across chunks, and that row joins back on the partitioning the data already has. Other keys
 have a single chunk and take part in none of the extra steps.
+
+The key columns are compared as one struct, in which nulls are equal: rows without a key are a
+group like any other, and often the hottest one.
 """
 
 from __future__ import annotations
@@ -12,8 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = "_chunk"
-HOT = "_hot"
+KEY, CHUNK, HOT = "_key", "_chunk", "_hot"
 HOT_ROWS = 1_000_000
 MOST_HOT_KEYS = 100_000
 
@@ -27,42 +29,29 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
     total = df.agg(F.count("*")).scalar()
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     hot = (F.col("_n") > hot_rows) & (F.col("_n") * MOST_HOT_KEYS > total)
-    return counts.filter(hot).select(*keys, F.lit(True).alias(HOT))
+    return counts.filter(hot).select(F.struct(*keys).alias(KEY), F.lit(True).alias(HOT))
 
 
 def with_chunks(df: DataFrame, keys: list[str], ts: str, unit: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add the time chunk: null for ordinary keys, the truncated time for hot ones."""
-    hot = F.broadcast(hot_keys(df, keys, hot_rows))
-    marked = df.alias("l").join(hot.alias("r"), _same(keys), "left").select("l.*", f"r.{HOT}")
+    """Add the key struct and the time chunk: null for ordinary keys, the truncated time for hot ones."""
+    keyed = df.withColumn(KEY, F.struct(*keys))
+    marked = keyed.join(F.broadcast(hot_keys(df, keys, hot_rows)), KEY, "left")
     return marked.withColumn(CHUNK, F.when(F.col(HOT), F.date_trunc(unit, F.col(ts))))
 
 
-def _same(keys: list[str]) -> Column:
-    """Equality of the keys of sides l and r; a null key is a key like any other."""
-    test = F.lit(True)
-    for key in keys:
-        test = test & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-    return test
-
-
-def _carry(inside: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
-    test = _same(keys) & (F.col(f"l.{CHUNK}") == F.col(f"r.{CHUNK}"))
-    return inside.alias("l").join(chunks.alias("r"), test, "left")
-
-
 def lag_by_key(
     df: DataFrame, keys: list[str], ts: str, tie: str, value: str, out: str, unit: str = "hour", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """``lag(value)`` over (partition by keys order by ts, tie). ``unit`` is the chunk of a hot key."""
     chunked = with_chunks(df, keys, ts, unit, hot_rows)
-    inner = Window.partitionBy(*keys, CHUNK).orderBy(ts, tie)
+    inner = Window.partitionBy(KEY, CHUNK).orderBy(ts, tie)
     inside = chunked.withColumn("_lag", F.lag(value).over(inner)).withColumn("_rn", F.row_number().over(inner))
-    lasts = chunked.filter(HOT).groupBy(*keys, CHUNK).agg(F.max_by(value, F.struct(ts, tie)).alias("_last"))
-    across = Window.partitionBy(*keys).orderBy(CHUNK)
-    carried = lasts.select(*keys, CHUNK, F.lag("_last").over(across).alias("_carried"))
+    lasts = chunked.filter(HOT).groupBy(KEY, CHUNK).agg(F.max_by(value, F.struct(ts, tie)).alias("_last"))
+    across = Window.partitionBy(KEY).orderBy(CHUNK)
+    carried = lasts.select(KEY, CHUNK, F.lag("_last").over(across).alias("_carried"))
     first = F.col(HOT) & (F.col("_rn") == 1)
     value_out = F.when(first, F.col("_carried")).otherwise(F.col("_lag"))
-    return _carry(inside, carried, keys).select(*[F.col(f"l.{c}") for c in df.columns], value_out.alias(out))
+    return inside.join(carried, [KEY, CHUNK], "left").select(*df.columns, value_out.alias(out))
 
 
 def rank_by_key(
@@ -70,13 +59,13 @@ def rank_by_key(
 ) -> DataFrame:
     """``row_number()`` over (partition by keys order by ts, tie). ``unit`` is the chunk of a hot key."""
     chunked = with_chunks(df, keys, ts, unit, hot_rows)
-    inner = Window.partitionBy(*keys, CHUNK).orderBy(ts, tie)
+    inner = Window.partitionBy(KEY, CHUNK).orderBy(ts, tie)
     inside = chunked.withColumn("_rn", F.row_number().over(inner))
-    counts = chunked.filter(HOT).groupBy(*keys, CHUNK).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = chunked.filter(HOT).groupBy(KEY, CHUNK).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(KEY, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     place = (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("long")
-    return _carry(inside, offsets, keys).select(*[F.col(f"l.{c}") for c in df.columns], place.alias(out))
+    return inside.join(offsets, [KEY, CHUNK], "left").select(*df.columns, place.alias(out))
 
 
 def chunk_order() -> Column:

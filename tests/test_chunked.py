@@ -86,5 +86,7 @@ def test_hot_keys_are_the_hot_ones(spark):
     from foliospark.operators.chunked import hot_keys
 
     df = spark.createDataFrame(log(3), "order_id int, change_id int, changed_at timestamp_ntz, status string")
-    assert [r.order_id for r in hot_keys(df, ["order_id"], 100).collect()] == [0]
+    assert [r["_key"].order_id for r in hot_keys(df, ["order_id"], 100).collect()] == [0]
+    nulls = spark.createDataFrame(log(3, hot=None), df.schema)
+    assert [r["_key"].order_id for r in hot_keys(nulls, ["order_id"], 100).collect()] == [None]
     assert hot_keys(df, ["order_id"]).count() == 0
