@@ -24,7 +24,9 @@ def with_json(df: DataFrame, name: str, text: Column | str, ddl: str) -> DataFra
     The one-item explodes are fences: without them the optimizer copies the parser into every
     expression and pushed-down filter that uses the result, and each copy parses the text again.
     """
-    text, raw = col(text), f"_{name}"
+    raw, held = f"_{name}", f"_{name}_text"
+    df = df.withColumn(held, col(text))  # used three times below, computed once
+    text = F.col(held)
     wrapped = F.concat(F.lit('{"v":['), text, F.lit(f'],"{_END}":true}}'))
     opening, shape = ("[", "array<string>") if ddl.startswith("array") else ("{", "struct<no_such_field:string>")
     check = F.from_json(
@@ -39,7 +41,7 @@ def with_json(df: DataFrame, name: str, text: Column | str, ddl: str) -> DataFra
         & F.startswith(F.btrim(text, F.lit(" \t\r\n")), F.lit(opening))
     )
     value = F.from_json(F.when(whole, text), ddl, _OPTIONS)
-    return checked.select("*", F.explode(F.array(value)).alias(name)).drop(raw)
+    return checked.select("*", F.explode(F.array(value)).alias(name)).drop(raw, held)
 
 
 def strip_fences(text: Column | str) -> Column:

@@ -43,11 +43,11 @@ def typed_events(bodies: DataFrame, body: str = "body") -> DataFrame:
         parse_money(meta + "originalAmount").alias("original_amount"),
         F.timestamp_seconds("_e.created").cast("timestamp_ntz").alias("created_at"),
         # The lists inside other events are not looked at.
-        F.when(F.col("_e.type") == PAID, F.col(meta + "selectedLanguages")).alias("_languages_text"),
-        F.when(F.col("_e.type") == PAID, fallback(meta + "selectedUpsells", "[]")).alias("_upsells_text"),
+        F.when(F.col("_e.type") == PAID, F.col(meta + "selectedLanguages")).alias("_list_of_languages"),
+        F.when(F.col("_e.type") == PAID, fallback(meta + "selectedUpsells", "[]")).alias("_list_of_upsells"),
     )
-    listed = with_json(flat, "languages", "_languages_text", "array<string>")
-    typed = with_json(listed, "upsells", "_upsells_text", "array<string>").drop("_languages_text", "_upsells_text")
+    listed = with_json(flat, "languages", "_list_of_languages", "array<string>")
+    typed = with_json(listed, "upsells", "_list_of_upsells", "array<string>").drop("_list_of_languages", "_list_of_upsells")
     reason = (
         F.when(F.col("event_type").isNull(), F.lit("bad_body"))
         .when(F.col("event_type") != PAID, F.lit("ignored_type"))
