@@ -38,7 +38,7 @@ def with_json(df: DataFrame, name: str, text: Column | str, ddl: str) -> DataFra
         F.col(raw)[_END]
         & (F.size(F.col(raw)["v"]) == 1)
         & F.col(raw)[_BROKEN].isNull()
-        & F.startswith(F.btrim(text, F.lit(" \t\r\n")), F.lit(opening))
+        & F.startswith(F.ltrim(text, F.lit(" \t\r\n")), F.lit(opening))
     )
     value = F.from_json(F.when(whole, text), ddl, _OPTIONS)
     return checked.select("*", F.explode(F.array(value)).alias(name)).drop(raw, held)
