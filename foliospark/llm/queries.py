@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from foliospark.llm import simhash_dedup
+from foliospark.llm import quality, simhash_dedup
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op6_simhash": simhash_dedup.op6_simhash,
 }
 ORACLES: dict[str, str] = {}
