@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from foliospark.llm import quality, simhash_dedup
+from foliospark.llm import line_dedup, quality, simhash_dedup
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op6_simhash": simhash_dedup.op6_simhash,
+    "op9_lines": line_dedup.op9_lines,
 }
 ORACLES: dict[str, str] = {}
