@@ -63,6 +63,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+KNOWN_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64."""
+    if len(KNOWN_POWERS.get(base, ())) < n:
+        KNOWN_POWERS[base] = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, base, np.uint64))])
+    return KNOWN_POWERS[base][:n]
+
+
 def bounded(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts with about ``most`` characters each; a longer text stands alone."""
     start, size = 0, 0

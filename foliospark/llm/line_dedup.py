@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm import common
-from foliospark.llm.common import mix, stored
+from foliospark.llm.common import mix, powers, stored
 
 MAX_EDITS = 2
 PER_EDIT = 10  # code points of the shorter line
@@ -43,16 +43,6 @@ def edits_for(length):
     return np.minimum(MAX_EDITS, length // PER_EDIT)
 
 
-KNOWN_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    if len(KNOWN_POWERS.get(base, ())) < n:
-        KNOWN_POWERS[base] = np.concatenate([[U(1)], np.multiply.accumulate(np.full(n, base, U))])
-    return KNOWN_POWERS[base][:n]
-
-
 class Lines:
     """The lines of some texts with prefix sums from which the hash of any substring follows."""
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from foliospark.llm import line_dedup, quality, simhash_dedup
+from foliospark.llm import decontaminate, line_dedup, mixing, quality, simhash_dedup
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op5_mixing": mixing.op5_mixing,
     "op6_simhash": simhash_dedup.op6_simhash,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_lines": line_dedup.op9_lines,
 }
 ORACLES: dict[str, str] = {}
