@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from foliospark.llm import decontaminate, line_dedup, mixing, quality, simhash_dedup
+import corpus_pipeline
+from foliospark.llm import decontaminate, line_dedup, mixing, quality, simhash_dedup, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,5 +11,7 @@ QUERIES = {
     "op6_simhash": simhash_dedup.op6_simhash,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_lines": line_dedup.op9_lines,
+    "op10_urls": url_filter.op10_urls,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
