@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliospark.llm import decontaminate, line_dedup, mixing, quality, simhash_dedup, url_filter
+from foliospark.llm import decontaminate, line_dedup, mixing, quality, secrets, simhash_dedup, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_secrets": secrets.op2_secrets,
     "op5_mixing": mixing.op5_mixing,
     "op6_simhash": simhash_dedup.op6_simhash,
     "op8_decontaminate": decontaminate.op8_decontaminate,
