@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliospark.llm import decontaminate, line_dedup, mixing, quality, secrets, simhash_dedup, url_filter
+from foliospark.llm import decontaminate, line_dedup, mixing, quality, secrets, simhash_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_secrets": secrets.op2_secrets,
     "op5_mixing": mixing.op5_mixing,
     "op6_simhash": simhash_dedup.op6_simhash,
+    "op7_suffix": suffix_dedup.op7_suffix,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_lines": line_dedup.op9_lines,
     "op10_urls": url_filter.op10_urls,

@@ -72,10 +72,15 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], kinds.index(s[0]), s[2]))
 
 
-@pandas_udf(SPANS)
-def scan_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(t)] for t in common.strings(texts)], dtype=object)
+def scanner():
+    """Column function text -> spans."""
+
+    @pandas_udf(SPANS)
+    def scan_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in spans_of(t)] for t in common.strings(texts)], dtype=object)
+
+    return scan_text
 
 
 def address(content: Column) -> Column:
@@ -97,7 +102,7 @@ def scan(versions: DataFrame, ledger: str, content: str = "content", rule_versio
     seen = read_ledger(spark, ledger).where(F.col("rule_version") == rule_version).select("blob")
     text = F.coalesce(common.named(content), F.lit(""))
     blobs = versions.select(address(common.named(content)).alias("blob"), text.alias("text")).dropDuplicates(["blob"])
-    fresh = blobs.join(seen, "blob", "left_anti").select("blob", F.lit(rule_version).alias("rule_version"), scan_text("text").alias("spans"))
+    fresh = blobs.join(seen, "blob", "left_anti").select("blob", F.lit(rule_version).alias("rule_version"), scanner()("text").alias("spans"))
     fresh.write.parquet(f"{ledger}/run-{uuid.uuid4().hex}")
     known = read_ledger(spark, ledger).where(F.col("rule_version") == rule_version).dropDuplicates(["blob"]).select("blob", "spans")
     others = [c for c in versions.columns if c != content]
