@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +87,17 @@ def bounded(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def pieces(column: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
+    """The texts of an Arrow column (null: empty), some at a time: about ``most`` bytes, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    start = 0
+    while start < len(ends):
+        limit = (ends[start - 1] if start else 0) + most
+        stop = max(start + 1, int(np.searchsorted(ends, limit, "right")))
+        yield start, strings(column.slice(start, stop - start).to_pylist())
+        start = stop
+
+
 def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """2**bits bits on the driver, set at the low bits of the hashes: a filter of constant size.
 

@@ -31,7 +31,7 @@ from foliospark.llm.common import mix, powers, stored
 
 MAX_EDITS = 2
 PER_EDIT = 10  # code points of the shorter line
-PIECE = 1 << 21  # code points hashed at once
+PIECE = 1 << 19  # bytes hashed at once
 FILTER_BITS = 26  # of the filter of lines to fetch: 8 MB whatever the input
 CELLS = 1 << 22  # code points of the pairs verified at once
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -105,14 +105,28 @@ class Lines:
                                 yield rows[at[ok[some]]], key[some], flag
 
 
+class Recent:
+    """Drops most lines that a task has sent before, in constant memory, so that a hot line is few rows."""
+
+    def __init__(self, bits: int = 18):
+        self.slots = np.zeros(1 << bits, U)
+
+    def fresh(self, ids: np.ndarray) -> np.ndarray:
+        """Positions of different lines, without those still remembered."""
+        some, at = np.unique(ids, return_index=True)
+        slot = (some & U(len(self.slots) - 1)).astype(np.int64)
+        new = self.slots[slot] != some
+        self.slots[slot[new]] = some[new]
+        return at[new]
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, number, a, b, length): each line of each document, its place and its 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = common.strings(batch.column("text").to_pylist())
-            for x, y in common.bounded(texts, PIECE):
-                lines = Lines(texts[x:y])
+            for x, texts in common.pieces(batch.column("text"), PIECE):
+                lines = Lines(texts)
                 a, b = lines.ids()
                 rows = pa.array(lines.doc + x)
                 yield pa.RecordBatch.from_arrays(
@@ -126,15 +140,15 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def key_rows(docs: DataFrame) -> DataFrame:
-    """(key, a, indexed): keys of every line, once per line and batch."""
+    """(key, a, indexed): keys of every line, about once per line and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
         for batch in batches:
-            texts = common.strings(batch.column("text").to_pylist())
-            for x, y in common.bounded(texts, PIECE):
-                lines = Lines(texts[x:y])
+            for _, texts in common.pieces(batch.column("text"), PIECE):
+                lines = Lines(texts)
                 a, _ = lines.ids()
-                _, once = np.unique(a, return_index=True)
+                once = recent.fresh(a)
                 for rows, key, flag in lines.keys(once[lines.lengths[once] >= PER_EDIT]):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.view(np.int64)), pa.array(a[rows].view(np.int64)), pa.array(np.full(len(rows), flag))], names=["key", "a", "indexed"]
@@ -144,16 +158,16 @@ def key_rows(docs: DataFrame) -> DataFrame:
 
 
 def fetched(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(a, b, line): the text of lines whose hash may be wanted, once per batch."""
+    """(a, b, line): the text of lines whose hash may be wanted, about once per task."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
         for batch in batches:
-            texts = common.strings(batch.column("text").to_pylist())
-            for x, y in common.bounded(texts, PIECE):
-                lines = Lines(texts[x:y])
+            for _, texts in common.pieces(batch.column("text"), PIECE):
+                lines = Lines(texts)
                 a, b = lines.ids()
-                _, once = np.unique(a, return_index=True)
+                once = recent.fresh(a)
                 once = once[(lines.lengths[once] >= PER_EDIT) & common.in_bitmap(shared.value, a[once])]
                 own = [lines.chars[s : s + n].tobytes().decode("utf-32-le", "surrogatepass") for s, n in zip(lines.starts[once], lines.lengths[once])]
                 yield pa.RecordBatch.from_arrays([pa.array(a[once].view(np.int64)), pa.array(b[once].view(np.int64)), pa.array(own, pa.string())], names=["a", "b", "line"])
