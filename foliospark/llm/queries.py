@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliospark.llm import decontaminate, line_dedup, mixing, page_text, quality, secrets, simhash_dedup, suffix_dedup, url_filter
+from foliospark.llm import ann, decontaminate, line_dedup, mixing, page_text, quality, secrets, simhash_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_secrets": secrets.op2_secrets,
     "op3_pages": page_text.op3_pages,
+    "op4_neighbours": ann.op4_neighbours,
     "op5_mixing": mixing.op5_mixing,
     "op6_simhash": simhash_dedup.op6_simhash,
     "op7_suffix": suffix_dedup.op7_suffix,
