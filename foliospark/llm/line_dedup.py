@@ -33,6 +33,9 @@ MAX_EDITS = 2
 PER_EDIT = 10  # code points of the shorter line
 PIECE = 1 << 19  # bytes hashed at once
 FILTER_BITS = 26  # of the filter of lines to fetch: 8 MB whatever the input
+GROUP = 512  # lines of one key that meet in one group
+PAIRS = 1 << 14  # verified at once
+ROWS = 1 << 11  # of groups taken at once
 CELLS = 1 << 22  # code points of the pairs verified at once
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 U = np.uint64
@@ -175,12 +178,15 @@ def fetched(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "a long, b long, line string")
 
 
-def trimmed(x: str, y: str) -> tuple[np.ndarray, np.ndarray]:
-    """Code points plus one of the longer and the shorter line, without what they share at both ends."""
+def codes(line: str) -> np.ndarray:
+    """Code points plus one."""
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4") + np.uint32(1)
+
+
+def trimmed(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longer and the shorter line without what they share at both ends."""
     if len(x) < len(y):
         x, y = y, x
-    x = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") + np.uint32(1)
-    y = np.frombuffer(y.encode("utf-32-le", "surrogatepass"), "<u4") + np.uint32(1)
     differ = np.flatnonzero(x[: len(y)] != y)
     head = differ[0] if len(differ) else len(y)
     x, y = x[head:], y[head:]
@@ -189,8 +195,8 @@ def trimmed(x: str, y: str) -> tuple[np.ndarray, np.ndarray]:
     return x[: len(x) - tail], y[: len(y) - tail]
 
 
-def within(left: list[str], right: list[str], band: int = MAX_EDITS) -> np.ndarray:
-    """Whether each two lines lie within the allowed edits: a band of bits, many pairs a column at a time.
+def within(left: list[np.ndarray], right: list[np.ndarray], band: int = MAX_EDITS) -> np.ndarray:
+    """Whether each two lines (as code points) lie within the allowed edits: a band of bits, many pairs a column at a time.
 
     Bit r of a pair's words stands for row j - band + r in column j, so the band slides down by itself.
     The score follows the diagonal that ends in the last cell. Pairs beyond their limit leave.
@@ -238,48 +244,126 @@ def within(left: list[str], right: list[str], band: int = MAX_EDITS) -> np.ndarr
     return out
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """(a, b): hashes of every two different lines that match, once, smaller hash first."""
+class Judge:
+    """Verifies the lines that share a key. Of a pair that shares several keys, the smallest one counts.
+
+    Takes rows sorted by group (key, x, y) and keeps, for each line, how many others it matches and the
+    earliest of them. Pairs exist here only, PAIRS at a time; a group has at most 2 * GROUP lines.
+    """
+
+    FIRST = ["doc_id", "k1", "k2", "number"]
+
+    def __init__(self, rows: pd.DataFrame):
+        self.rows = rows.reset_index(drop=True)
+        self.group = self.rows.groupby(["key", "x", "y"], sort=False).ngroup().to_numpy()
+        self.key = self.rows["key"].to_numpy()
+        self.indexed = self.rows["indexed"].to_numpy()
+        self.side = self.rows["side"].to_numpy()
+        self.two = (self.rows["x"] != self.rows["y"]).to_numpy()
+        self.lines = [codes(t) for t in self.rows["line"]]
+        self.length = np.array([len(t) for t in self.lines])
+        width = max(map(len, self.rows["keys"]), default=1)
+        self.keys, self.flags = np.zeros((len(rows), width), np.int64), np.zeros((len(rows), width), bool)
+        self.used = np.zeros((len(rows), width), bool)
+        for i, (k, f) in enumerate(zip(self.rows["keys"], self.rows["flags"])):
+            self.keys[i, : len(k)], self.flags[i, : len(f)], self.used[i, : len(k)] = k, f, True
+        order = self.rows[self.FIRST].sort_values(self.FIRST, na_position="first").index.to_numpy()
+        self.order, self.place = order, np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+        self.links = np.zeros(len(rows), np.int64)
+        self.earliest = np.full(len(rows), len(rows), np.int64)
+
+    def smallest(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the group's key is the smallest by which the two lines find each other."""
+        same = (self.keys[i][:, :, None] == self.keys[j][:, None, :]) & self.used[i][:, :, None] & self.used[j][:, None, :]
+        same &= self.flags[i][:, :, None] | self.flags[j][:, None, :]
+        least = np.where(same.any(2), self.keys[i], np.iinfo(np.int64).max).min(1)
+        return least == self.key[i]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs within the groups, by their distance in the order."""
+        held, size, at = [], 0, np.arange(len(self.group))
+        for step in range(1, int(np.bincount(self.group).max(initial=1))):
+            at = at[at + step < len(self.group)]
+            at = at[self.group[at] == self.group[at + step]]
+            i, j = at, at + step
+            ok = (self.indexed[i] | self.indexed[j]) & (~self.two[i] | (self.side[i] != self.side[j])) & (np.abs(self.length[i] - self.length[j]) <= MAX_EDITS)
+            held.append((i[ok], j[ok]))
+            size += int(ok.sum())
+            if size >= PAIRS:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, size = [], 0
+        if size:
+            yield tuple(map(np.concatenate, zip(*held)))
+
+    def result(self) -> pd.DataFrame:
+        for some in self.pairs():
+            for at in range(0, len(some[0]), PAIRS):
+                i, j = some[0][at : at + PAIRS], some[1][at : at + PAIRS]
+                ok = self.smallest(i, j)
+                i, j = i[ok], j[ok]
+                ok = within([self.lines[k] for k in i], [self.lines[k] for k in j])
+                i, j = i[ok], j[ok]
+                for one, other in ((i, j), (j, i)):
+                    np.add.at(self.links, one, 1)
+                    np.minimum.at(self.earliest, one, self.place[other])
+        hit = np.flatnonzero(self.links)
+        out = self.rows.loc[self.order[self.earliest[hit]], self.FIRST].reset_index(drop=True)
+        return out.assign(a=self.rows["a"].to_numpy()[hit], links=self.links[hit])
+
+
+def matches(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, links, earliest): how many other lines match a line, and the earliest first occurrence among them."""
     keys = key_rows(docs)
     # A key counts when two different lines have it: one pass over the rows of each key.
     each = Window.partitionBy("key")
     shared = keys.withColumn("low", F.min("a").over(each)).withColumn("high", F.max("a").over(each)).where("low <> high")
-    shared = stored(shared.select("key", "a", "indexed").distinct(), "line-keys")
+    shared = stored(shared.groupBy("key", "a").agg(F.max("indexed").alias("indexed")), "line-keys")
     bits = common.bitmap(shared.select("a").distinct(), "a", FILTER_BITS)
-    lines = stored(fetched(docs, bits).groupBy("a", "b").agg(F.first("line").alias("line")), "lines")
-    found, looking = shared.where("indexed").select("key", F.col("a").alias("x")), shared.select("key", F.col("a").alias("y"))
-    pairs = found.join(looking, "key").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    texts = lines.select(F.col("a"), "line")
-    both = (
-        pairs.join(texts.select(F.col("a").alias("x"), F.col("line").alias("left")), "x")
-        .join(texts.select(F.col("a").alias("y"), F.col("line").alias("right")), "y")
+    texts = fetched(docs, bits).groupBy("a", "b").agg(F.first("line").alias("line"))
+    own = shared.groupBy("a").agg(F.collect_list(F.struct("key", "indexed")).alias("own"))  # a line has at most 15 keys
+    lines = own.join(texts, "a").join(classes.select("a", "b", "first"), ["a", "b"])
+    sizes = shared.groupBy("key").agg(F.count("*").alias("n"))
+    # Groups beyond GROUP lines are cut into shares; every two shares meet in a group of their own.
+    shares = F.ceil(F.col("n") / GROUP).cast("int")
+    mine = F.pmod(F.xxhash64("a"), shares).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), shares - 1), lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y"), (o < mine).cast("int").alias("side")))
+    grouped = shared.join(sizes, "key").select("key", "a", "indexed", F.explode(meets).alias("at")).select("key", "a", "indexed", "at.*")
+    rows = grouped.join(lines, "a").select(
+        "key", "x", "y", "side", "a", "indexed", "line", F.col("own.key").alias("keys"), F.col("own.indexed").alias("flags"), "first.*"
     )
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
-            ok = within(list(batch["left"]), list(batch["right"]))
-            yield batch.loc[ok, ["x", "y"]]
-
-    return both.select("x", "y", "left", "right").mapInPandas(verify, "x long, y long").distinct()
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                rows = part if held is None else pd.concat([held, part], ignore_index=True)
+                last = (rows[["key", "x", "y"]] == rows[["key", "x", "y"]].iloc[-1]).all(axis=1).to_numpy()
+                held = rows[last]
+                if not last.all():
+                    yield Judge(rows[~last]).result()
+        if held is not None:
+            yield Judge(held).result()
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    sorted_rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    found = sorted_rows.mapInPandas(judge, ", ".join(f"{c} {kind[c]}" for c in Judge.FIRST) + ", a long, links long")
+    return found.groupBy("a").agg(F.sum("links").alias("links"), F.min(F.struct(*Judge.FIRST)).alias("earliest"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """One row per line: doc_id, k1, k2, number, the first occurrence ``first`` of its text, ``links``, ``kept``."""
     docs = docs.select("doc_id", "text")
     placed = stored(occurrences(docs), "line-places")
-    joined = stored(links(docs), "line-links")
     place = F.struct("doc_id", "k1", "k2", "number")
-    classes = placed.groupBy("a", "b").agg(F.min(place).alias("first"), F.max("length").alias("length"))
-    classes = stored(classes, "line-classes")
-    ends = joined.select(F.col("x").alias("a"), F.col("y").alias("other")).union(joined.select(F.col("y").alias("a"), F.col("x").alias("other")))
-    firsts = classes.select(F.col("a").alias("other"), F.col("first").alias("other_first"))
-    judged = ends.join(firsts, "other").groupBy("a").agg(F.count("*").alias("links"), F.min("other_first").alias("earliest"))
-    classes = classes.join(judged, "a", "left").select(
+    classes = stored(placed.groupBy("a", "b").agg(F.min(place).alias("first"), F.max("length").alias("length")), "line-classes")
+    judged = classes.join(stored(matches(docs, classes), "line-matches"), "a", "left").select(
         "a", "b", "first", F.coalesce("links", F.lit(0)).alias("links"), "length",
         F.coalesce(F.col("earliest") < F.col("first"), F.lit(False)).alias("near"),
     )
     kept = (F.col("length") == 0) | (~F.col("near") & (F.col("first") == place))
-    return placed.drop("length").join(classes, ["a", "b"]).select("doc_id", "k1", "k2", "number", "first", "links", kept.alias("kept"))
+    return placed.drop("length").join(judged, ["a", "b"]).select("doc_id", "k1", "k2", "number", "first", "links", kept.alias("kept"))
 
 
 def op9_lines(spark, sf_dir: str) -> DataFrame:
