@@ -4,7 +4,7 @@ Everything here is DataFrame functions. Domains are the label pairs (quality, to
 naive Bayes model on hashed words, learnt from at most ``SAMPLE`` labelled rows (those with the
 smallest hash of the id), gives each document a posterior over the domains. Its evidence is the mean
 over the words, counted as at most ``EVIDENCE`` words, so long documents keep soft memberships.
-Three shares of the whole text (punctuation, capitals, different words) come in as words, too.
+Three shares of the whole text (signs, capitals, different words) come in as words, too.
 
 Rates r >= 0 minimise sum_d (A_d - T_d)^2 / (2 s_d) + LAMBDA / 2 * sum_i n_i (r_i - 1)^2, where n_i are a
 document's tokens, A_d = sum_i n_i p_id r_i its expected domain tokens, T_d the targets and s_d the
@@ -41,33 +41,32 @@ TOLERANCE = 1e-5
 LEAST = 1e-3  # smallest share by which a residual is scaled
 
 
-def tokens(text: Column) -> Column:
-    """Number of words separated by white space; zero for null."""
-    clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(clean == "", 0).otherwise(F.size(F.split(clean, " "))).cast("long")
-
-
 def words(text: Column) -> Column:
-    """The words in lower case and the shares of the text as words."""
-    text = F.coalesce(text, F.lit(""))
-    own = F.split(F.lower(text), r"\s+")
-    length = F.greatest(F.length(text), F.lit(1))
+    """The words in lower case: what stands between spaces, tabs and line ends. None for null."""
+    text = F.lower(F.coalesce(text, F.lit("")))
+    for blank in "\n\t\r\x0b\x0c":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.filter(F.split(text, " "), lambda w: w != "")
 
-    def share(name: str, part: Column) -> Column:
-        times = (F.size(own) / SHARE + 1).cast("int")
-        return F.array_repeat(F.concat(F.lit(f"\u0001{name}"), F.floor(part * 20).cast("string")), times)
 
-    return F.concat(
-        own,
-        share("punctuation", F.length(F.regexp_replace(text, r"[^!-/:-@\[-`{-~]+", "")) / length),
-        share("capitals", F.length(F.regexp_replace(text, r"\P{Lu}+", "")) / length),
-        share("different", F.size(F.array_distinct(own)) / F.size(own)),
-    )
+def bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def exploded(rows: DataFrame, *keep: str) -> DataFrame:
-    """One row per word: kept columns and its bucket."""
-    return rows.select(*keep, F.explode(words(F.col("text"))).alias("word")).select(*keep, F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+def features(rows: DataFrame, *keep: str) -> DataFrame:
+    """Kept columns, the buckets of the words, those of the three shares, and how often a share counts."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    length = F.greatest(F.length(text), F.lit(1))
+    hashed = rows.select(
+        *keep, F.transform(words(F.col("text")), bucket).alias("buckets"),
+        (F.length(F.regexp_replace(text, r"[\p{L}\s\p{N}]+", "")) / length).alias("signs"), (F.length(F.regexp_replace(text, r"\P{Lu}+", "")) / length).alias("capitals"),
+    )
+    different = F.size(F.array_distinct("buckets")) / F.greatest(F.size("buckets"), F.lit(1))
+    shares = (("signs", F.col("signs")), ("capitals", F.col("capitals")), ("different", different))
+    return hashed.select(
+        *keep, "buckets", F.array(*[bucket(F.concat(F.lit(f"\x01{name}"), F.floor(part * 20).cast("string"))) for name, part in shares]).alias("shares"),
+        (F.size("buckets") / SHARE + 1).cast("int").alias("times"),
+    )
 
 
 def labelled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -77,38 +76,40 @@ def labelled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return pairs.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
 
 
-def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, list[float], list[float]]:
-    """Log probabilities per bucket (at most BUCKETS rows), those of an unseen bucket, and log priors."""
+def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[list[float]], list[float]]:
+    """Log probabilities [domain][bucket], BUCKETS of them for each domain, and log priors."""
     known = labelled(labels, sample)
-    counts = exploded(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "domain").groupBy("bucket", "domain").agg(F.count("*").alias("n"))
-    counts = stored(counts, "mixing-counts")
-    sums = {r[0]: r[1] for r in counts.groupBy("domain").agg(F.sum("n")).collect()}
+    rows = features(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "domain")
+    every = F.concat("buckets", F.flatten(F.array_repeat("shares", F.col("times"))))
+    counts = rows.select("domain", F.explode(every).alias("bucket")).groupBy("domain", "bucket").agg(F.count("*").alias("n")).collect()
+    table = [[1] * BUCKETS for _ in DOMAINS]  # one more than there are
+    for domain, at, n in counts:
+        table[domain][at] += n
     rows = {r[0]: r[1] for r in known.groupBy("domain").agg(F.count("*")).collect()}
-    every = range(len(DOMAINS))
-    size = [sums.get(d, 0) + BUCKETS for d in every]
-    table = counts.groupBy("bucket").agg(*[
-        F.log((F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)) + 1) / size[d]).alias(f"l{d}") for d in every
-    ])
     seen = sum(rows.values()) + len(DOMAINS)
-    return table, [-math.log(size[d]) for d in every], [math.log((rows.get(d, 0) + 1) / seen) for d in every]
+    return [[math.log(n / sum(t)) for n in t] for t in table], [math.log((rows.get(d, 0) + 1) / seen) for d in range(len(DOMAINS))]
 
 
 def memberships(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row per different document: doc_id, tokens, copies (equal rows) and the posterior p0, p1, ..."""
-    table, unseen, prior = model(docs, labels, sample)
+    """One row per row of ``docs``: doc_id, tokens and the posterior p0, p1, ... No shuffle."""
+    table, prior = model(docs, labels, sample)
     every = range(len(DOMAINS))
-    rows = docs.select("doc_id", "text", *common.identity(), tokens(F.col("text")).alias("tokens"), F.size(words(F.col("text"))).alias("n"))
-    keys = ("doc_id", "k1", "k2", "tokens", "n")
-    parts = exploded(rows, *keys).join(F.broadcast(table), "bucket", "left")  # at most BUCKETS rows
-    sums = parts.groupBy(*keys).agg(F.count("*").alias("all"), *[F.sum(F.coalesce(F.col(f"l{d}"), F.lit(unseen[d]))).alias(f"s{d}") for d in every])
-    # The mean over the words is the same however often a row is repeated.
-    scale = F.when(F.col("tokens") == 0, 0).otherwise(F.least(F.col("n"), F.lit(EVIDENCE))) / F.col("all")
-    scores = [F.col(f"s{d}") * scale + prior[d] for d in every]
-    sums = sums.select("doc_id", "tokens", (F.col("all") / F.col("n")).cast("long").alias("copies"), *[s.alias(f"s{d}") for d, s in zip(every, scores)])
+
+    def evidence(d: int) -> Column:
+        # Against the first domain, whose evidence is zero, so one sum less.
+        weights = F.lit([x - y for x, y in zip(table[d], table[0])])
+        of_words = F.aggregate("buckets", F.lit(0.0), lambda total, b: total + F.get(weights, b))
+        return of_words + F.aggregate("shares", F.lit(0.0), lambda total, b: total + F.get(weights, b)) * F.col("times")
+
+    found = features(docs, "doc_id")
+    n = F.size("buckets") + 3 * F.col("times")
+    scale = F.when(F.size("buckets") == 0, 0).otherwise(F.least(n, F.lit(EVIDENCE))) / n
+    scores = [F.lit(prior[0])] + [evidence(d) * scale + prior[d] for d in every[1:]]
+    sums = found.select("doc_id", F.size("buckets").cast("long").alias("tokens"), *[s.alias(f"s{d}") for d, s in zip(every, scores)])
     top = F.greatest(*[f"s{d}" for d in every])
-    raised = sums.select("doc_id", "tokens", "copies", *[F.exp(F.col(f"s{d}") - top).alias(f"e{d}") for d in every])
+    raised = sums.select("doc_id", "tokens", *[F.exp(F.col(f"s{d}") - top).alias(f"e{d}") for d in every])
     total = sum(F.col(f"e{d}") for d in every)
-    return raised.select("doc_id", "tokens", "copies", *[(F.col(f"e{d}") / total).alias(f"p{d}") for d in every])
+    return raised.select("doc_id", "tokens", *[(F.col(f"e{d}") / total).alias(f"p{d}") for d in every])
 
 
 def rate(residuals: list[list[float]], step: float) -> Column:
@@ -123,7 +124,7 @@ def rate(residuals: list[list[float]], step: float) -> Column:
 def fitted(members: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> Column:
     """The rate as an expression over a membership row."""
     every = range(len(DOMAINS))
-    weight = F.col("tokens") * F.col("copies")
+    weight = F.col("tokens")
     first = members.agg(F.sum(weight), *[F.sum(weight * F.col(f"p{d}")) for d in every]).first()
     total = float(first[0] or 0)
     if not total:
@@ -146,8 +147,7 @@ def fitted(members: DataFrame, targets: dict[str, float] = TARGETS, budget: floa
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = BUDGET) -> DataFrame:
     """One row per row of ``docs``: doc_id, tokens, the posterior by domain, and ``rate``, the expected uses."""
     members = stored(memberships(docs.select("doc_id", "text"), labels), "memberships")
-    rows = members.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select("doc_id", "tokens", *[F.col(f"p{d}").alias(f"p_{name}") for d, name in enumerate(DOMAINS)], fitted(members, targets, budget).alias("rate"))
+    return members.select("doc_id", "tokens", *[F.col(f"p{d}").alias(f"p_{name}") for d, name in enumerate(DOMAINS)], fitted(members, targets, budget).alias("rate"))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
