@@ -146,24 +146,26 @@ CTE["files"] = f"""
 select l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as file_id, l_orderkey as order_id,
   'translated' as type, ({LANGS})[cast(l_linenumber % 4 + 1 as int)] as language, l_shipdate as created_at from lineitem"""
 CTE["originals"] = """
-select (doc_id * 4) // 5 as order_id, doc_id as file_id, file_format, content from intake"""
+select (doc_id * 4) // 5 as order_id, doc_id as file_id, file_format, content,
+  case when extension in ('txt','docx') then size_bytes > 0 else extension in ('epub','pdf') end as has_text from intake"""
 CTE["original_facts"] = """
-select order_id, count(*) as originals, bool_or(file_format in ('.epub','.pdf')) as opaque from originals group by 1"""
+select order_id, count(*) as originals, bool_or(file_format in ('.epub','.pdf')) as opaque, bool_or(has_text) as filled
+from originals group by 1"""
 CTE["work"] = """
-select c.*, originals, opaque, coalesce(d.done, []) as done,
+select c.*, originals, opaque, filled, coalesce(d.done, []) as done,
   list_filter(c.languages, lambda x: not list_contains(coalesce(d.done, []), x)) as pending
 from customers c left join original_facts f using (order_id)
 left join (select order_id, list(distinct language) as done from files group by 1) d using (order_id)"""
 CTE["blocked"] = """
 select *, case when originals is null then 'missing_original' when originals > 1 then 'ambiguous_original'
-  when opaque then 'opaque_source' when len(languages) = 0 then 'no_languages'
+  when opaque then 'opaque_source' when not filled then 'empty_source' when len(languages) = 0 then 'no_languages'
   when len(pending) = 0 then 'nothing_pending' end as reason from work"""
 CTE["todo"] = f"""
 select b.* exclude (file_format), o.content, language, {name_of('language')} as language_name, {SETTING} as language_setting
 from (select *, unnest(pending) as language from blocked where reason is null) b join originals o using (order_id)"""
 CTE["todo_all"] = f"""
 select b.* exclude (file_format), o.content, language, {name_of('language')} as language_name, {SETTING} as language_setting
-from (select *, unnest(languages) as language from blocked where originals = 1 and not opaque) b join originals o using (order_id)"""
+from (select *, unnest(languages) as language from blocked where originals = 1 and not opaque and filled) b join originals o using (order_id)"""
 
 
 def translation_text(genre: str, text: str) -> str:
@@ -368,7 +370,7 @@ _ORDER = """order_id, payment_session_id, email, author_name, book_title, word_c
 oracle("payment_events_to_orders", f"select {_ORDER}, deliveries, delivered_at from paid_orders")
 oracle("orders_stream", f"select {_ORDER} from paid_orders")
 oracle("pending_work_stream", f"""
-select order_id, ({LANGS})[cast(p as int)] as language, p as position from (
+select order_id, ({LANGS})[cast(p as int)] as language, p as position, cast(null as varchar) as reason from (
   select order_id, unnest(generate_series(1, event_id % 4 + 1)) as p from paid_orders)""")
 oracle("rejected_events", """
 select case event_type when 'error' then 'bad_body' when 'purchase' then 'bad_languages' else 'ignored_type' end as reason,
@@ -431,7 +433,7 @@ from latest_files group by 1""")
 oracle("staged_upsert", f"select * replace ({t('created_at')} as created_at) from staged")
 oracle("staged_stream", f"select * exclude (writes) replace ({t('created_at')} as created_at) from staged")
 oracle("expire_staged", f"""
-select * replace ({t('created_at')} as created_at) from upload_rows where created_at >= {UPLOADS_AS_OF} - interval 24 hour""")
+select * replace ({t('created_at')} as created_at) from staged where created_at >= {UPLOADS_AS_OF} - interval 24 hour""")
 oracle("promote_originals", f"""
 select o.order_id, o.upload_session_id, s.upload_id, 'original' as type, 'en' as language, s.file_name, s.file_format, s.word_count,
   {t('s.created_at')} as uploaded_at from order_inputs o join staged s on s.session_id = o.upload_session_id""")

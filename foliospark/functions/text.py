@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,3 +77,8 @@ def numbered(items: Column | str, separator: str, prefix: str = "") -> Column:
 def item(items: Column | str, position: int) -> Column:
     """Array item by zero-based position, empty text when absent."""
     return F.coalesce(F.get(col(items), F.lit(position)), F.lit(""))
+
+
+def instant(as_of: dt.datetime) -> Column:
+    """A point in time without a zone, as it is written. A literal datetime would pass through the driver's zone."""
+    return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")

@@ -1,10 +1,11 @@
 """Ordered per-key logic that never puts one hot key's whole history into one task.
 
 A window partitioned by the key alone sorts all rows of a key in a single task, which is fine until
-one key holds a large share of the table. Here the log of every hot key is cut into time chunks:
-the window runs per (key, chunk), one small row per chunk is ordered per hot key to carry the
-result across chunks, and that row joins back on the partitioning the data already has. Other keys
-have a single chunk and take part in none of the extra steps.
+one key holds a large share of the table. Here every key's log is cut into time chunks: the window
+runs per (key, chunk), one small row per chunk is ordered per key to carry the result across chunks,
+and that row joins back on the partitioning the data already has. The log is read once; nothing
+depends on how many rows a key has. ``unit`` must be short enough for one key's rows of that time
+to fit a task.
 
 The key columns are compared as one struct, in which nulls are equal: rows without a key are a
 group like any other, and often the hottest one.
@@ -12,62 +13,40 @@ group like any other, and often the hottest one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY, CHUNK, HOT = "_key", "_chunk", "_hot"
-HOT_ROWS = 1_000_000
-MOST_HOT_KEYS = 100_000
+KEY, CHUNK = "_key", "_chunk"
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and more than 1/MOST_HOT_KEYS of all rows.
+def with_chunks(df: DataFrame, keys: list[str], ts: str, unit: str) -> DataFrame:
+    """Add the key struct and the time chunk, the truncated time. Rows without a time are the first chunk."""
+    chunk = F.coalesce(F.date_trunc(unit, F.col(ts)), F.lit("0001-01-01").cast("timestamp"))
+    return df.withColumn(KEY, F.struct(*keys)).withColumn(CHUNK, chunk)
 
-    By the second condition there can be at most MOST_HOT_KEYS of them, however large the table
-    is, so the list is safe to broadcast. Counting combines on the map side.
-    """
-    total = df.agg(F.count("*")).scalar()
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = (F.col("_n") > hot_rows) & (F.col("_n") * MOST_HOT_KEYS > total)
-    return counts.filter(hot).select(F.struct(*keys).alias(KEY), F.lit(True).alias(HOT))
 
-
-def with_chunks(df: DataFrame, keys: list[str], ts: str, unit: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add the key struct and the time chunk: null for ordinary keys, the truncated time for hot ones."""
-    keyed = df.withColumn(KEY, F.struct(*keys))
-    marked = keyed.join(F.broadcast(hot_keys(df, keys, hot_rows)), KEY, "left")
-    return marked.withColumn(CHUNK, F.when(F.col(HOT), F.date_trunc(unit, F.col(ts))))
-
-
-def lag_by_key(
-    df: DataFrame, keys: list[str], ts: str, tie: str, value: str, out: str, unit: str = "hour", hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """``lag(value)`` over (partition by keys order by ts, tie). ``unit`` is the chunk of a hot key."""
-    chunked = with_chunks(df, keys, ts, unit, hot_rows)
+def lag_by_key(df: DataFrame, keys: list[str], ts: str, tie: str, value: str, out: str, unit: str = "hour") -> DataFrame:
+    """``lag(value)`` over (partition by keys order by ts, tie)."""
+    chunked = with_chunks(df, keys, ts, unit)
     inner = Window.partitionBy(KEY, CHUNK).orderBy(ts, tie)
-    inside = chunked.withColumn("_lag", F.lag(value).over(inner)).withColumn("_rn", F.row_number().over(inner))
-    lasts = chunked.filter(HOT).groupBy(KEY, CHUNK).agg(F.max_by(value, F.struct(ts, tie)).alias("_last"))
+    # The last value of a chunk stands in the chunk's first row, which carries it on.
+    whole = Window.partitionBy(KEY, CHUNK).orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    inside = (
+        chunked.withColumn("_lag", F.lag(value).over(inner)).withColumn("_rn", F.row_number().over(inner))
+        .withColumn("_last", F.last(value).over(whole))
+    )
     across = Window.partitionBy(KEY).orderBy(CHUNK)
-    carried = lasts.select(KEY, CHUNK, F.lag("_last").over(across).alias("_carried"))
-    first = F.col(HOT) & (F.col("_rn") == 1)
-    value_out = F.when(first, F.col("_carried")).otherwise(F.col("_lag"))
+    carried = inside.filter("_rn = 1").select(KEY, CHUNK, F.lag("_last").over(across).alias("_carried"))
+    value_out = F.when(F.col("_rn") == 1, F.col("_carried")).otherwise(F.col("_lag"))
     return inside.join(carried, [KEY, CHUNK], "left").select(*df.columns, value_out.alias(out))
 
 
-def rank_by_key(
-    df: DataFrame, keys: list[str], ts: str, tie: str, out: str, unit: str = "hour", hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """``row_number()`` over (partition by keys order by ts, tie). ``unit`` is the chunk of a hot key."""
-    chunked = with_chunks(df, keys, ts, unit, hot_rows)
+def rank_by_key(df: DataFrame, keys: list[str], ts: str, tie: str, out: str, unit: str = "hour") -> DataFrame:
+    """``row_number()`` over (partition by keys order by ts, tie)."""
+    chunked = with_chunks(df, keys, ts, unit)
     inner = Window.partitionBy(KEY, CHUNK).orderBy(ts, tie)
-    inside = chunked.withColumn("_rn", F.row_number().over(inner))
-    counts = chunked.filter(HOT).groupBy(KEY, CHUNK).agg(F.count("*").alias("_n"))
+    inside = chunked.withColumn("_rn", F.row_number().over(inner)).withColumn("_n", F.count("*").over(Window.partitionBy(KEY, CHUNK)))
     before = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(KEY, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = inside.filter("_rn = 1").select(KEY, CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     place = (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("long")
     return inside.join(offsets, [KEY, CHUNK], "left").select(*df.columns, place.alias(out))
-
-
-def chunk_order() -> Column:
-    """Sort key for chunks; the single chunk of an ordinary key sorts first."""
-    return F.coalesce(F.col(CHUNK), F.lit("0001-01-01").cast("timestamp"))

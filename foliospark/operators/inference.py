@@ -104,19 +104,24 @@ def finished_files(edited: DataFrame) -> DataFrame:
     )
 
 
+SLICES = 8
+DONE_KEY = ("order_id", "language")
+
+
 def run_two_pass(
     orders: DataFrame,
     originals: DataFrame,
     folder: str,
-    run_id: int,
     translate_fn: ModelFn,
     edit_fn: ModelFn,
     style: rq.RequestStyle = rq.WHOLE,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Translate and edit everything not yet in ``folder``; return the file table.
 
-    Each pass is written under its run id before the next one reads it, so a model answer is paid
-    for once: a second run, or one after a crash, skips all stored rows.
+    Each pass goes slice by slice (a hash of the order), and each slice is stored in a folder of its
+    own before the next one starts. A call that breaks off loses the open slice at most; the same call
+    again asks only for what no folder holds, and replaces nothing.
     """
     spark = orders.sparkSession
     pass_one, final = f"{folder}/translated", f"{folder}/files"
@@ -127,17 +132,18 @@ def run_two_pass(
         f"file_id string, order_id {id_type}, type string, language string, content string, "
         f"original_content string, changes array<{CHANGE}>, empty_translation boolean"
     )
-    tables.ensure(spark, pass_one, one_ddl)
-    tables.ensure(spark, final, final_ddl)
-
-    stored = tables.read(spark, pass_one, one_ddl)
-    work = rq.work_per_order(orders, originals, stored.select("order_id", "language"))
-    first = translate(rq.translation_requests(work, originals, style), translate_fn, style)
-    tables.write_run(first, pass_one, run_id)
-
-    stored = tables.read(spark, pass_one, one_ddl)
-    files = tables.read(spark, final, final_ddl)
-    work = rq.work_per_order(orders, originals, files.select("order_id", "language"))
-    second = edit(rq.editorial_requests(work, originals, stored, style), edit_fn, style)
-    tables.write_run(finished_files(second), final, run_id)
-    return tables.read(spark, final, final_ddl)
+    slice_of = F.pmod(F.xxhash64("order_id"), F.lit(slices))
+
+    stored = tables.read_attempts(spark, pass_one, one_ddl, DONE_KEY)
+    work = rq.work_per_order(orders, originals, stored.select(*DONE_KEY))
+    for k in range(slices):
+        requests = rq.translation_requests(work.filter(slice_of == k), originals, style)
+        tables.append_attempt(translate(requests, translate_fn, style), pass_one)
+
+    stored = tables.read_attempts(spark, pass_one, one_ddl, DONE_KEY)
+    files = tables.read_attempts(spark, final, final_ddl, DONE_KEY)
+    work = rq.work_per_order(orders, originals, files.select(*DONE_KEY))
+    for k in range(slices):
+        requests = rq.editorial_requests(work.filter(slice_of == k), originals, stored, style)
+        tables.append_attempt(finished_files(edit(requests, edit_fn, style)), final)
+    return tables.read_attempts(spark, final, final_ddl, DONE_KEY)

@@ -24,7 +24,7 @@ def placeholder(ext: Column, file_name: Column | str) -> Column:
 
 
 def intake(manuscripts: DataFrame) -> DataFrame:
-    """Add extension, format, title, staged text, word count and support flags.
+    """Add extension, format, title, staged text, word count, support flag and whether there is a text.
 
     Input: file_name, size_bytes, content, plus any other columns. A row-wise projection: no
     shuffle, and columns a caller does not select are never computed or read.
@@ -41,6 +41,7 @@ def intake(manuscripts: DataFrame) -> DataFrame:
             "word_count",
             F.when(is_text, word_count("content")).when(is_opaque, estimated_words("size_bytes")).otherwise(F.lit(0).cast("long")),
         )
+        .withColumn("has_text", F.when(is_text, F.col("size_bytes") > 0).otherwise(is_opaque))
         .withColumn(
             "content",
             F.when(is_text, F.col("content"))

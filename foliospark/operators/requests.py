@@ -23,23 +23,22 @@ class RequestStyle:
 
     A window of None sends the whole text in one request. A number sends the text in consecutive
     windows of that many characters, so a long book becomes several requests and nothing is lost.
-    ``original_limit`` is the number of characters of the original an editor is shown for
-    reference; None shows all of it.
     """
 
     default_genre: str = "general"
     translate_window: int | None = None
     review_window: int | None = None
-    original_limit: int | None = None
 
 
-# The two request styles in use. The first window of WINDOWED, and WHOLE with
-# original_limit=EDITOR_LIMIT, are the requests a model with a short context is given.
-EDITOR_LIMIT = 30000
+# The two request styles in use. WINDOWED is for a model with a short context.
 WHOLE = RequestStyle()
 WINDOWED = RequestStyle("romance", 50000, 25000)
 
 
+def known_languages() -> Column:
+    return F.array(*[F.lit(c) for c in dims.LANGUAGE_CODES])
+
+
 def originals_per_order(originals: DataFrame) -> DataFrame:
     """Number of original files per order, the id of one, and whether one is kept unread.
 
@@ -49,19 +48,20 @@ def originals_per_order(originals: DataFrame) -> DataFrame:
         F.count("*").alias("originals"),
         F.max("file_id").alias("original_id"),
         F.max(F.col("file_format").isin(*OPAQUE)).alias("opaque"),
+        F.max("has_text").alias("filled"),
     )
 
 
 def work_per_order(orders: DataFrame, originals: DataFrame, done: DataFrame) -> DataFrame:
     """One row per order with the languages still to do, or the reason nothing can be sent.
 
-    orders: order_id, languages, ...; originals: file_id, order_id, file_format, content; done:
+    orders: order_id, languages, ...; originals: file_id, order_id, file_format, has_text, content; done:
     order_id, language of finished translations (repeats allowed). All three meet on order_id. A
     ready order carries ``original_id``, the id of its only original file.
     """
     finished = done.groupBy("order_id").agg(F.collect_set("language").alias("_done"))
     joined = orders.join(originals_per_order(originals), "order_id", "left").join(finished, "order_id", "left")
-    known = F.array(*[F.lit(c) for c in dims.LANGUAGE_CODES])
+    known = known_languages()
     wanted = F.array_intersect("languages", known)
     unknown = F.array_except("languages", known)
     pending = F.array_except(wanted, F.coalesce("_done", F.array().cast("array<string>")))
@@ -69,6 +69,7 @@ def work_per_order(orders: DataFrame, originals: DataFrame, done: DataFrame) ->
         F.when(F.col("originals").isNull(), F.lit("missing_original"))
         .when(F.col("originals") > 1, F.lit("ambiguous_original"))
         .when(F.col("opaque"), F.lit("opaque_source"))
+        .when(~F.coalesce("filled", F.lit(False)), F.lit("empty_source"))
         .when(F.coalesce(F.size("languages"), F.lit(0)) == 0, F.lit("no_languages"))
         .when((F.size(wanted) == 0) & (F.size(unknown) > 0), F.lit("unknown_language"))
         .when(F.size(pending) == 0, F.lit("nothing_pending"))
@@ -77,7 +78,7 @@ def work_per_order(orders: DataFrame, originals: DataFrame, done: DataFrame) ->
         joined.withColumn("pending", pending)
         .withColumn("unknown_languages", unknown)
         .withColumn("reason", reason)
-        .drop("_done", "originals", "opaque")
+        .drop("_done", "originals", "opaque", "filled")
     )
 
 
@@ -146,7 +147,6 @@ def translation_text(style: RequestStyle, text: Column) -> Column:
 
 def editorial_text(style: RequestStyle, original: Column, translated: Column) -> Column:
     """Request text of the second pass; edits come back as inline marks."""
-    shown = original if style.original_limit is None else F.substring(original, 1, style.original_limit)
     return F.concat_ws(
         "\n",
         F.concat(
@@ -157,7 +157,7 @@ def editorial_text(style: RequestStyle, original: Column, translated: Column) ->
         F.lit("Keep the tone of the original, the formatting and everything that is already right."),
         F.lit("Before each changed phrase put the old one as [[ORIGINAL: old phrase]]."),
         F.lit("Original:"),
-        shown,
+        original,
         F.lit("Translation:"),
         translated,
         F.lit("Answer with the full edited translation."),

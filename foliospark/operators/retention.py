@@ -7,16 +7,14 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions.text import instant
+
 # How long things are kept.
 STAGED_HOURS = 24
 LINK_DAYS = 7
 FILE_DAYS = 30
 
 
-def instant(as_of: dt.datetime) -> Column:
-    return F.lit(as_of).cast("timestamp_ntz")
-
-
 def latest_upload(log: DataFrame) -> DataFrame:
     """Last write per session from an upload log (session_id, created_at, upload_id, ...)."""
     rest = [c for c in log.columns if c != "session_id"]
@@ -31,8 +29,8 @@ def expired(as_of: dt.datetime, created_at: str = "created_at", hours: int = STA
 
 
 def without_expired(staged: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Staged rows still within their time; the filter reaches the scan."""
-    return staged.filter(~expired(as_of))
+    """Staged rows (one per session) still within their time; rows without a time stay."""
+    return staged.filter(F.coalesce(~expired(as_of), F.lit(True)))
 
 
 def promote(staged: DataFrame, orders: DataFrame) -> DataFrame:

@@ -2,36 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.operators.chunked import CHUNK, HOT_ROWS, chunk_order, with_chunks
 from foliospark.sources.dimensions import LANGUAGE_CODES
 
 
-def selection_fold(log: DataFrame, items=LANGUAGE_CODES, unit: str = "hour", hot_rows: int = HOT_ROWS) -> DataFrame:
+def selection_fold(log: DataFrame, items=LANGUAGE_CODES, unit: str = "hour") -> DataFrame:
     """Selected items per session from rows (session_id, item, action, at, seq).
 
     ``toggle`` flips one item, ``all`` selects every item. An item is selected when one "all"
-    (if any) plus the toggles after the last "all" are an odd number. A session with very many rows
-    is folded per time chunk first and reaches the per-session step as a few counts per chunk.
+    (if any) plus the toggles after the last "all" are an odd number. The last "all" of a session is
+    one row by partial aggregation; it joins back, and the toggles after it are counted by partial
+    aggregation, too. No session is ever sorted or held in a task.
     """
-    acts = with_chunks(log.filter(F.col("action").isin("toggle", "all")), ["session_id"], "at", unit, hot_rows)
-    in_chunk = Window.partitionBy("session_id", CHUNK)
-    order = F.struct("at", "seq")
-    last_all = F.max(F.when(F.col("action") == "all", order)).over(in_chunk)
-    live = acts.withColumn("_all", last_all).filter(F.col("_all").isNull() | (order >= F.col("_all")))
-    # Per chunk: was there an "all", and the toggles of each item after the last one.
+    acts = log.filter(F.col("action").isin("toggle", "all")).withColumn("_at", F.struct("at", "seq"))
+    sessions = acts.groupBy("session_id").agg(
+        F.max(F.when(F.col("action") == "all", F.col("_at"))).alias("_all")
+    )
+    live = acts.join(sessions.withColumnRenamed("session_id", "_s"), F.col("session_id").eqNullSafe(F.col("_s")))
+    live = live.filter(F.col("_all").isNull() | (F.col("_at") >= F.col("_all")))
     counts = [
         F.sum(F.when((F.col("action") == "toggle") & (F.col("item") == i), 1).otherwise(0)).alias(f"n{k}")
         for k, i in enumerate(items)
     ]
-    per_chunk = live.groupBy("session_id", CHUNK).agg(F.max(F.col("_all").isNotNull()).alias("reset"), *counts)
-    timed = per_chunk.withColumn(CHUNK, chunk_order())
-    last_reset = F.max(F.when(F.col("reset"), F.col(CHUNK))).over(Window.partitionBy("session_id"))
-    kept = timed.withColumn("_from", last_reset).filter(F.col("_from").isNull() | (F.col(CHUNK) >= F.col("_from")))
-    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(len(items))]
-    folded = kept.groupBy("session_id").agg(F.max(F.col("_from").isNotNull()).cast("int").alias("reset"), *sums)
+    folded = live.groupBy("session_id").agg(F.max(F.col("_all").isNotNull()).cast("int").alias("reset"), *counts)
     pairs = F.array(*[F.struct(F.lit(i).alias("item"), F.col(f"n{k}").alias("toggles")) for k, i in enumerate(items)])
     return (
         folded.select("session_id", "reset", F.inline(pairs))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.money import MONEY, at_least_minimum, cents, percent_of, rounded
-from foliospark.functions.text import fallback, thousands, trim_all
-from foliospark.operators.chunked import HOT_ROWS, rank_by_key
+from foliospark.functions.text import fallback, instant, thousands, trim_all
+from foliospark.operators.chunked import rank_by_key
 from foliospark.sources import dimensions as dims
 
 # The pieces of a charge line.
@@ -48,7 +48,7 @@ def apply_voucher(
     reason = (
         F.when(F.col("_code").isNull(), F.lit(None).cast("string"))
         .when(F.col("code").isNull(), F.lit(UNKNOWN))
-        .when(F.col("expires_at") < F.lit(as_of).cast("timestamp_ntz"), F.lit(EXPIRED))
+        .when(F.col("expires_at") < instant(as_of), F.lit(EXPIRED))
     )
     accepted = F.col("code").isNotNull() & F.col("reject_reason").isNull()
     exact = F.when(
@@ -88,7 +88,6 @@ def enforce_max_uses(
     ts: str,
     subtotal: str = "total",
     unit: str = "hour",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Undo the discount of redemptions beyond a code's ``max_uses``, earliest orders first.
 
@@ -97,7 +96,7 @@ def enforce_max_uses(
     """
     limits = vouchers.filter(F.col("max_uses").isNotNull()).select(F.col("code").alias("voucher_code"), "max_uses")
     limited = applied.select(order_id, ts, "voucher_code").join(limits, "voucher_code")
-    ranked = rank_by_key(limited, ["voucher_code"], ts, order_id, "use_no", unit, hot_rows)
+    ranked = rank_by_key(limited, ["voucher_code"], ts, order_id, "use_no", unit)
     beyond = ranked.filter(F.col("use_no") > F.col("max_uses")).select(order_id, F.lit(True).alias("_beyond"))
     marked = applied.join(beyond, order_id, "left")
     late = F.col("_beyond").isNotNull()

@@ -116,7 +116,7 @@ def originals(spark: SparkSession, d: str) -> DataFrame:
     staged = intake(manuscripts(spark, d))
     return staged.select(
         F.floor(F.col("doc_id") * 4 / 5).cast("long").alias("order_id"),
-        F.col("doc_id").alias("file_id"), "file_format", "word_count", "content",
+        F.col("doc_id").alias("file_id"), "file_format", "word_count", "has_text", "content",
     )
 
 

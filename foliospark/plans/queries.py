@@ -253,12 +253,16 @@ def event_stream(spark, d) -> DataFrame:
 
 
 def run_payment_stream(spark, d) -> str:
-    """Run the payment stream over the whole events table and return the folder it wrote."""
+    """Run the payment stream over the whole events table, in four out-of-order micro-batches; return the folder it wrote."""
     folder = fresh_dir(spark, "payments")
     payment_stream.prepare(spark, folder)
-    events = event_stream(spark, d)
-    job = payment_stream.start(fx.payment_bodies(events), folder, f"{folder}/checkpoint", available_now=True)
-    job.awaitTermination()
+    # The newest events come first, and each event's deliveries lie in several files.
+    bodies = fx.payment_bodies(table(spark, d, "events"))
+    late = F.pmod(F.xxhash64("body", "delivered_at"), F.lit(2))
+    ordered = bodies.repartitionByRange(2, F.desc("delivered_at"))
+    ordered.select("body", "delivered_at", late.alias("part")).write.partitionBy("part").parquet(f"{folder}/bodies")
+    stream = spark.readStream.schema("body string, delivered_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/bodies/part=*")
+    payment_stream.start(stream, folder, f"{folder}/checkpoint", available_now=True).awaitTermination()
     return folder
 
 
@@ -270,7 +274,7 @@ def orders_stream(spark, d):
 @query
 def pending_work_stream(spark, d):
     work = payment_stream.stored_work(spark, run_payment_stream(spark, d))
-    return work.select("order_id", "language", "position")
+    return work.select("order_id", "language", "position", "reason")
 
 
 # ---- Requests and model passes ------------------------------------------------------------------
@@ -336,9 +340,10 @@ def stub_edit(batch: pd.DataFrame) -> list:
 @query
 def two_pass_inference(spark, d):
     orders = fx.order_inputs(spark, d, customers=True)
-    files = inference.run_two_pass(
-        orders, fx.originals(spark, d), fresh_dir(spark, "inference"), 1, stub_translate, stub_edit
-    )
+    folder = fresh_dir(spark, "inference")
+    inference.run_two_pass(orders, fx.originals(spark, d), folder, stub_translate, stub_edit, slices=2)
+    # The same call again finds everything stored and asks for nothing.
+    files = inference.run_two_pass(orders, fx.originals(spark, d), folder, stub_translate, stub_edit, slices=2)
     return files.select(
         "order_id", "language", digest("original_content").alias("translated_md5"),
         F.when(F.col("language") != "pt", F.col("content")).alias("edited"),
@@ -419,7 +424,7 @@ def staged_stream(spark, d):
 
 @query
 def expire_staged(spark, d):
-    return retention.without_expired(uploads(spark, d), fx.UPLOADS_AS_OF)
+    return retention.without_expired(retention.latest_upload(uploads(spark, d)), fx.UPLOADS_AS_OF)
 
 
 @query

@@ -7,7 +7,8 @@ row, and readers fold by key.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,13 @@ def ensure(spark: SparkSession, folder: str, ddl: str, by: str = "run_id", parti
     write_run(spark.createDataFrame([], ddl), folder, 0, by, partition_by)
 
 
-def batch_number(checkpoint: str, batch_id: int) -> int:
-    """Folder number of a micro-batch. Batches count from zero for every checkpoint, so the number also
-    depends on the checkpoint's name: a stream started over with a new one replaces nothing."""
-    return (zlib.crc32(checkpoint.encode()) << 31) + batch_id + 1
+def batch_number(checkpoint: str, batch_id: int) -> str:
+    """Folder name of a micro-batch. Batches count from zero for every checkpoint, so the name also has
+    the digest of the checkpoint's name: a stream started over with a new one replaces nothing."""
+    return f"{hashlib.sha256(checkpoint.rstrip('/').encode()).hexdigest()}-{batch_id + 1}"
 
 
-def write_run(rows: DataFrame, folder: str, run_id: int, by: str = "run_id", partition_by: tuple[str, ...] = ()) -> None:
+def write_run(rows: DataFrame, folder: str, run_id: int | str, by: str = "run_id", partition_by: tuple[str, ...] = ()) -> None:
     """Replace one run's folder. Partitioned rows are rebalanced first: small partition values share
     a task and large ones are split, so neither tiny files nor one overloaded task come out."""
     if partition_by:
@@ -34,10 +35,22 @@ def write_run(rows: DataFrame, folder: str, run_id: int, by: str = "run_id", par
 
 def read(spark: SparkSession, folder: str, ddl: str, by: str = "run_id", keep: bool = False) -> DataFrame:
     """Read all runs with an explicit schema; ``keep`` also returns the run or batch number."""
-    rows = spark.read.schema(f"{ddl}, {by} bigint").parquet(folder)
+    rows = spark.read.schema(f"{ddl}, {by} string").parquet(folder)
     return rows if keep else rows.drop(by)
 
 
+def append_attempt(rows: DataFrame, folder: str) -> None:
+    """Add rows in a folder of their own, named at random, so that no attempt ever replaces another one's."""
+    rows.write.parquet(f"{folder}/attempt={uuid.uuid4().hex}")
+
+
+def read_attempts(spark: SparkSession, folder: str, ddl: str, keys: tuple[str, ...]) -> DataFrame:
+    """All attempts, one row per key. An attempt that broke off left no committed files."""
+    empty = f"{folder}/attempt=none"
+    spark.createDataFrame([], ddl).write.mode("ignore").parquet(empty)
+    return spark.read.schema(f"{ddl}, attempt string").parquet(folder).drop("attempt").dropDuplicates(list(keys))
+
+
 def write_files_by_language(files: DataFrame, folder: str, run_id: int) -> None:
     """Finished translations, partitioned by language so a delivery for one language reads only it."""
     write_run(files, folder, run_id, partition_by=("language",))

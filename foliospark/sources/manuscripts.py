@@ -33,7 +33,7 @@ def read_opaque(spark: SparkSession, path: str) -> DataFrame:
     """EPUB and PDF files by name and size; the bytes themselves are never read."""
     return (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{epub,pdf,EPUB,PDF}")
+        .option("pathGlobFilter", "*.{[eE][pP][uU][bB],[pP][dD][fF]}")
         .load(path)
         .select("path", F.substring_index("path", "/", -1).alias("file_name"), F.col("length").alias("size_bytes"))
     )
@@ -41,7 +41,7 @@ def read_opaque(spark: SparkSession, path: str) -> DataFrame:
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """Word files with their raw text."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,DOCX}").load(path)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][oO][cC][xX]").load(path)
     named = found.select(
         F.substring_index("path", "/", -1).alias("file_name"), F.col("length").alias("size_bytes"),
         F.col("content").alias("bytes"),
@@ -49,25 +49,49 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
     return extract_docx(named, "bytes")
 
 
-def _raw_text(node: ET.Element) -> str:
-    if node.tag == _W + "t":
-        return node.text or ""
-    if node.tag in _FIXED_TEXT:
-        return _FIXED_TEXT[node.tag]
-    if node.tag in _SKIPPED:
-        return ""
-    if node.tag == _ALTERNATE:
-        node = node.find(_FALLBACK) or ET.Element("none")
-    inner = "".join(_raw_text(child) for child in node)
-    return inner + "\n\n" if node.tag == _W + "p" else inner
+def _raw_text(body: ET.Element) -> str:
+    """Text below a node in document order; a stack instead of recursion, so depth has no limit."""
+    out, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif node.tag == _W + "t":
+            out.append(node.text or "")
+        elif node.tag in _FIXED_TEXT:
+            out.append(_FIXED_TEXT[node.tag])
+        elif node.tag not in _SKIPPED:
+            if node.tag == _ALTERNATE:
+                fallback = node.find(_FALLBACK)
+                node = ET.Element("none") if fallback is None else fallback
+            if node.tag == _W + "p":
+                stack.append("\n\n")
+            stack.extend(reversed(node))
+    return "".join(out)
+
+
+def _main_part(archive: zipfile.ZipFile) -> str:
+    """Name of the document part, as the package's relations tell; else the usual one."""
+    try:
+        relations = ET.fromstring(archive.read("_rels/.rels"))
+    except (KeyError, ET.ParseError):
+        return "word/document.xml"
+    for relation in relations:
+        if relation.get("Type", "").endswith("/officeDocument"):
+            return relation.get("Target", "").lstrip("/")
+    return "word/document.xml"
+
 
+def docx_text(data: bytes | None) -> tuple[str | None, str | None]:
+    """(text, None) or (None, reason). Each paragraph is followed by a blank line.
 
-def docx_text(data: bytes) -> tuple[str | None, str | None]:
-    """(text, None) or (None, reason). Each paragraph is followed by a blank line."""
+    Whatever is wrong with one file (no zip, a missing or damaged part, encryption, an unknown
+    compression, no bytes) is that row's reason and never ends the job.
+    """
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            body = ET.fromstring(archive.read("word/document.xml")).find(_W + "body")
-    except (zipfile.BadZipFile, KeyError, ET.ParseError) as problem:
+            body = ET.fromstring(archive.read(_main_part(archive))).find(_W + "body")
+    except Exception as problem:  # the name goes into the row
         return None, type(problem).__name__
     return ("" if body is None else _raw_text(body)), None
 
@@ -79,7 +103,7 @@ def extract_docx(df: DataFrame, bytes_column: str) -> DataFrame:
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [docx_text(bytes(b)) for b in batch.pop(bytes_column)]
+            texts = [docx_text(None if b is None else bytes(b)) for b in batch.pop(bytes_column)]
             yield batch.assign(content=[t for t, _ in texts], error=[e for _, e in texts])
 
     return df.mapInPandas(convert, schema)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliospark.operators.payments import first_delivery, paid_orders, typed_events
+from foliospark.operators.requests import known_languages
 from foliospark.sinks import tables
-from foliospark.sources.dimensions import LANGUAGE_CODES
 
 ORDER_DDL = """
 payment_session_id string, event_id string, delivered_at timestamp, email string, author_name string,
@@ -17,36 +17,34 @@ genre string, upsells array<string>, special_instructions string, amount_paid de
 voucher_code string, original_amount decimal(12,2), created_at timestamp_ntz, order_id string,
 status string, created_date date
 """
-WORK_DDL = "order_id string, language string, position bigint"
+WORK_DDL = "order_id string, language string, position bigint, reason string"
+KEY_DDL = "payment_session_id string, bucket int"
 BATCH = "batch_id"
 DAY = ("created_date",)
-SALTS = 16
+BUCKETS = 64  # of the table of stored sessions; fixed for a table's life
 ORDER_COLUMNS = [part.split()[0] for part in ORDER_DDL.replace("decimal(12,2)", "decimal").split(",")]
 
 
-def orders_stream(bodies: DataFrame, watermark: str) -> DataFrame:
-    """Streaming bodies (body, delivered_at) to pending orders, most replays already dropped.
+def session_bucket() -> Column:
+    return F.pmod(F.xxhash64("payment_session_id"), F.lit(BUCKETS)).cast("int")
 
-    The state is bounded by the watermark. It is keyed by session and salt, so a session that is
-    replayed very often is spread over SALTS tasks and leaves at most SALTS rows; the writer, which
-    also knows all stored keys, makes that one.
+
+def orders_stream(bodies: DataFrame) -> DataFrame:
+    """Streaming bodies (body, delivered_at) to pending orders, replays included.
+
+    Nothing is dropped here, however late it comes: the writer makes a session one order. An event
+    without a creation time lies in a day of its own; the day says nothing about uniqueness.
     """
     paid = paid_orders(typed_events(bodies)).withColumn("delivered_at", F.col("delivered_at").cast("timestamp"))
     day = F.coalesce(F.col("created_at").cast("date"), F.lit("1970-01-01").cast("date"))
-    salt = F.pmod(F.xxhash64("delivered_at"), F.lit(SALTS))
-    return (
-        paid.withColumn("created_date", day)
-        .withColumn("salt", salt)
-        .withWatermark("delivered_at", watermark)
-        .dropDuplicatesWithinWatermark(["payment_session_id", "salt"])
-        .select(*ORDER_COLUMNS)
-    )
+    return paid.withColumn("created_date", day).select(*ORDER_COLUMNS)
 
 
 def prepare(spark: SparkSession, folder: str) -> None:
-    """Create the empty order and work tables once, before the first start."""
+    """Create the empty order, work and key tables once, before the first start."""
     tables.ensure(spark, f"{folder}/orders", ORDER_DDL, BATCH, DAY)
     tables.ensure(spark, f"{folder}/work", WORK_DDL, BATCH)
+    tables.ensure(spark, f"{folder}/keys", KEY_DDL, BATCH)
 
 
 def stored_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,41 +55,42 @@ def stored_work(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read(spark, f"{folder}/work", WORK_DDL, BATCH, keep=True)
 
 
+def stored_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.read(spark, f"{folder}/keys", KEY_DDL, BATCH, keep=True)
+
+
 def pending_work(orders: DataFrame) -> DataFrame:
-    """One work row per order and known language, in the order's own language order."""
-    known = F.array_intersect("languages", F.array(*[F.lit(c) for c in LANGUAGE_CODES]))
-    each = orders.select("order_id", "languages", F.explode(known).alias("language"))
+    """One row per order and language, in the order's own language order; unknown codes with a reason."""
+    each = orders.select("order_id", "languages", F.explode(F.array_distinct("languages")).alias("language"))
+    unknown = ~F.array_contains(known_languages(), F.col("language"))
     return each.select(
-        "order_id", "language", F.array_position("languages", F.col("language")).cast("long").alias("position")
+        "order_id", "language", F.array_position("languages", F.col("language")).cast("long").alias("position"),
+        F.when(unknown, "unknown_language").alias("reason"),
     )
 
 
 def batch_writer(folder: str, checkpoint: str):
-    """Write one micro-batch: new orders first, then the work they trigger.
+    """Write one micro-batch: new orders, the work they trigger, and last their sessions as keys.
 
-    Both folders are named by the batch, so a repeated batch replaces its own rows. The batch is
-    compared with the keys of all other batches, so its own first attempt does not hide it. A
-    replayed event keeps the day it was created, and the table is partitioned by that day: the
-    comparison reads one column of the days the batch spans, not of the whole table. Replays within
-    the batch are combined on the map side before anything is shuffled by session.
+    All folders are named by the batch, so a repeated batch replaces its own rows. A session is new
+    when no other batch has its key. The key table is narrow and sorted by a hash bucket of the
+    session, and only the row groups with buckets of the batch are read. Replays within the batch
+    are combined on the map side before anything is shuffled by session.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         number = tables.batch_number(checkpoint, batch_id)
-        rows = batch.persist()
+        rows = first_delivery(batch).select(*ORDER_COLUMNS).withColumn("bucket", session_bucket()).persist()
         try:
-            first, last = rows.agg(F.min("created_date"), F.max("created_date")).first()
-            if first is None:
-                return
-            stored = stored_orders(spark, folder)
-            days = F.col("created_date").between(F.lit(first), F.lit(last))
-            earlier = stored.filter((F.col(BATCH) != number) & days).select("payment_session_id")
-            once = first_delivery(rows).select(*ORDER_COLUMNS)
-            new = once.join(earlier, "payment_session_id", "left_anti")
-            tables.write_run(new, f"{folder}/orders", number, BATCH, DAY)
-            written = stored_orders(spark, folder).filter(F.col(BATCH) == number)
+            buckets = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS
+            keys = stored_keys(spark, folder).filter((F.col(BATCH) != number) & F.col("bucket").isin(buckets))
+            new = rows.join(keys.select("bucket", "payment_session_id"), ["bucket", "payment_session_id"], "left_anti")
+            tables.write_run(new.select(*ORDER_COLUMNS), f"{folder}/orders", number, BATCH, DAY)
+            written = spark.read.schema(ORDER_DDL).parquet(f"{folder}/orders/{BATCH}={number}")
             tables.write_run(pending_work(written), f"{folder}/work", number, BATCH)
+            sessions = written.select("payment_session_id", session_bucket().alias("bucket"))
+            tables.write_run(sessions.repartition("bucket").sortWithinPartitions("bucket"), f"{folder}/keys", number, BATCH)
         finally:
             rows.unpersist()
 
@@ -99,13 +98,13 @@ def batch_writer(folder: str, checkpoint: str):
 
 
 def start(
-    bodies: DataFrame, folder: str, checkpoint: str, watermark: str = "2 hours", available_now: bool = False
+    bodies: DataFrame, folder: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
     """Start the job. Call ``prepare`` once before; restart with the same checkpoint to resume.
 
     A start with a new checkpoint reads all events again and adds only orders that are not stored.
     """
-    writer = orders_stream(bodies, watermark).writeStream.foreachBatch(batch_writer(folder, checkpoint))
+    writer = orders_stream(bodies).writeStream.foreachBatch(batch_writer(folder, checkpoint))
     writer = writer.option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)

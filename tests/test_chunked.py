@@ -22,9 +22,8 @@ def log(seed, n=900, hot=0):
 
 
 @pytest.mark.parametrize("unit", ["hour", "year"])
-@pytest.mark.parametrize("hot_rows", [0, 30, 10**6])
 @pytest.mark.parametrize("hot", [0, None])
-def test_lag_and_rank(spark, unit, hot_rows, hot):
+def test_lag_and_rank(spark, unit, hot):
     rows = log(1, hot=hot)
     df = spark.createDataFrame(rows, "order_id int, change_id int, changed_at timestamp_ntz, status string")
     by_key = {}
@@ -35,9 +34,9 @@ def test_lag_and_rank(spark, unit, hot_rows, hot):
         for place, r in enumerate(rs):
             lag[r[1]] = rs[place - 1][3] if place else None
             rank[r[1]] = place + 1
-    got = lag_by_key(df, ["order_id"], "changed_at", "change_id", "status", "previous", unit, hot_rows).collect()
+    got = lag_by_key(df, ["order_id"], "changed_at", "change_id", "status", "previous", unit).collect()
     assert {r.change_id: r.previous for r in got} == lag and len(got) == len(rows)
-    got = rank_by_key(df, ["order_id"], "changed_at", "change_id", "n", unit, hot_rows).collect()
+    got = rank_by_key(df, ["order_id"], "changed_at", "change_id", "n", unit).collect()
     assert {r.change_id: r.n for r in got} == rank and len(got) == len(rows)
 
 
@@ -66,9 +65,8 @@ def fold(rows, items):
     return {(s, i) for s, items_ in chosen.items() for i in items_}
 
 
-@pytest.mark.parametrize("hot_rows", [0, 30, 10**6])
 @pytest.mark.parametrize("seed", range(2))
-def test_selection(spark, seed, hot_rows):
+def test_selection(spark, seed):
     rng = random.Random(seed)
     items = ("es", "fr", "de", "pt")
     rows = []
@@ -77,16 +75,14 @@ def test_selection(spark, seed, hot_rows):
         action = rng.choice(["toggle"] * 6 + ["all", "other"])
         rows.append((session, rng.choice(items), action, START + dt.timedelta(minutes=rng.randrange(400)), i))
     df = spark.createDataFrame(rows, "session_id int, item string, action string, at timestamp_ntz, seq int")
-    got = selection.selection_fold(df, items, hot_rows=hot_rows).collect()
+    got = selection.selection_fold(df, items).collect()
     assert {(r.session_id, r.item) for r in got} == fold(rows, items)
     assert len(got) == len(fold(rows, items))
 
 
-def test_hot_keys_are_the_hot_ones(spark):
-    from foliospark.operators.chunked import hot_keys
-
-    df = spark.createDataFrame(log(3), "order_id int, change_id int, changed_at timestamp_ntz, status string")
-    assert [r["_key"].order_id for r in hot_keys(df, ["order_id"], 100).collect()] == [0]
-    nulls = spark.createDataFrame(log(3, hot=None), df.schema)
-    assert [r["_key"].order_id for r in hot_keys(nulls, ["order_id"], 100).collect()] == [None]
-    assert hot_keys(df, ["order_id"]).count() == 0
+def test_one_key_at_one_time(spark):
+    rows = [(7, i, START, "pending" if i % 2 else "failed") for i in range(3000)]
+    df = spark.createDataFrame(rows, "order_id int, change_id int, changed_at timestamp_ntz, status string").repartition(8)
+    got = {r.change_id: r.previous for r in lag_by_key(df, ["order_id"], "changed_at", "change_id", "status", "previous").collect()}
+    assert got == {i: rows[i - 1][3] if i else None for i in range(3000)}
+    assert sorted(r.n for r in rank_by_key(df, ["order_id"], "changed_at", "change_id", "n").collect()) == list(range(1, 3001))

@@ -66,7 +66,7 @@ def feed(spark, folder, name, rows):
 
 def run(spark, folder, checkpoint="checkpoint"):
     bodies = spark.readStream.schema(BODIES).parquet(f"{folder}/in/*")
-    job = stream.start(bodies, f"{folder}/out", f"{folder}/{checkpoint}", "2 hours", available_now=True)
+    job = stream.start(bodies, f"{folder}/out", f"{folder}/{checkpoint}", available_now=True)
     job.awaitTermination()
 
 
@@ -90,8 +90,24 @@ def test_stream_restart_and_replays(spark, folder):
     keys = [r.payment_session_id for r in stream.stored_orders(spark, f"{folder}/out").collect()]
     assert len(keys) == len(set(keys)) == 23
     work = stream.stored_work(spark, f"{folder}/out").collect()
-    assert len(work) == 2 * 23
-    assert {(r.language, r.position) for r in work} == {("fr", 1), ("es", 2)}
+    assert len(work) == 3 * 23
+    assert {(r.language, r.position, r.reason) for r in work} == {("fr", 1, None), ("es", 2, None), ("xx", 3, "unknown_language")}
+
+
+def test_late_and_repeated_sessions(spark, folder):
+    stream.prepare(spark, f"{folder}/out")
+    feed(spark, folder, "a", [(body(700), at(720))])
+    run(spark, folder)
+    # Hours late, another event of a stored session two days on, and events that tell no creation time.
+    other = json.loads(body(700)) | {"id": "evt_other", "created": int((START + dt.timedelta(days=2)).timestamp())}
+    timeless = [{k: v for k, v in json.loads(body(n)).items() if k != "created"} for n in (900, 900, 901)]
+    feed(spark, folder, "b", [(body(1), at(60)), (body(721), at(721)), (json.dumps(other), at(3000))] + [(json.dumps(t), at(3001)) for t in timeless])
+    run(spark, folder)
+    feed(spark, folder, "c", [(json.dumps(timeless[0]), at(5000)), (body(2), at(1)), (json.dumps(other), at(1))])
+    run(spark, folder)
+    keys = sorted(r.payment_session_id for r in stream.stored_orders(spark, f"{folder}/out").collect())
+    assert keys == sorted(f"cs_{n}" for n in (700, 1, 721, 900, 901, 2))
+    assert sorted(r.payment_session_id for r in stream.stored_keys(spark, f"{folder}/out").collect()) == keys
 
 
 def test_repeated_batch_replaces_itself(spark, folder):
@@ -104,7 +120,7 @@ def test_repeated_batch_replaces_itself(spark, folder):
         write(batch, 0)
     write(batch, 1)
     assert stream.stored_orders(spark, f"{folder}/out").count() == 5
-    assert stream.stored_work(spark, f"{folder}/out").count() == 10
+    assert stream.stored_work(spark, f"{folder}/out").count() == 15
 
 
 @pytest.mark.parametrize("order", [[0, 1, 2], [2, 1, 0]])

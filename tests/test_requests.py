@@ -1,6 +1,8 @@
 """Request rows, windows, and the two-pass job with restarts."""
 
 import json
+import os
+import uuid
 import sys
 
 import pytest
@@ -32,7 +34,7 @@ def tables(spark):
             ("f4b", 4, ".txt", "b"), ("f5", 5, ".txt", "t"), ("f6", 6, ".txt", "t"), ("f7", 7, ".txt", "x"),
         ],
         ORIGINALS,
-    )
+    ).withColumn("has_text", F.length("content") > 0)
     done = spark.createDataFrame([(1, "fr")] * 3, "order_id bigint, language string")
     return orders, originals, done
 
@@ -68,15 +70,6 @@ def test_windows_cover_everything(spark):
     assert "".join(r.request.split("Original:\n")[1].split("\nTranslation:")[0] for r in pairs) == LONG
 
 
-def test_editor_limit_is_an_option(spark):
-    orders, originals, done = tables(spark)
-    work = rq.work_per_order(orders, originals, done)
-    translated = spark.createDataFrame([("f2", "de", "T")], "original_id string, language string, translated string")
-    shown = lambda style: rq.editorial_requests(work, originals, translated, style).first().request.split("Original:\n")[1].split("\nTranslation:")[0]
-    assert shown(rq.WHOLE) == LONG
-    assert shown(rq.RequestStyle(original_limit=rq.EDITOR_LIMIT)) == LONG[:30000]
-
-
 def bracket(batch):
     return [[{"type": "text", "text": f"<{r.split('Manuscript:')[1].strip().split(chr(10))[0]}>"}] for r in batch["request"]]
 
@@ -92,22 +85,59 @@ def improve(batch):
 def test_two_pass_runs_once(spark, folder):
     orders, originals, _ = tables(spark)
     out = f"{folder}/run"
-    files = {(r.order_id, r.language): r for r in inference.run_two_pass(orders, originals, out, 1, bracket, improve).collect()}
+    files = {(r.order_id, r.language): r for r in inference.run_two_pass(orders, originals, out, bracket, improve, slices=2).collect()}
     assert set(files) == {(1, "es"), (1, "fr"), (2, "de"), (7, "pt")}
     assert files[1, "es"].content == "[[ORIGINAL: a]]b" and files[1, "es"].original_content == "<short text>"
     assert files[1, "fr"].content == files[1, "fr"].original_content == "<short text>"
+    # The same call again asks for nothing and changes nothing.
+    again = inference.run_two_pass(orders, originals, out, must_not_run, must_not_run, slices=1)
+    assert {(r.order_id, r.language): r for r in again.collect()} == files
+
+
+def counted(calls, answer, fails=()):
+    """A model that notes every request in a file of its own, and breaks off on some orders' books."""
 
+    def run(batch):
+        out = answer(batch)
+        for request in batch["request"]:
+            if any(word in request for word in fails):
+                raise RuntimeError("broken off")
+        for request in batch["request"]:
+            with open(f"{calls}/{uuid.uuid4().hex}", "w") as f:
+                f.write(request)
+        return out
 
-def test_two_pass_resumes_after_failure(spark, folder):
+    return run
+
+
+@pytest.mark.parametrize("failing", ["first", "second"])
+def test_two_pass_resumes_after_a_crash(spark, folder, failing):
     orders, originals, _ = tables(spark)
-    out = f"{folder}/run"
-    with pytest.raises(Exception):
-        inference.run_two_pass(orders, originals, out, 1, bracket, must_not_run)
-    # The first pass is stored: the second run may not ask for it again.
-    files = inference.run_two_pass(orders, originals, out, 2, must_not_run, improve)
-    assert files.count() == 4
-    files = inference.run_two_pass(orders, originals, out, 3, must_not_run, must_not_run)
+    calls, again, out = f"{folder}/calls", f"{folder}/again", f"{folder}/run"
+    os.mkdir(calls)
+    os.mkdir(again)
+    # The last slice with a ready order breaks off; those before it are stored.
+    slices = {n: spark.sql(f"select pmod(xxhash64({n}L), 8)").first()[0] for n in (1, 2, 7)}
+    assert len(set(slices.values())) > 1
+    last = max(slices, key=slices.get)
+    word = f"Title: T{last}" if failing == "first" else {1: "<short text>", 2: f"<{LONG[:40]}", 7: "<x>"}[last]
+    broken = counted(calls, bracket if failing == "first" else improve, fails=[word])
+    first, second = (broken, counted(calls, improve)) if failing == "first" else (counted(calls, bracket), broken)
+    with pytest.raises(Exception, match="broken off"):
+        inference.run_two_pass(orders, originals, out, first, second, slices=8)
+    stored = sum(spark.read.parquet(f"{out}/{name}/attempt=*").count() for name in ("translated", "files") if os.path.exists(f"{out}/{name}"))
+    files = inference.run_two_pass(orders, originals, out, counted(again, bracket), counted(again, improve), slices=8)
     assert files.count() == 4
+    # Four languages, two passes; nothing that a slice has stored is asked for again.
+    assert 0 < stored < 8 and len(os.listdir(again)) == 8 - stored
+    assert inference.run_two_pass(orders, originals, out, must_not_run, must_not_run, slices=1).count() == 4
+
+
+def test_empty_books_are_not_sent(spark):
+    orders, originals, done = tables(spark)
+    empty = originals.withColumn("content", F.lit("")).withColumn("has_text", F.lit(False))
+    reasons = {r.order_id: r.reason for r in rq.work_per_order(orders, empty, done).collect()}
+    assert reasons[1] == reasons[2] == "empty_source" and reasons[3] == "opaque_source"
 
 
 def test_windowed_two_pass(spark, folder):
@@ -121,7 +151,7 @@ def test_windowed_two_pass(spark, folder):
             answers.append([{"type": "text", "text": json.dumps({"editedText": part + "!", "changes": [change]})}])
         return answers
 
-    files = {(r.order_id, r.language): r for r in inference.run_two_pass(orders, originals, f"{folder}/w", 1, bracket, explain, rq.WINDOWED).collect()}
+    files = {(r.order_id, r.language): r for r in inference.run_two_pass(orders, originals, f"{folder}/w", bracket, explain, rq.WINDOWED, slices=1).collect()}
     long = files[2, "de"]
     assert long.original_content == f"<{LONG[:50000]}><{LONG[50000:100000]}><{LONG[100000:]}>"
     assert long.content.replace("!", "") == long.original_content and len(long.changes) == 5
