@@ -187,10 +187,10 @@ def editorial_text(text: str, translated: str) -> str:
 
 
 CTE["pairs"] = f"""
-select u.conv_id, u.turn, u.text as translated, a.text as improved, u.conv_id % 6 as shape,
+select u.conv_id, u.turn, u.text as translated, a.text as improved, case when a.conv_id is null then -1 else u.conv_id % 6 end as shape,
   ({LANGS})[cast(u.conv_id % 4 + 1 as int)] as language
-from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
-where u.role = 'user' and a.role = 'assistant'"""
+from (select * from conversations where role = 'user') u
+left join (select * from conversations where role = 'assistant') a on a.conv_id = u.conv_id and a.turn = u.turn + 1"""
 CTE["marked"] = """
 select doc_id, case
   when doc_id % 4 = 1 then '[[ORIGINAL: ' || substr(text, 1, 20) || ']]' || substr(text, 21) || '[[ORIGINAL: end' || chr(10) || 'note]]The end.'
@@ -498,8 +498,9 @@ where order_id in (select order_id from deleted) group by 1""")
 oracle("dq_orders", """
 select *, cast(no_email::int + no_title::int + no_language::int + repeated_language::int + unknown_language::int + repeated_addon::int
   + bad_format::int as bigint) as failed_checks
-from (select order_id, false as no_email, priority = '1-URGENT' as no_title, n = 0 as no_language,
-  order_id % 7 = 0 and n > 0 as repeated_language, false as unknown_language, false as repeated_addon, false as bad_format from customers)""")
+from (select order_id, order_id % 11 = 0 as no_email, priority = '1-URGENT' as no_title, n = 0 as no_language,
+  order_id % 7 = 0 and n > 0 as repeated_language, order_id % 13 = 0 and n > 0 as unknown_language, order_id % 17 = 0 as repeated_addon,
+  order_id % 19 = 0 as bad_format from customers)""")
 oracle("orders_by_status", f"""
 select status, count(*) as orders, cast(sum(amount_paid) as double) as revenue, {t('min(created_at)')} as oldest, {t('max(created_at)')} as newest
 from order_inputs group by 1""")

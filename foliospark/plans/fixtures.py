@@ -207,10 +207,11 @@ def selection_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every user turn as a translation, with the answer to it or null."""
     c = table(spark, d, "conversations")
     user = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("translated"))
     answer = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("improved"))
-    return user.join(answer, ["conv_id", "turn"])
+    return user.join(answer, ["conv_id", "turn"], "left")
 
 
 def editorial_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -233,7 +234,8 @@ def editorial_answers(spark: SparkSession, d: str) -> DataFrame:
         .when(shape == 4, F.to_json(F.struct(text, F.lit("none").alias("changes"))))
         .otherwise(F.concat(good, F.lit(" That is all.")))
     )
-    return pairs.select("conv_id", "turn", pick(LANGUAGE_CODES, F.col("conv_id") % 4).alias("language"), "translated", answer.alias("answer"))
+    return pairs.select("conv_id", "turn", pick(LANGUAGE_CODES, F.col("conv_id") % 4).alias("language"), "translated",
+                        F.when(F.col("improved").isNotNull(), answer).alias("answer"))
 
 
 def marked_texts(spark: SparkSession, d: str) -> DataFrame:

@@ -527,11 +527,19 @@ def removed_by_cascade(spark, d):
 
 @query
 def dq_orders(spark, d):
-    """Quality flags on all paid carts as parsed from the payment events and on all order rows."""
+    """Quality flags on all order rows; every flag is true somewhere."""
     rows = fx.order_inputs(spark, d, customers=True)
-    odd = F.col("order_id") % 7 == 0
-    repeated = F.when(odd, F.concat("languages", "languages")).otherwise(F.col("languages"))
-    rows = rows.withColumn("languages", repeated).withColumn("book_title", F.when(F.col("priority") != "1-URGENT", F.col("book_title")).otherwise(F.lit("")))
+    every = lambda n: F.col("order_id") % n == 0
+    some = F.size("languages") > 0
+    languages = F.when(every(7), F.concat("languages", "languages")).otherwise(F.col("languages"))
+    languages = F.when(every(13) & some, F.concat(languages, F.array(F.lit("xx")))).otherwise(languages)
+    rows = (
+        rows.withColumn("languages", languages)
+        .withColumn("email", F.when(~every(11), F.col("email")))
+        .withColumn("book_title", F.when(F.col("priority") != "1-URGENT", F.col("book_title")).otherwise(F.lit("")))
+        .withColumn("upsells", F.when(every(17), F.array(F.lit("newsletter"), F.lit("newsletter"))).otherwise(F.array(F.lit("newsletter"))))
+        .withColumn("file_format", F.when(every(19), F.lit(".mobi")).otherwise(F.lit(".txt")))
+    )
     return quality.check_orders(rows).select(
         "order_id", "no_email", "no_title", "no_language", "repeated_language", "unknown_language",
         "repeated_addon", "bad_format", "failed_checks",

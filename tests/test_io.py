@@ -112,6 +112,10 @@ def test_launch_rules_and_document(spark):
     checked = {r.id: r for r in launch.contract(parsed).collect()}
     assert checked[1].broken_rules == 0
     assert [checked[2][n] for n in ("seven_boxes", "boxes_short", "boxes_plain", "boxes_not_title", "boxes_not_generic")] == [False] * 5
+    odd = dict(good, backendKeywords=[None, "My Title"] + ["frase"] * 5)
+    odd_rows = [(1, "es", None, "", json.dumps(odd)), (2, "es", "title", None, json.dumps(odd))]
+    odd_ones = {r.id: r for r in launch.contract(launch.parse_strategies(spark.createDataFrame(odd_rows, df.schema))).collect()}
+    assert odd_ones[1].broken_rules == 0 and odd_ones[2].broken_rules == 1 and not odd_ones[2].boxes_not_title
     out = {r.id: r for r in launch.render(parsed, "Brand").collect()}
     assert out[4].reason == "unknown_market" and out[3].document is None
     doc = out[2].document
@@ -144,3 +148,67 @@ def test_order_checks(spark):
     assert out[1].failed_checks == 0
     assert out[2].failed_checks == 5 and not out[2].unknown_language
     assert out[3].repeated_language and out[3].unknown_language and out[3].bad_format and out[3].failed_checks == 3
+
+
+def test_damaged_documents_are_rows(spark, folder):
+    import io
+    import zipfile
+
+    from foliospark.sources import manuscripts
+
+    word = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>%s</w:body></w:document>'
+
+    def made(body, name="word/document.xml", rels=None):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(name, word % body)
+            if rels:
+                z.writestr("_rels/.rels", rels)
+        return out.getvalue()
+
+    good = made("<w:p><w:r><w:t>one</w:t></w:r></w:p>")
+    flipped = bytearray(good)
+    at = good.index(b"word/document.xml") + len("word/document.xml")
+    flipped[at : at + 30] = bytes(30)
+    encrypted, unknown = bytearray(good), bytearray(good)
+    central = good.index(b"PK\x01\x02")
+    encrypted[6] |= 1
+    encrypted[central + 8] |= 1
+    unknown[8] = unknown[central + 10] = 77
+    rels = '<Relationships xmlns="x"><Relationship Type="http://x/officeDocument" Target="/word/other.xml"/></Relationships>'
+    cases = {
+        "good": good, "other part": made("<w:p><w:r><w:t>two</w:t></w:r></w:p>", "word/other.xml", rels), "stream": bytes(flipped), "encrypted": bytes(encrypted),
+        "unknown": bytes(unknown), "no zip": b"hello", "no part": made("", "x.xml"), "null": None, "deep": made("<w:x>" * 5000 + "<w:t>d</w:t>" + "</w:x>" * 5000),
+    }
+    df = spark.createDataFrame(list(cases.items()), "name string, bytes binary")
+    out = {r.name: (r.content, r.error is not None) for r in manuscripts.extract_docx(df, "bytes").collect()}
+    assert out["good"] == ("one\n\n", False) and out["other part"] == ("two\n\n", False) and out["deep"] == ("d", False)
+    assert all(out[n] == (None, True) for n in ("stream", "encrypted", "unknown", "no zip", "no part", "null"))
+
+
+def test_endings_in_any_case(spark, folder):
+    import os
+
+    from foliospark.sources import manuscripts
+
+    os.makedirs(f"{folder}/in")
+    for name in ("a.ePub", "b.Pdf", "c.epub", "d.txt", "e.DocX"):
+        open(f"{folder}/in/{name}", "w").write("x")
+    assert {r.file_name for r in manuscripts.read_opaque(spark, f"{folder}/in").collect()} == {"a.ePub", "b.Pdf", "c.epub"}
+    assert [(r.file_name, r.error) for r in manuscripts.read_docx(spark, f"{folder}/in").collect()] == [("e.DocX", "BadZipFile")]
+
+
+def test_points_in_time_have_no_zone(spark, monkeypatch):
+    import datetime as dt
+    import time
+
+    from foliospark.functions.text import instant
+
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        at = spark.range(1).select(instant(dt.datetime(2024, 1, 31)).cast("string")).first()[0]
+    finally:
+        monkeypatch.delenv("TZ")
+        time.tzset()
+    assert at == "2024-01-31 00:00:00"
