@@ -454,10 +454,17 @@ from judged where not legal group by 1, 2""")
 
 oracle("order_progress", f"""
 select order_id, wanted, finished, case when wanted > 0 and finished = wanted then 'completed' when finished > 0 then 'processing' else 'pending' end as status,
-  case when wanted > 0 and finished = wanted then {t('last_at')} end as completed_at
-from (select o.order_id, any_value(o.n) as wanted, count(f.first_at) as finished, max(f.first_at) as last_at
+  {t('first_at')} as started_at, case when wanted > 0 and finished = wanted then {t('last_at')} end as completed_at
+from (select o.order_id, any_value(o.n) as wanted, count(f.first_at) as finished, min(f.first_at) as first_at, max(f.first_at) as last_at
   from order_inputs o left join (select order_id, language, min(created_at) as first_at from files group by 1, 2) f
     on f.order_id = o.order_id and list_contains(o.languages, f.language) group by o.order_id)""")
+oracle("status_written", f"""
+select order_id, case when finished = wanted then 'completed' else 'processing' end as status,
+  case when finished = wanted then {t('last_at')} else {t('first_at')} end as updated_at,
+  case when finished = wanted then {t('last_at')} end as completed_at, cast(case when finished = wanted then 2 else 1 end as bigint) as changes
+from (select o.order_id, any_value(o.n) as wanted, count(f.first_at) as finished, min(f.first_at) as first_at, max(f.first_at) as last_at
+  from order_inputs o join (select order_id, language, min(created_at) as first_at from files group by 1, 2) f
+    on f.order_id = o.order_id and list_contains(o.languages, f.language) group by o.order_id)""")
 oracle("delivery_resolve", "select order_id, language, requests, outcome, copies, file_id from resolved")
 oracle("delivery_manifest", f"""
 select order_id, language, file_id, book_title || '_' || coalesce({name_of('language')}, language) || '.txt' as file_name,

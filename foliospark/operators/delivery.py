@@ -77,5 +77,5 @@ def manifest(resolved: DataFrame) -> DataFrame:
 
 
 def deliver(manifest_rows: DataFrame, files: DataFrame) -> DataFrame:
-    """The text of every file in the manifest; the wide join, on the unique file id."""
-    return manifest_rows.join(files.select("file_id", "content"), "file_id")
+    """The text of every file in the manifest and its first pass; the wide join, on the unique file id."""
+    return manifest_rows.join(files.select("file_id", "content", "original_content"), "file_id")

@@ -76,12 +76,21 @@ def progress(orders: DataFrame, files: DataFrame) -> DataFrame:
         .withColumn("wanted", F.coalesce(F.size("_times"), F.lit(0)).cast("long"))
         .withColumn("finished", F.coalesce(done, F.lit(0)).cast("long"))
         .withColumn("status", F.when(finished, "completed").when(F.col("finished") > 0, "processing").otherwise("pending"))
+        .withColumn("started_at", F.array_min("_times"))
         .withColumn("completed_at", F.when(finished, F.array_max("_times")))
         .drop("_times", "_have", "languages")
     )
 
 
 def status_rows(progressed: DataFrame) -> DataFrame:
-    """Completion rows for the status log, ready to append."""
-    done = progressed.filter(F.col("status") == "completed")
-    return done.select("order_id", "status", F.col("completed_at").alias("changed_at"))
+    """Rows for the status log, ready to append: an order starts with its first file and completes with its last.
+
+    The id of a change follows from the change, so rows that are appended twice are the same change.
+    An order of one language starts and completes at one time; the higher id is the later state.
+    """
+    step = F.struct(F.lit("processing").alias("status"), F.col("started_at").alias("changed_at"), F.lit(0).alias("step"))
+    last = F.struct(F.lit("completed").alias("status"), F.col("completed_at").alias("changed_at"), F.lit(1).alias("step"))
+    each = progressed.select("order_id", F.inline(F.array(step, last))).filter(F.col("changed_at").isNotNull())
+    low = F.xxhash64("order_id", "status").bitwiseAND(F.lit((1 << 60) - 1))
+    change = F.when(F.col("step") == 1, low.bitwiseOR(F.lit(1 << 60))).otherwise(low)
+    return each.select("order_id", "status", "changed_at", change.alias("change_id"))

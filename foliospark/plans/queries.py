@@ -462,6 +462,12 @@ def order_progress(spark, d):
     return status.progress(fx.order_inputs(spark, d), fx.file_rows(spark, d))
 
 
+@query
+def status_written(spark, d):
+    """Latest state of the log rows that progress writes, as far as an order has started."""
+    return status.latest_status(status.status_rows(order_progress(spark, d)))
+
+
 # ---- Delivery ---------------------------------------------------------------------------------------
 def resolved(spark, d):
     orders = retention.kept_orders(fx.order_inputs(spark, d), fx.ORDERS_AS_OF)

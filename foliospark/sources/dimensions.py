@@ -34,24 +34,19 @@ VOUCHERS = (
     ("BETA95", 95, "percent", "95% beta tester discount", None, None),
     ("TESTDRIVE", 95, "percent", "95% test discount", None, None),
 )
-# (code, name, regional setting used in requests, speakers, flag)
+# (code, name, regional setting used in requests)
 LANGUAGES = (
-    ("es", "Spanish", 'Use Latin American Spanish as the default, but maintain universal readability. Use "tú" for informal address.', "500M+ speakers", "🇪🇸"),
-    ("fr", "French", "Use standard French (France) with clear, modern phrasing.", "300M+ speakers", "🇫🇷"),
-    ("de", "German", "Use standard German (Hochdeutsch) with clear sentence structure.", "100M+ speakers", "🇩🇪"),
-    ("pt", "Portuguese", "Use Brazilian Portuguese as the default for wider readability.", "250M+ speakers", "🇵🇹"),
+    ("es", "Spanish", 'Use Latin American Spanish as the default, but maintain universal readability. Use "tú" for informal address.'),
+    ("fr", "French", "Use standard French (France) with clear, modern phrasing."),
+    ("de", "German", "Use standard German (Hochdeutsch) with clear sentence structure."),
+    ("pt", "Portuguese", "Use Brazilian Portuguese as the default for wider readability."),
 )
-# (code, language, market, currency, store domain)
+# (code, language, market, store domain)
 MARKETS = (
-    ("es", "Spanish", "Spain and Latin America", "EUR/USD", "amazon.es / amazon.com.mx"),
-    ("fr", "French", "France and French-speaking countries", "EUR", "amazon.fr"),
-    ("de", "German", "Germany, Austria, and Switzerland", "EUR", "amazon.de"),
-    ("pt", "Portuguese", "Brazil and Portugal", "BRL/EUR", "amazon.com.br"),
-)
-GENRES = (
-    "Fiction", "Non-Fiction", "Mystery & Thriller", "Science Fiction", "Fantasy",
-    "Biography & Memoir", "Self-Help", "Business", "History", "Science & Technology",
-    "Health & Wellness", "Travel", "Cooking", "Children's Books", "Romance", "Other",
+    ("es", "Spanish", "Spain and Latin America", "amazon.es / amazon.com.mx"),
+    ("fr", "French", "France and French-speaking countries", "amazon.fr"),
+    ("de", "German", "Germany, Austria, and Switzerland", "amazon.de"),
+    ("pt", "Portuguese", "Brazil and Portugal", "amazon.com.br"),
 )
 FORMATS = (("epub", "EPUB"), ("pdf", "PDF"), ("docx", "DOCX"), ("txt", "TXT"))
 OPAQUE_FORMATS = ("epub", "pdf")
@@ -92,19 +87,11 @@ def vouchers(spark: SparkSession, rows=VOUCHERS) -> DataFrame:
 
 
 def languages(spark: SparkSession) -> DataFrame:
-    return rows_table(spark, LANGUAGES, ("language", "language_name", "language_setting", "speakers", "flag"))
+    return rows_table(spark, LANGUAGES, ("language", "language_name", "language_setting"))
 
 
 def markets(spark: SparkSession) -> DataFrame:
-    return rows_table(spark, MARKETS, ("language", "market_language", "market", "currency", "store_domain"))
-
-
-def genres(spark: SparkSession) -> DataFrame:
-    return rows_table(spark, [(g,) for g in GENRES], ("genre",))
-
-
-def formats(spark: SparkSession) -> DataFrame:
-    return rows_table(spark, FORMATS, ("extension", "format_name"))
+    return rows_table(spark, MARKETS, ("language", "market_language", "market", "store_domain"))
 
 
 def constant(df: DataFrame) -> DataFrame:
