@@ -391,6 +391,15 @@ from (select *, {translation_text('romance', 'substr(content, part * 50000 + 1,
 oracle("editorial_requests", f"""
 select order_id, language, cast(length(r) as bigint) as request_chars, md5(r) as request_md5
 from (select *, {editorial_text('content', "'<' || content || '>'")} as r from todo)""")
+_PART = "cast(part * 25000 + 1 as bigint), 25000"
+oracle("windowed_reviews", f"""
+select order_id, language, part, cast(length(substr(translated, {_PART})) as bigint) as translated_chars, md5(concat_ws(chr(10),
+  'Edit this ' || language_name || ' translation of a ' || coalesce(nullif(genre, ''), 'romance') || ' book and explain every change.',
+  'Original:', substr(content, {_PART}), 'Translation:', substr(translated, {_PART}),
+  'Answer with JSON: {{"editedText": text, "changes": [{{"original", "edited", "reason", "type"}}]}},',
+  'type being one of style, dialogue, cultural, description, grammar, consistency.')) as request_md5
+from (select *, unnest(generate_series(0, cast(ceil((length(content) + 2) / 25000.0) as bigint) - 1)) as part
+  from (select *, '<' || content || '>' as translated from todo))""")
 oracle("two_pass_inference", f"""
 select order_id, language, md5(translated) as translated_md5,
   case when language <> 'pt' then '[[ORIGINAL: old]]new ' || length({editorial_text('content', 'translated')}) end as edited,

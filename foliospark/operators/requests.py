@@ -107,15 +107,18 @@ def with_language(rows: DataFrame) -> DataFrame:
     return rows.join(dims.constant(names), "language", "left")
 
 
+def pieces(text: Column, size: int) -> Column:
+    """Consecutive parts of ``size`` characters, cut in one pass; one empty part for empty text."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return F.when(text == "", F.array(F.lit(""))).otherwise(parts)
+
+
 def windows(text: Column, size: int | None) -> Column:
     """Array of (part, text) that covers the whole text in order; one empty part for empty text."""
     if size is None:
         return F.array(F.struct(F.lit(0).alias("part"), text.alias("text")))
-    last = F.greatest(F.ceil(F.length(text) / size).cast("int") - 1, F.lit(0))
-    return F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(i.alias("part"), F.substring(text, i * size + 1, F.lit(size)).alias("text")),
-    )
+    parts = F.coalesce(pieces(text, size), F.array(F.lit(None).cast("string")))
+    return F.transform(parts, lambda t, i: F.struct(i.alias("part"), t.alias("text")))
 
 
 def _slot(label: str, value: Column) -> Column:
@@ -209,10 +212,11 @@ def editorial_requests(
             editorial_text(style, F.col("content"), F.col("translated")).alias("request"),
         )
     size = style.review_window
-    longer = F.greatest(F.length("content"), F.length("translated"), F.lit(1))
-    parts = both.select("*", F.explode(F.sequence(F.lit(0), F.ceil(longer / size).cast("int") - 1)).alias("part"))
-    cut = lambda c: F.substring(F.col(c), F.col("part") * size + 1, F.lit(size))
+    cut = both.withColumn("_original", pieces(F.col("content"), size)).withColumn("_translated", pieces(F.col("translated"), size))
+    last = F.greatest(F.size("_original"), F.size("_translated"), F.lit(1)) - 1
+    parts = cut.drop("content", "translated").select("*", F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    at = lambda c: F.coalesce(F.get(F.col(c), F.col("part")), F.when(F.col(c).isNotNull(), ""))
     return parts.select(
-        "order_id", "language", F.col("part").cast("long").alias("part"), cut("translated").alias("translated"),
-        editorial_json_text(style, cut("content"), cut("translated")).alias("request"),
+        "order_id", "language", F.col("part").cast("long").alias("part"), at("_translated").alias("translated"),
+        editorial_json_text(style, at("_original"), at("_translated")).alias("request"),
     )

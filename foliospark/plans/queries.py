@@ -324,6 +324,15 @@ def editorial_requests(spark, d):
     )
 
 
+@query
+def windowed_reviews(spark, d):
+    """The second pass in windows: original and translation cut at the same places."""
+    rows = requests.editorial_requests(work(spark, d), fx.originals(spark, d), first_pass(spark, d), requests.WINDOWED)
+    return rows.select(
+        "order_id", "language", "part", F.length("translated").cast("long").alias("translated_chars"), digest("request").alias("request_md5")
+    )
+
+
 def stub_translate(batch: pd.DataFrame) -> list:
     """Deterministic stand-in for a model: the request in brackets."""
     return [[{"type": "text", "text": f"<{text}>"}] for text in batch["request"]]
