@@ -326,6 +326,12 @@ oracle("voucher_apply", """
 select order_id, voucher_code is not null as valid, voucher_code, cast(discount as bigint) as discount, discount_kind, description,
   reject_reason, cast(case when voucher_code is not null then discount_amount end as double) as discount_amount,
   cast(case when voucher_code is not null then charged_total end as double) as new_total, cast(total as double) as total from charged""")
+oracle("voucher_request_answers", """
+select order_id, reason is null as valid, case when reason is null then voucher_code end as voucher_code,
+  cast(case when reason is null then discount_amount end as double) as discount_amount,
+  cast(case when reason is null then charged_total end as double) as new_total, reason as reject_reason
+from (select *, case when voucher_input is null then 'missing_code' when order_id % 10 in (0, 1) then 'bad_subtotal'
+  when voucher_code is null then 'unknown_code' end as reason from charged)""")
 oracle("voucher_reject_reasons", """
 select case when reject_reason is not null then reject_reason when voucher_code is not null then 'accepted' else 'no_code' end as outcome,
   voucher_code, count(*) as orders, cast(sum(discount_amount) as double) as discount_total from charged group by 1, 2""")
@@ -491,7 +497,7 @@ oracle("order_references", "select order_id, right(payment_session_id, 12) as re
 oracle("notification_outbox", f"""
 select order_id, author_name, book_title, genre, format('{{:,}}', word_count) as words_text, upper(file_format) as format_text,
   case when len(upsells) > 0 then array_to_string(upsells, ', ') else 'None' end as upsells_text,
-  coalesce(special_instructions, 'None') as instructions_text, kind,
+  coalesce(special_instructions, 'None') as instructions_text, kind, email as customer_email,
   case when kind like 'admin%' then 'admin@example.com' else email end as recipient,
   case kind when 'order_confirmation' then 'Order Confirmed: ' || book_title || ' Translation'
     when 'admin_new_order' then 'New Order: ' || book_title || ' - $' || cast(amount_paid as varchar)

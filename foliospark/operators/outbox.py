@@ -64,7 +64,7 @@ def outbox(orders: DataFrame, admin: str, base_url: str) -> DataFrame:
     )
     notices = F.when(done, F.concat(confirmations, completions)).otherwise(confirmations)
     facts = orders.select(
-        "order_id", "author_name", "book_title", "tier", "file_format", "genre",
+        "order_id", "author_name", F.col("email").alias("customer_email"), "book_title", "tier", "file_format", "genre",
         thousands("word_count").alias("words_text"),
         F.upper("file_format").alias("format_text"),
         F.when(F.size("upsells") > 0, F.array_join("upsells", ", ")).otherwise(F.lit(NONE)).alias("upsells_text"),

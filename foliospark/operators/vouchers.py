@@ -138,6 +138,25 @@ def voucher_answers(applied: DataFrame, vouchers: DataFrame | None = None) -> Da
     )
 
 
+MISSING_CODE, BAD_SUBTOTAL = "missing_code", "bad_subtotal"
+
+
+def request_answers(requests: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Answers to look-up requests (code, subtotal decimal, any other columns), one per request.
+
+    A request without a code, or whose subtotal is missing, unreadable or negative, is not valid and
+    has that as its reason; the others are answered as an order with that subtotal would be.
+    """
+    entered = requests.withColumn("voucher_input", F.col("code")).drop("code")
+    answers = voucher_answers(apply_voucher(entered, as_of, subtotal="subtotal"))
+    bad = F.when(F.col("voucher_input").isNull(), MISSING_CODE).when(F.col("subtotal").isNull() | (F.col("subtotal") < 0), BAD_SUBTOTAL)
+    usable = F.col("valid") & bad.isNull()
+    answers = answers.withColumn("reject_reason", F.coalesce(bad, F.when(~F.col("valid"), F.coalesce("reject_reason", F.lit(UNKNOWN)))))
+    for name in ("voucher_code", "discount", "discount_kind", "description", "discount_amount", "new_total"):
+        answers = answers.withColumn(name, F.when(usable, F.col(name)))
+    return answers.withColumn("valid", usable)
+
+
 def charge_lines(applied: DataFrame) -> DataFrame:
     """Name, description, amount in cents and string metadata of every charge.
 

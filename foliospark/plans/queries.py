@@ -164,6 +164,15 @@ def voucher_apply(spark, d):
     )
 
 
+@query
+def voucher_request_answers(spark, d):
+    """Look-up requests with the orders' codes, some without a subtotal or with a negative one."""
+    o = pricing.quote(fx.order_inputs(spark, d))
+    subtotal = F.when(F.col("order_id") % 10 == 0, None).when(F.col("order_id") % 10 == 1, -F.col("total")).otherwise(F.col("total"))
+    asked = o.select("order_id", F.col("voucher_input").alias("code"), subtotal.cast("decimal(12,2)").alias("subtotal"))
+    return vouchers.request_answers(asked, fx.ORDERS_AS_OF).select("order_id", "valid", "voucher_code", "discount_amount", "new_total", "reject_reason")
+
+
 @query
 def voucher_reject_reasons(spark, d):
     return vouchers.reject_report(charged(spark, d))
