@@ -6,7 +6,6 @@ SQL. Results that pass through JSON in Spark are computed here without any JSON.
 
 from __future__ import annotations
 
-from foliospark.operators import launch as lp
 
 TIME = "'%Y-%m-%d %H:%M:%S'"
 WS = r"\t\n\x{000B}\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -571,21 +570,21 @@ def _list(word: str, n: str, sep: str, prefix: str = "") -> str:
 
 
 def _section(head: str, *lines: str) -> str:
-    rule = f"'{lp.SINGLE_RULE}'"
+    rule = f"'{'━' * 66}'"
     return ", ".join([rule, head, rule, "''", *lines, "''", "''"])
 
 
 _BOXES = ", ".join(f"'Box {i}: ' || coalesce(boxes[{i}], '')" for i in range(1, 8))
-_DOUBLE = f"'{lp.DOUBLE_RULE}'"
+_DOUBLE = f"'{'═' * 67}'"
 _NL = "chr(10)"
-_DOCUMENT = f"""concat_ws(chr(10), {_DOUBLE}, '{lp.PACK_TITLE}', book_title || ' — ' || market_language || ' (' || market || ')', {_DOUBLE}, '',
-{_section(f"'{lp.HEAD_KEYWORDS}'", _BOXES, "''", f"'{lp.NOTE_KEYWORDS}'")},
-{_section(f"'{lp.HEAD_ADS}'", _list('keyword', 'n_ads', _NL), "''", f"'{lp.NOTE_ADS}'")},
-{_section(f"'{lp.HEAD_CATEGORIES}'", _list('path', 'n_paths', _NL), "''", f"'{lp.NOTE_CATEGORIES}'")},
-{_section(f"'{lp.HEAD_PRICING}'", "'Ebook:     €4.99'", "'Paperback: €12.99'", "''", "'Why: Local average'")},
-{_section(f"'{lp.HEAD_DESCRIPTION}'", 'line')},
-{_section(f"'{lp.HEAD_REVIEWS}' || upper(market)", _list('tip', 'n_tips', _NL + ' || ' + _NL))},
-{_section(f"'{lp.HEAD_CHECKLIST}' || upper(store_domain)", _list('step', 'n_steps', _NL + ' || ' + _NL, '☐ '))},
+_DOCUMENT = f"""concat_ws(chr(10), {_DOUBLE}, '📚 LAUNCH STRATEGY PACK', book_title || ' — ' || market_language || ' (' || market || ')', {_DOUBLE}, '',
+{_section("'🔑 AMAZON BACKEND KEYWORDS (Copy these exactly into KDP)'", _BOXES)},
+{_section("'🎯 AMAZON ADS KEYWORDS (For Sponsored Products campaigns)'", _list('keyword', 'n_ads', _NL))},
+{_section("'📂 RECOMMENDED CATEGORIES'", _list('path', 'n_paths', _NL))},
+{_section("'💰 PRICING RECOMMENDATION'", "'Ebook:     €4.99'", "'Paperback: €12.99'", "''", "'Why: Local average'")},
+{_section("'📝 OPTIMIZED BOOK DESCRIPTION'", 'line')},
+{_section("'⭐ REVIEW STRATEGY FOR ' || upper(market)", _list('tip', 'n_tips', _NL + ' || ' + _NL))},
+{_section("'✅ KDP UPLOAD CHECKLIST FOR ' || upper(store_domain)", _list('step', 'n_steps', _NL + ' || ' + _NL, '☐ '))},
 {_DOUBLE}, 'Generated by Folio', {_DOUBLE})"""
 oracle("strategy_render", f"""
 select doc_id, language, reason, cast(length(document) as bigint) as document_chars, md5(document) as document_md5
