@@ -117,16 +117,16 @@ def test_two_pass_resumes_after_a_crash(spark, folder, failing):
     os.mkdir(calls)
     os.mkdir(again)
     # The last slice with a ready order breaks off; those before it are stored.
-    slices = {n: spark.sql(f"select pmod(xxhash64({n}L), 8)").first()[0] for n in (1, 2, 7)}
+    slices = {n: spark.sql(f"select pmod(xxhash64({n}L), 4)").first()[0] for n in (1, 2, 7)}
     assert len(set(slices.values())) > 1
     last = max(slices, key=slices.get)
     word = f"Title: T{last}" if failing == "first" else {1: "<short text>", 2: f"<{LONG[:40]}", 7: "<x>"}[last]
     broken = counted(calls, bracket if failing == "first" else improve, fails=[word])
     first, second = (broken, counted(calls, improve)) if failing == "first" else (counted(calls, bracket), broken)
     with pytest.raises(Exception, match="broken off"):
-        inference.run_two_pass(orders, originals, out, first, second, slices=8)
+        inference.run_two_pass(orders, originals, out, first, second, slices=4)
     stored = sum(spark.read.parquet(f"{out}/{name}/attempt=*").count() for name in ("translated", "files") if os.path.exists(f"{out}/{name}"))
-    files = inference.run_two_pass(orders, originals, out, counted(again, bracket), counted(again, improve), slices=8)
+    files = inference.run_two_pass(orders, originals, out, counted(again, bracket), counted(again, improve), slices=4)
     assert files.count() == 4
     # Four languages, two passes; nothing that a slice has stored is asked for again.
     assert 0 < stored < 8 and len(os.listdir(again)) == 8 - stored
