@@ -37,8 +37,8 @@ SHARD_ROWS = 2_000
 UPDATES = 8_000
 SCALE = 8.0
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-5, 1e-4
-PIECE = 1 << 22  # characters tokenised at once
-CACHE = 1 << 19  # words whose hashes a worker remembers
+PIECE = 1 << 20  # characters tokenised at once
+CACHE = 1 << 17  # words whose hashes a worker remembers
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 EMPTY = 1  # hash of a text without words
 
