@@ -90,6 +90,11 @@ def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     return [[math.log(n / sum(t)) for n in t] for t in table], [math.log((rows.get(d, 0) + 1) / seen) for d in range(len(DOMAINS))]
 
 
+def constants(values: list[float]) -> Column:
+    """An array of numbers as one constant; a literal for each would take the driver seconds."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
 def memberships(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per row of ``docs``: doc_id, tokens and the posterior p0, p1, ... No shuffle."""
     table, prior = model(docs, labels, sample)
@@ -97,7 +102,7 @@ def memberships(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
 
     def evidence(d: int) -> Column:
         # Against the first domain, whose evidence is zero, so one sum less.
-        weights = F.lit([x - y for x, y in zip(table[d], table[0])])
+        weights = constants([x - y for x, y in zip(table[d], table[0])])
         of_words = F.aggregate("buckets", F.lit(0.0), lambda total, b: total + F.get(weights, b))
         return of_words + F.aggregate("shares", F.lit(0.0), lambda total, b: total + F.get(weights, b)) * F.col("times")
 
