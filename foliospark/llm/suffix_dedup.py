@@ -37,7 +37,7 @@ LENGTH = 400
 GRAM = 128
 PIECE = 1 << 19  # bytes searched at once; a longer text comes in overlapping pieces
 PLACE = 21  # bits that hold a place in a piece
-SHARD = 2 << 20  # bytes
+SHARD = 1 << 20  # bytes
 FILTER_BITS = 26
 LANES = 1 << 14  # strings compared at once
 BASE = 0x9E3779B97F4A7C15
