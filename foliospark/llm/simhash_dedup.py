@@ -11,6 +11,13 @@ Defined cases: a null or empty text, or one of white space, has fingerprint zero
 other. Texts with fewer than three words have one shingle. Rows equal in id and text are one document
 with equal answers. An empty table gives no rows. A null doc_id counts as smaller than none: its row is
 linked, but never names a component unless all ids in it are null.
+
+The pipeline's stage doesn't go by bits: two documents are near copies when the Jaccard similarity of their
+sets of five-word shingles is ``SIMILARITY`` or more, and no radius is sure to hold such pairs (at 0.8 they
+lie 9.7 bits apart on average, some twice that). Candidates come from a prefix filter, which is complete: if all
+shingles stand in one order, two sets that similar share one of the first n // 5 + 1 of each. The order is
+by rarity in hashed counters of constant size, so that common shingles seldom are keys. Candidates are
+verified on the whole sets. Texts without words have one, empty, set.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -38,6 +45,11 @@ PARTS = 3
 HALF = 11  # bits of the histograms behind the estimates, so at most 2**HALF counts each
 PIECE = 1 << 16  # shingles held at once
 PROBE_COST = 1.0  # of one enumerated value, in candidates
+STAGE_WORDS = 5  # of a shingle in the stage
+SIMILARITY = (4, 5)  # of near copies in the stage, as a fraction
+COUNTERS = 1 << 18  # behind the order of shingles
+GROUP = 512  # sets of one key that meet in one group
+FILTER_BITS = 26  # of the filter of documents to verify: 8 MB whatever the input
 
 
 def words_of(text: str) -> list[bytes]:
@@ -269,12 +281,128 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage: of each component the document with the smallest id stays; of equal rows one."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("k1", "k2", "root").distinct()
+def shingle_set(text: str, width: int = STAGE_WORDS) -> np.ndarray:
+    """Hashes of a text's different shingles, sorted."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, np.int64)
+    joined, width, digest = b" ".join(words), min(width, len(words)), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - width + 1]
+    cuts = zip(starts.tolist(), ends[width - 1 :].tolist())
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in cuts), np.uint64, len(starts)).view(np.int64))
+
+
+def set_names(sets: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """128 bits per set."""
+    return {c: np.array([xxhash.xxh64_intdigest(s.tobytes(), k) for s in sets], np.uint64).view(np.int64) for k, c in enumerate(("c1", "c2"))}
+
+
+def set_classes():
+    """Column function text -> the 128 bits of its set."""
+
+    @pandas_udf("c1 long, c2 long")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame(set_names([shingle_set(t) for t in common.strings(texts)]))
+
+    return of
+
+
+def shingle_counters(docs: DataFrame) -> np.ndarray:
+    """In how many documents a shingle of each hash class is, roughly: enough to order by."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for a, b in common.bounded(texts := common.strings(batch["text"]), PIECE << 4):
+                total += np.bincount(np.concatenate([shingle_set(t) for t in texts[a:b]]) & (COUNTERS - 1), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"k": at.astype(np.int32), "n": total[at]})
+
+    got = docs.select("text").mapInPandas(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(COUNTERS, np.int64)
+    out[got["k"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def prefix_rows(docs: DataFrame) -> DataFrame:
+    """(key, c1, c2, size): the rarest shingles of each document's set, as many as a near copy can't all lack."""
+    counters = docs.sparkSession.sparkContext.broadcast(shingle_counters(docs))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = counters.value
+        for batch in batches:
+            for a, b in common.bounded(texts := common.strings(batch["text"]), PIECE << 4):
+                sets = [s for t in texts[a:b] if len(s := shingle_set(t))]
+                first = [s[np.lexsort((s, often[s & (COUNTERS - 1)]))[: len(s) - -(-len(s) * SIMILARITY[0] // SIMILARITY[1]) + 1]] for s in sets]
+                if sets:
+                    n = [len(f) for f in first]
+                    own = {c: np.repeat(v, n) for c, v in set_names(sets).items()}
+                    yield pd.DataFrame({"key": np.concatenate(first), **own, "size": np.repeat([len(s) for s in sets], n)})
+
+    return docs.select("text").mapInPandas(run, "key long, c1 long, c2 long, size long")
+
+
+def similar_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) with a < b: every two nodes of ``classes`` (node, c1, c2, k1, k2) whose sets are near copies, once."""
+    each = Window.partitionBy("key")
+    rows = prefix_rows(docs).withColumn("low", F.min("c1").over(each)).withColumn("high", F.max("c1").over(each)).where("low <> high")
+    rows = rows.select("key", "c1", "c2", "size").distinct().join(classes.select("node", "c1", "c2"), ["c1", "c2"]).select("key", "node", "size")
+    rows = stored(rows, "copy-keys")
+    # A key of more than GROUP sets is cut into shares; every two shares meet in a group of their own.
+    shares = F.ceil(F.count("*").over(each) / GROUP).cast("int")
+    rows = rows.withColumn("shares", shares).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    left = rows.select("key", F.col("own").alias("x"), others.alias("y"), F.col("node").alias("a"), F.col("size").alias("m"))
+    right = rows.select("key", others.alias("x"), F.col("own").alias("y"), F.col("node").alias("b"), F.col("size").alias("n"))
+    near = (F.col("a") < F.col("b")) & (F.least("m", "n") * SIMILARITY[1] >= F.greatest("m", "n") * SIMILARITY[0])
+    pairs = stored(left.join(right, ["key", "x", "y"]).where(near).select("a", "b").distinct(), "copy-pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("node", "k1", "k2")
+    wanted = stored(wanted, "copy-nodes")
+    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(wanted, "k1", FILTER_BITS))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            some = batch[common.in_bitmap(bits.value, batch["k1"].to_numpy())]
+            yield pd.DataFrame({"k1": some["k1"], "k2": some["k2"], "set": [shingle_set(t) for t in common.strings(some["text"])]})
+
+    sets = docs.select(*common.identity(), "text").mapInPandas(read, "k1 long, k2 int, set array<long>")
+    sets = stored(sets.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "set"), "copy-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
+    shared = F.size(F.array_intersect("s", "t"))
+    return both.where(shared * SIMILARITY[1] >= (F.size("s") + F.size("t") - shared) * SIMILARITY[0]).select("a", "b")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, k1, k2, root (a node), component_id."""
+    marked = docs.select("doc_id", *common.identity(), set_classes()(F.coalesce("text", F.lit(""))).alias("c"))
+    marked = stored(marked.select("doc_id", "k1", "k2", "c.c1", "c.c2"), "set-names")
+    classes = marked.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.struct("k1", "k2")).alias("key"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "first", "key.k1", "key.k2"), "set-classes")
+    roots = components(similar_sets(docs, classes), "copies").withColumnRenamed("node", "member")
+    labelled = classes.join(roots, F.col("node") == F.col("member"), "left").select("c1", "c2", "first", F.coalesce("root", "node").alias("root"))
+    least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = labelled.join(least, "root").select("c1", "c2", "root", "component_id")
+    return marked.join(named, ["c1", "c2"]).select("doc_id", "k1", "k2", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of each component in ``groups`` the document with the smallest id; of equal rows one."""
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("k1", "k2", "root").distinct()
     kept = kept.groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("key")).select("key.*")
     names = docs.columns
     keyed = common.packed(docs, *common.identity())
     chosen = keyed.join(kept, ["k1", "k2"], "left_semi")
     once = chosen.dropDuplicates(["k1", "k2"])
     return common.unpacked(once, names)
+
+
+def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of op6_simhash the document with the smallest id stays; of equal rows one."""
+    return one_of_each(docs, near_duplicates(docs))
+
+
+def keep_one_copy(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage: of each component of near copies the document with the smallest id stays; of equal rows one."""
+    return one_of_each(docs, near_copies(docs))
