@@ -2,9 +2,8 @@
 
 Rules name a host (its subdomains included) and the start of a path; the longest that fits decides. The
 URLs that a rule allows or blocks train two variable-order Markov models over characters: counts of
-every context of up to ``ORDER`` characters and what follows, over all such URLs. A model keeps the
-contexts that occur at least ``LEAST`` times, at most ``CONTEXTS`` of them (the most frequent), so its size has a bound;
-prediction backs off from the longest kept context to shorter ones by interpolation (Witten-Bell
+every context of up to ``ORDER`` characters and what follows, over all such URLs. All counts stay in a Spark table;
+prediction backs off from the longest seen context to shorter ones by interpolation (Witten-Bell
 weights), down to a uniform character. A URL's score is the log-likelihood under the allowed model minus that under the
 blocked one, per character. The threshold is calibrated: the score that best separates the two
 sorts of training URLs (highest mean of both recalls, lowest such threshold).
@@ -24,17 +23,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+from foliospark.llm.common import stored
 
 RULES = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
 )
 ORDER = 5
-LEAST = 2
-CONTEXTS = 100_000  # of each model
 CHARACTERS = 256  # of the uniform model at the end
 BINS = 4_000  # of the calibration, over -RANGE..RANGE
 RANGE = 8.0
+SALTS = 16  # copies of a gram's score, so that one in every URL is no single task
 EDGE = "\x02"  # before a URL, and after it
 
 
@@ -76,7 +75,7 @@ def counts(urls: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class Model:
-    """Next-character probabilities for kept contexts."""
+    """Next-character probabilities of a small table of counts in memory: what ``gram_scores`` does with joins."""
 
     def __init__(self, rows):
         self.next: dict[str, dict[str, int]] = {}
@@ -106,34 +105,62 @@ class Model:
         return sum(log(self.probability(text[i - order : i], text[i])) for i in range(order, len(text))) / (len(url) + 1)
 
 
-def models(urls: DataFrame, order: int = ORDER, most: int = CONTEXTS) -> tuple[Model, Model] | None:
-    """(allowed, blocked) from (accepted, url), or None if one has no URLs. Their size is bounded by ``most``."""
-    counted = counts(urls, order)
-    contexts = counted.groupBy("accepted", "context").agg(F.map_from_entries(F.collect_list(F.struct("next", "n"))).alias("following"), F.sum("n").alias("total"))
-    out = []
-    for accepted in (True, False):
-        kept = contexts.where((F.col("accepted") == accepted) & (F.col("total") >= LEAST)).orderBy(F.desc("total"), "context").limit(most)
-        rows = [(c, f, n) for c, following in kept.select("context", "following").collect() for f, n in following.items()]
-        if not rows:
-            return None
-        out.append(Model(rows))
-    return out[0], out[1]
-
-
-def scorer(spark, pair: tuple[Model, Model] | None, order: int = ORDER):
-    """Column function url -> log-likelihood difference per character."""
-    shared = spark.sparkContext.broadcast(pair)
-
-    @pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        both = shared.value
-        for urls in batches:
-            if both is None:
-                yield pd.Series(np.zeros(len(urls)))
-            else:
-                yield pd.Series([both[0].mean_log(u, order) - both[1].mean_log(u, order) if u else 0.0 for u in urls], dtype="float64")
+def url_grams(urls: DataFrame, order: int = ORDER) -> DataFrame:
+    """(k1, k2, gram, n): how often each context of ``order`` characters with its next one stands in a URL."""
 
-    return score
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen = [Counter(t[i - order : i + 1] for i in range(order, len(t))) for t in (EDGE * order + url + EDGE for url in batch["url"])]
+            sizes = [len(c) for c in seen]
+            yield pd.DataFrame({
+                "k1": np.repeat(batch["k1"].to_numpy(), sizes), "k2": np.repeat(batch["k2"].to_numpy(), sizes),
+                "gram": [g for c in seen for g in c], "n": [n for c in seen for n in c.values()],
+            })
+
+    return urls.select("k1", "k2", "url").mapInPandas(run, "k1 long, k2 int, gram string, n long")
+
+
+def gram_scores(counted: DataFrame, grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, score): log of the allowed over the blocked probability of each gram's last character after the others.
+
+    Lengths are joined one after another, each with the score of its grams without their first character.
+    """
+    sides = {"allowed": F.col("accepted"), "blocked": ~F.col("accepted")}
+    have = [F.sum(F.when(is_own, F.col("n"))).alias(f"{side}_n") for side, is_own in sides.items()]
+    pairs = counted.groupBy(F.concat("context", "next").alias("gram")).agg(*have)
+    have = [x for side, own in sides.items() for x in (F.sum(F.when(own, F.col("n"))).alias(f"{side}_total"), F.count(F.when(own, 1)).alias(f"{side}_kinds"))]
+    contexts = counted.groupBy("context").agg(*have)
+    ends = F.explode(F.transform(F.sequence(F.lit(1), F.lit(order + 1)), lambda k: F.substring("gram", F.lit(order + 2) - k, k)))
+    needed = grams.select(ends.alias("gram")).distinct().select("gram", F.length("gram").alias("size"), F.expr("substring(gram, 1, length(gram) - 1)").alias("context"))
+    known = stored(needed.join(pairs, "gram", "left").join(contexts, "context", "left"), "url-grams")
+    before = None
+    for size in range(1, order + 2):
+        rows = known.where(F.col("size") == size).withColumn("end", F.substring("gram", 2, order + 1))
+        if before is None:
+            rows = rows.select("*", *[F.lit(1 / CHARACTERS).alias(f"{side}_shorter") for side in sides])
+        else:
+            rows = rows.join(before.select(F.col("gram").alias("end"), *[F.col(side).alias(f"{side}_shorter") for side in sides]), "end")
+        p = []
+        for side in sides:
+            n, total, kinds, shorter = (F.col(f"{side}_{x}") for x in ("n", "total", "kinds", "shorter"))
+            p.append(F.when(kinds > 0, (F.coalesce(n, F.lit(0)) + kinds * shorter) / (total + kinds)).otherwise(shorter).alias(side))
+        before = rows.select("gram", *p)
+    return before.select("gram", (F.log("allowed") - F.log("blocked")).alias("score"))
+
+
+def scores(urls: DataFrame, known: DataFrame, order: int = ORDER) -> DataFrame:
+    """(url, score) of each different URL: log-likelihood difference per character; zero if a side of ``known`` has no URLs."""
+    counted = stored(counts(known, order), "url-counts")
+    different = stored(urls.select("url").distinct().select("url", F.xxhash64("url").alias("k1"), F.hash("url").alias("k2")), "urls")
+    if counted.where("context = ''").select("accepted").distinct().count() < 2:
+        return different.select("url", F.lit(0.0).alias("score"))
+    grams = url_grams(different.where("url <> ''"), order)
+    found = gram_scores(counted, grams.select("gram").distinct(), order)
+    found = found.select("gram", "score", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = grams.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int"))
+    sums = salted.join(found, ["gram", "salt"]).groupBy("k1", "k2").agg(F.sum(F.col("n") * F.col("score")).alias("total"))
+    score = F.coalesce(F.round(F.col("total") / (F.length("url") + 1), 12), F.lit(0.0))
+    return stored(different.join(sums, ["k1", "k2"], "left").select("url", score.alias("score")), "url-scores")
 
 
 def threshold(scores: DataFrame) -> float:
@@ -157,10 +184,9 @@ def judged(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"))
     rows = rows.select("*", rule(F.col("host"), F.col("path"), rules).alias("by"))
     known = rows.where("by is not null").select((F.col("by.verdict") == "allow").alias("accepted"), "url")
-    pair = models(known, order)
-    score = scorer(pages.sparkSession, pair, order)
-    cut = threshold(known.select("accepted", score("url").alias("score"))) if pair else 0.0
-    scored = rows.withColumn("score", score("url"))
+    by_url = scores(rows, known, order)
+    cut = threshold(known.join(by_url, "url"))
+    scored = rows.join(by_url, "url")
     by_score = F.when(F.col("score") >= cut, "allow").otherwise("block")
     return scored.select(
         "page_id", "host", "path", F.col("by.rule").alias("rule"), F.coalesce(F.col("by.verdict"), by_score).alias("verdict"), "score", F.lit(cut).alias("threshold"),
