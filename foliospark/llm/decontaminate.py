@@ -4,10 +4,11 @@ Words are runs of ASCII letters and digits and of characters beyond ASCII, in lo
 five words. A document matches an item when a stretch of it holds shingles of the item with at
 least ``SIMILARITY`` of the item's weight (a shingle weighs more the fewer items have it).
 
-Windows. An item of m shingles loses at most (1 - SIMILARITY) * m of them. A changed word inside costs
-five, so there are few undamaged stretches between changes, and the longest is at least
-``window_size(m)`` long. The item registers the SimHash of each of its windows of that size, a document
-is searched with all of its windows of each size in use. Sizes are rounded down to a ladder.
+Windows. An item registers the SimHash of windows of ``window_size`` shingles, a document is searched with all
+of its windows of that size. What a match surely keeps whole is one shingle: an inserted word costs four, a word
+said twice three, four words said twice none, and light shingles may go in any number. So windows hold one
+shingle, and an item registers its heaviest ones, until what is left weighs less than a match must hold. A match
+has one of them, whatever is damaged.
 
 Index. A fingerprint is cut into ``BLOCKS`` blocks; two within ``RADIUS`` bits differ in at most
 RADIUS // BLOCKS bits in one of them. All values that near are listed per block, so every window within
@@ -52,10 +53,21 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB,
 
 
 def window_size(shingles: int) -> int:
-    """Size of the windows of an item: no larger than its longest undamaged stretch, on a ladder of 2**(n/2)."""
-    inside = shingles * (1 - SIMILARITY) // WORDS  # changed words that cost five shingles each
-    most = max(1, int(shingles * SIMILARITY / (inside + 1) + 1e-9))
-    return max(size for n in range(64) if (size := int(2 ** (n / 2))) <= most)
+    """Size of the windows of an item: what any match holds undamaged."""
+    return min(1, shingles)
+
+
+def registered(counts: Counter, weights: dict[int, float]) -> set[int]:
+    """The heaviest shingles of an item that a match can't all lack."""
+    held = sorted(((n * weights[h], h) for h, n in counts.items()), reverse=True)
+    out, left = set(), sum(w for w, _ in held)
+    enough = left * (SIMILARITY - 1e-9)
+    for weight, h in held:
+        if left < enough:
+            break
+        out.add(h)
+        left -= weight
+    return out
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +151,9 @@ class Index:
         for k, own in enumerate(self.shingles):
             if len(own):
                 size = window_size(len(own))
-                prints = Windows(own).prints(size)
-                by_size.setdefault(size, []).append((prints, np.full(len(prints), k), np.arange(len(prints))))
+                prints, some = Windows(own).prints(size), registered(self.counts[k], self.weights)
+                at = np.flatnonzero([h in some for h in own.tolist()])
+                by_size.setdefault(size, []).append((prints[at], np.full(len(at), k), at))
         self.sizes = {}
         for size, found in by_size.items():
             prints, item, offset = (np.concatenate(x) for x in zip(*found))
