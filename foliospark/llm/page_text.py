@@ -4,16 +4,16 @@ Tokens. A page is a sequence of tags and text nodes. A token is a tag or a text
 path of open tags, so that equal tags in different places are different tokens.
 
 Classes. Tokens of one host with equal occurrence vectors (how often in each page) form a class. It is
-kept by a fingerprint: the exclusive or of a hash of (page, count) over the pages. A class is valid
-if it has at least two tokens and lies in at least ``SUPPORT`` of the host's pages. Classes nest by their tokens' paths.
+kept by a fingerprint: the exclusive or of a hash of (page, count) over the pages. Pages of equal content count
+once here and everywhere in the template, so that copies change nothing. A class is valid if it has at least two tokens and lies in at least ``SUPPORT`` of the host's pages. Classes nest by their tokens' paths.
 The valid classes are the template; what is between its tokens are the slots. The tokens that come once a page must come
 in the template's order (that of their mean places); a page's token out of order belongs to a slot.
 
 Extraction. Text nodes of the template go. Of the others, those in slots of the article remain: the ``article``
 elements, else ``main``, else the smallest element with ``MOST`` of what is left. Elements whose name, role, class or
 id marks menus, headers, footers, sidebars, notices, adverts, forms and reader comments are no part of it.
-Headings in the header of an article are. A host with fewer than ``PAGES`` different pages, or mostly
-copies, has no text template; there only elements decide.
+Headings in the header of an article are. A host with fewer than ``PAGES`` different pages
+has no text template; there only elements decide.
 
 Defined cases: a null or empty html has an empty text. Unclosed and stray tags, comments, raw script text and pages
 that end inside a tag are read as browsers do, roughly. Rows with equal ids are separate pages. An empty table
@@ -40,6 +40,7 @@ from foliospark.llm.url_filter import parts
 SUPPORT = 0.9
 PAGES = 10
 MOST = 0.7  # of the text, in the smallest element taken for the article
+FILTER_BITS = 26  # of the filter of repeated contents: 8 MB whatever the input
 SALTS = 16  # shares of a host's pages, so that a hot host is no single task
 PIECE = 1 << 22
 MASK = (1 << 63) - 1
@@ -203,7 +204,7 @@ def token_rows(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, keys = batch.column("host").to_pylist(), batch.column("key").to_pylist()
+            hosts, keys = batch.column("host").to_pylist(), batch.column("content").to_pylist()
             for x, texts in common.pieces(batch.column("html"), PIECE):
                 seen: dict = {}
                 for i, page in enumerate(texts):
@@ -225,17 +226,31 @@ def token_rows(pages: DataFrame) -> DataFrame:
                     names=["host", "token", "text", "pages", "total", "places", "vector"],
                 )
 
-    return pages.select("host", "key", "html").mapInArrow(run, "host string, token long, text boolean, pages long, total long, places long, vector long")
+    return pages.select("host", "content", "html").mapInArrow(run, "host string, token long, text boolean, pages long, total long, places long, vector long")
+
+
+def once(pages: DataFrame, contents: DataFrame) -> DataFrame:
+    """(host, content, html): one page of each content of a host. Only pages whose content may be repeated move."""
+    repeated = common.bitmap(contents.where("copies > 1").select("content"), "content", FILTER_BITS)
+    shared = pages.sparkSession.sparkContext.broadcast(repeated)
+
+    @F.pandas_udf("boolean")
+    def marked(content: pd.Series) -> pd.Series:
+        return pd.Series(common.in_bitmap(shared.value, content.to_numpy()))
+
+    rows = pages.select("host", "content", "html", marked("content").alias("again"))
+    several = rows.where("again").groupBy("host", "content").agg(F.first("html").alias("html"))
+    return rows.where("not again").select("host", "content", "html").union(several)
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): the text nodes in valid classes of a host, in order: (mean place, token, comes once a page)."""
-    hosts = pages.groupBy("host").agg(F.count("*").alias("n"), F.approx_count_distinct("content").alias("different"))
-    hosts = hosts.where((F.col("different") >= PAGES) & (F.col("different") * 2 >= F.col("n")))
-    tokens = token_rows(pages).groupBy("host", "token", "text").agg(
+    contents = stored(pages.groupBy("host", "content").agg(F.count("*").alias("copies")), "page-contents")
+    hosts = contents.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    tokens = token_rows(once(pages, contents)).groupBy("host", "token", "text").agg(
         F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum("places").alias("places"), F.bit_xor("vector").alias("vector")
     )
-    common_tokens = tokens.join(hosts.select("host", "n"), "host").where(F.col("pages") >= F.col("n") * SUPPORT)
+    common_tokens = tokens.join(hosts, "host").where(F.col("pages") >= F.col("n") * SUPPORT)
     common_tokens = stored(common_tokens, "page-tokens")
     # Few tokens are on most pages of a host, so a class is small.
     classes = common_tokens.groupBy("host", "vector").agg(F.count("*").alias("tokens"))
