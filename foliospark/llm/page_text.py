@@ -5,8 +5,8 @@ path of open tags, so that equal tags in different places are different tokens.
 
 Classes. Tokens of one host with equal occurrence vectors (how often in each page) form a class. It is
 kept by a fingerprint: the exclusive or of a hash of (page, count) over the pages. Pages of equal content count
-once here and everywhere in the template, so that copies change nothing. A class is valid if it has at least two tokens and lies in at least ``SUPPORT`` of the host's pages. Classes nest by their tokens' paths.
-The valid classes are the template; what is between its tokens are the slots. The tokens that come once a page must come
+once here and everywhere in the template, so that copies change nothing. A class is valid if it has at least two tokens and lies in at least ``SUPPORT`` of the host's pages. Classes are not nested:
+the text tokens of all valid classes, in page order, are the template; what is between its tokens are the slots. The tokens that come once a page must come
 in the template's order (that of their mean places); a page's token out of order belongs to a slot.
 
 Extraction. Text nodes of the template go. Of the others, those in slots of the article remain: the ``article``
