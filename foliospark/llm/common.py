@@ -35,6 +35,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_join(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """Rows that meet a group of their key; ``groups`` has each key once and the number of its rows.
+
+    A key with a thousandth of all these rows or more is hot. There are a thousand such keys at most,
+    whatever the data, so they are broadcast and their rows stay where they are; no other key can make
+    a large partition. Both sides are read twice and should be stored.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * 1000 >= total
+    few = F.broadcast(groups.where(hot))
+    rest = rows.join(few.select(key), key, "left_anti").join(groups.where(~hot), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 def named(name: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
