@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from foliospark.llm import ann, decontaminate, line_dedup, mixing, page_text, quality, secrets, simhash_dedup, suffix_dedup, url_filter, warc, whitening
+from foliospark.llm import ann, decontaminate, dialogue_repair, line_dedup, mixing, page_text, quality, secrets, simhash_dedup, suffix_dedup, url_filter, warc, whitening
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_urls": url_filter.op10_urls,
     "op11_warc": warc.op11_warc,
     "op12_whitening": whitening.op12_whitening,
+    "op13_dialogue": dialogue_repair.op13_dialogue,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
