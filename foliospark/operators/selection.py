@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.sources.dimensions import LANGUAGE_CODES
 
 
-def selection_fold(log: DataFrame, items=LANGUAGE_CODES, unit: str = "hour") -> DataFrame:
+def selection_fold(log: DataFrame, items=LANGUAGE_CODES) -> DataFrame:
     """Selected items per session from rows (session_id, item, action, at, seq).
 
     ``toggle`` flips one item, ``all`` selects every item. An item is selected when one "all"

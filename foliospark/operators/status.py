@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.operators.chunked import lag_by_key
+from foliospark.operators.scan import lag_by_key
 
 # Fixed value: the states an order may move to; None is a new order.
 LEGAL = {
@@ -33,9 +33,9 @@ def latest_status(log: DataFrame) -> DataFrame:
     )
 
 
-def transitions(log: DataFrame, unit: str = "hour") -> DataFrame:
+def transitions(log: DataFrame) -> DataFrame:
     """Every status change with the status before it and whether the step is legal."""
-    stepped = lag_by_key(log, ["order_id"], "changed_at", "change_id", "status", "previous", unit)
+    stepped = lag_by_key(log, ["order_id"], "changed_at", "change_id", "status", "previous")
     legal = F.lit(False)
     for before, allowed in LEGAL.items():
         here = F.col("previous").isNull() if before is None else F.col("previous") == before
@@ -43,10 +43,10 @@ def transitions(log: DataFrame, unit: str = "hour") -> DataFrame:
     return stepped.withColumn("legal", legal)
 
 
-def illegal_transitions(log: DataFrame, unit: str = "hour") -> DataFrame:
+def illegal_transitions(log: DataFrame) -> DataFrame:
     """Illegal steps counted per (previous, status)."""
     return (
-        transitions(log, unit)
+        transitions(log)
         .filter(~F.col("legal"))
         .groupBy(F.coalesce("previous", F.lit("")).alias("previous"), "status")
         .agg(F.count("*").alias("changes"), F.countDistinct("order_id").alias("orders"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.money import MONEY, at_least_minimum, cents, percent_of, rounded
 from foliospark.functions.text import fallback, instant, thousands, trim_all
-from foliospark.operators.chunked import rank_by_key
+from foliospark.operators.scan import rank_by_key
 from foliospark.sources import dimensions as dims
 
 # The pieces of a charge line.
@@ -87,16 +87,15 @@ def enforce_max_uses(
     order_id: str,
     ts: str,
     subtotal: str = "total",
-    unit: str = "hour",
 ) -> DataFrame:
     """Undo the discount of redemptions beyond a code's ``max_uses``, earliest orders first.
 
-    Off unless called. Only codes that have a limit are ranked, and a code that very many orders
-    use is ranked in time chunks, so it does not become one task.
+    Off unless called. Only codes that have a limit are ranked, by a prefix scan over ranges, so a code
+    that very many orders use in one moment does not become one task.
     """
     limits = vouchers.filter(F.col("max_uses").isNotNull()).select(F.col("code").alias("voucher_code"), "max_uses")
     limited = applied.select(order_id, ts, "voucher_code").join(limits, "voucher_code")
-    ranked = rank_by_key(limited, ["voucher_code"], ts, order_id, "use_no", unit)
+    ranked = rank_by_key(limited, ["voucher_code"], ts, order_id, "use_no")
     beyond = ranked.filter(F.col("use_no") > F.col("max_uses")).select(order_id, F.lit(True).alias("_beyond"))
     marked = applied.join(beyond, order_id, "left")
     late = F.col("_beyond").isNotNull()

@@ -186,7 +186,7 @@ def voucher_use_limits(spark, d):
     rows = [(*v[:4], LIMITS.get(v[0]), EXPIRIES.get(v[0])) for v in VOUCHERS]
     table_ = voucher_table(spark, rows)
     applied = vouchers.apply_voucher(quoted(spark, d), fx.ORDERS_AS_OF, vouchers=table_)
-    limited = vouchers.enforce_max_uses(applied, table_, "order_id", "created_at", unit="month")
+    limited = vouchers.enforce_max_uses(applied, table_, "order_id", "created_at")
     return limited.select("order_id", "voucher_code", "reject_reason", "discount_amount", "shown_total", "charged_cents")
 
 

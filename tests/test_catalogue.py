@@ -52,7 +52,7 @@ def test_limits_and_expiry(spark):
     rows = [(i, D("100"), c, day(1 + i % 4)) for i, c in enumerate(["TWICE"] * 7 + ["OLD", "FREE", "twice", None])]
     orders = spark.createDataFrame(rows, "order_id int, total decimal(12,2), voucher_input string, created_at timestamp_ntz")
     applied = vouchers.apply_voucher(orders, day(5), vouchers=table)
-    out = {r.order_id: r for r in vouchers.enforce_max_uses(applied, table, "order_id", "created_at", unit="day").collect()}
+    out = {r.order_id: r for r in vouchers.enforce_max_uses(applied, table, "order_id", "created_at").collect()}
     used = sorted((rows[i][3], i) for i in out if (rows[i][2] or "").upper() == "TWICE")
     for place, (_, i) in enumerate(used):
         assert out[i].reject_reason == (None if place < 2 else "used_up")

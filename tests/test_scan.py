@@ -1,4 +1,4 @@
-"""Chunked per-key logic against plain Python, with one key holding a third of the rows."""
+"""Prefix scans per key against plain Python, with one key holding a third of the rows."""
 
 import datetime as dt
 import random
@@ -6,7 +6,7 @@ import random
 import pytest
 
 from foliospark.operators import selection, status
-from foliospark.operators.chunked import lag_by_key, rank_by_key
+from foliospark.operators.scan import RANGE, lag_by_key, rank_by_key, ranged, sum_by_key
 
 START = dt.datetime(2024, 1, 1)
 
@@ -21,9 +21,8 @@ def log(seed, n=900, hot=0):
     return rows
 
 
-@pytest.mark.parametrize("unit", ["hour", "year"])
 @pytest.mark.parametrize("hot", [0, None])
-def test_lag_and_rank(spark, unit, hot):
+def test_lag_and_rank(spark, hot):
     rows = log(1, hot=hot)
     df = spark.createDataFrame(rows, "order_id int, change_id int, changed_at timestamp_ntz, status string")
     by_key = {}
@@ -34,9 +33,9 @@ def test_lag_and_rank(spark, unit, hot):
         for place, r in enumerate(rs):
             lag[r[1]] = rs[place - 1][3] if place else None
             rank[r[1]] = place + 1
-    got = lag_by_key(df, ["order_id"], "changed_at", "change_id", "status", "previous", unit).collect()
+    got = lag_by_key(df, ["order_id"], "changed_at", "change_id", "status", "previous").collect()
     assert {r.change_id: r.previous for r in got} == lag and len(got) == len(rows)
-    got = rank_by_key(df, ["order_id"], "changed_at", "change_id", "n", unit).collect()
+    got = rank_by_key(df, ["order_id"], "changed_at", "change_id", "n").collect()
     assert {r.change_id: r.n for r in got} == rank and len(got) == len(rows)
 
 
@@ -81,8 +80,35 @@ def test_selection(spark, seed):
 
 
 def test_one_key_at_one_time(spark):
+    """One key with all rows in one second spreads over the tasks, and nothing changes in the result."""
     rows = [(7, i, START, "pending" if i % 2 else "failed") for i in range(3000)]
     df = spark.createDataFrame(rows, "order_id int, change_id int, changed_at timestamp_ntz, status string").repartition(8)
     got = {r.change_id: r.previous for r in lag_by_key(df, ["order_id"], "changed_at", "change_id", "status", "previous").collect()}
     assert got == {i: rows[i - 1][3] if i else None for i in range(3000)}
     assert sorted(r.n for r in rank_by_key(df, ["order_id"], "changed_at", "change_id", "n").collect()) == list(range(1, 3001))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shares = [r["count"] for r in ranged(df, ["order_id"], ["changed_at", "change_id"]).groupBy(RANGE).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(shares) == 4 and max(shares) < 1200  # the test session has four shuffle partitions
+
+
+def test_running_sum(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 1, 2]), i, START + dt.timedelta(seconds=rng.randrange(5)), rng.choice([None, 1, 5, -2])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, i int, at timestamp_ntz, v long").repartition(5)
+    want, sums = {}, {}
+    for k, i, _, v in sorted(rows, key=lambda r: (r[2], r[1])):
+        if v is not None:
+            sums[k] = sums.get(k, 0) + v
+        want[i] = sums.get(k)
+    assert {r.i: r.total for r in sum_by_key(df, ["k"], "at", "i", "v", "total").collect()} == want
+
+
+def test_lag_of_several_columns_and_an_empty_log(spark):
+    rows = [(1, 5, START, "a"), (1, 6, START, "b"), (2, 7, None, "c"), (2, 8, START, None)]
+    df = spark.createDataFrame(rows, "order_id int, change_id int, changed_at timestamp_ntz, status string")
+    got = {r.change_id: r.before and tuple(r.before) for r in lag_by_key(df, ["order_id"], "changed_at", "change_id", ["status", "change_id"], "before").collect()}
+    assert got == {5: None, 6: ("a", 5), 7: None, 8: ("c", 7)}
+    assert lag_by_key(df.limit(0), ["order_id"], "changed_at", "change_id", "status", "before").collect() == []
