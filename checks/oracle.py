@@ -466,6 +466,26 @@ oracle("illegal_transitions", """
 select coalesce(previous, '') as previous, status, count(*) as changes, count(distinct order_id) as orders
 from judged where not legal group by 1, 2""")
 
+
+
+def _timeouts(until: str) -> str:
+    return f"""
+select * from (with told as (select *, {until} as until from steps where changed_at <= {until}),
+late as (select *, lag(status) over w as before, lag(changed_at) over w as since, lead(changed_at) over w as next
+  from told window w as (partition by order_id order by changed_at, change_id)),
+every as (
+  select order_id, changed_at, change_id, case when before = 'processing' and changed_at > since + interval 1 day then 'failed' else before end as previous,
+    status, 'change' as cause from late
+  union all
+  select order_id, changed_at + interval 1 day, null, status, 'failed', 'timeout' from late
+  where status = 'processing' and coalesce(next > changed_at + interval 1 day, changed_at + interval 1 day <= until))
+select order_id, {t('changed_at')} as changed_at, change_id, previous, status, cause,
+  (previous is null and status = 'pending') or coalesce((previous = 'pending' and status = 'processing')
+  or (previous = 'processing' and status in ('completed','failed')) or (previous = 'failed' and status = 'processing'), false) as legal from every)"""
+
+
+oracle("status_with_timeouts", _timeouts("timestamp '2024-01-25'"))
+oracle("status_stream", _timeouts("(select date_trunc('millisecond', max(changed_at)) - interval 12 hour from steps)"))
 oracle("order_progress", f"""
 select order_id, wanted, finished, case when wanted > 0 and finished = wanted then 'completed' when finished > 0 then 'processing' else 'pending' end as status,
   {t('first_at')} as started_at, case when wanted > 0 and finished = wanted then {t('last_at')} end as completed_at

@@ -1,8 +1,10 @@
-"""Order status as an append-only log: latest state, legal transitions."""
+"""Order status as an append-only log: latest state, legal transitions, orders that stopped."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.operators.scan import lag_by_key
@@ -15,6 +17,9 @@ LEGAL = {
     "completed": (),
     "failed": ("processing",),
 }
+FAILED = "failed"
+OPEN = tuple(state for state, after in LEGAL.items() if FAILED in after)  # states in which an order may run out of time
+CHANGE, TIMEOUT = "change", "timeout"  # causes
 
 
 def latest_status(log: DataFrame) -> DataFrame:
@@ -36,11 +41,41 @@ def latest_status(log: DataFrame) -> DataFrame:
 def transitions(log: DataFrame) -> DataFrame:
     """Every status change with the status before it and whether the step is legal."""
     stepped = lag_by_key(log, ["order_id"], "changed_at", "change_id", "status", "previous")
+    return stepped.withColumn("legal", legal_step(F.col("previous"), F.col("status")))
+
+
+def legal_step(previous: Column, status: Column) -> Column:
     legal = F.lit(False)
     for before, allowed in LEGAL.items():
-        here = F.col("previous").isNull() if before is None else F.col("previous") == before
-        legal = F.when(here, F.col("status").isin(*allowed) if allowed else F.lit(False)).otherwise(legal)
-    return stepped.withColumn("legal", legal)
+        here = previous.isNull() if before is None else previous == before
+        legal = F.when(here, status.isin(*allowed) if allowed else F.lit(False)).otherwise(legal)
+    return legal
+
+
+def with_timeouts(log: DataFrame, timeout: dt.timedelta, until: dt.datetime | Column) -> DataFrame:
+    """The log up to a time, and a step to ``failed`` for every order that stood still for longer than ``timeout``.
+
+    Rows (order_id, changed_at, change_id, previous, status, legal, cause). Only states that may fail run out of time;
+    a change at the very last moment counts as progress. A change that is delivered again is one change, rows
+    without a time are none. This is the batch form of ``streaming.status``, with the watermark as ``until``.
+    """
+    changes = log.select("order_id", "status", "changed_at", "change_id").filter(F.col("changed_at") <= until).distinct()
+    stepped = lag_by_key(changes, ["order_id"], "changed_at", "change_id", ["status", "changed_at"], "_before")
+    due = F.col("_before.changed_at") + F.lit(timeout)
+    out_of_time = F.coalesce(F.col("_before.status").isin(*OPEN) & (F.col("changed_at") > due), F.lit(False))
+    nothing = F.lit(None).cast(changes.schema["change_id"].dataType)
+    row = ["order_id", "changed_at", "change_id", "previous", "status", "cause"]
+    told = stepped.withColumn("previous", F.when(out_of_time, FAILED).otherwise(F.col("_before.status"))).withColumn("cause", F.lit(CHANGE))
+    between = stepped.filter(out_of_time).select(
+        "order_id", due.alias("changed_at"), nothing.alias("change_id"), F.col("_before.status").alias("previous"), F.lit(FAILED).alias("status"), F.lit(TIMEOUT).alias("cause")
+    )
+    last = changes.groupBy("order_id").agg(F.max(F.struct("changed_at", "change_id", "status")).alias("last"))
+    due = F.col("last.changed_at") + F.lit(timeout)
+    at_end = last.filter(F.col("last.status").isin(*OPEN) & (due <= until)).select(
+        "order_id", due.alias("changed_at"), nothing.alias("change_id"), F.col("last.status").alias("previous"), F.lit(FAILED).alias("status"), F.lit(TIMEOUT).alias("cause")
+    )
+    every = told.select(*row).unionByName(between).unionByName(at_end)
+    return every.withColumn("legal", legal_step(F.col("previous"), F.col("status")))
 
 
 def illegal_transitions(log: DataFrame) -> DataFrame:

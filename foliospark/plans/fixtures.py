@@ -20,6 +20,9 @@ from foliospark.sources.tables import table
 
 UPLOADS_AS_OF = dt.datetime(2024, 1, 31)
 ORDERS_AS_OF = dt.datetime(1998, 6, 1)
+STATUS_AS_OF = dt.datetime(2024, 1, 25)
+STATUS_TIMEOUT = dt.timedelta(days=1)
+STATUS_DELAY = "12 hours"
 SUFFIXES = (".txt", ".docx", ".epub", ".pdf", ".TXT", ".v2.txt", "")
 VOUCHER_INPUTS = ("LAUNCH20", "FIRST50", "FRIEND10", "AUTHOR25", "BETA95", "TESTDRIVE", "  launch20 ", "NOPE", None)
 
@@ -185,6 +188,15 @@ def status_log(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def arriving(rows: DataFrame, ts: str, tie: str, delay: str, parts: int) -> DataFrame:
+    """Rows with the ``part`` in which they arrive, each later than its time by up to ``delay``."""
+    late = F.expr(f"interval {delay}") * (F.pmod(F.xxhash64(tie), F.lit(1000)) / 1000)
+    timed = rows.withColumn("part", F.unix_micros((F.col(ts) + late).cast("timestamp")))
+    first, last = timed.agg(F.min("part"), F.max("part")).first()
+    share = (F.col("part") - (first or 0)) * parts / ((last or 0) - (first or 0) + 1)
+    return timed.withColumn("part", F.floor(share).cast("int"))
+
+
 def upload_log(events: DataFrame) -> DataFrame:
     eid = F.col("event_id")
     suffix = pick(SUFFIXES, eid % 7)

@@ -17,6 +17,7 @@ from foliospark.session import fresh_dir
 from foliospark.sources import manuscripts
 from foliospark.sources.tables import table
 from foliospark.streaming import payments as payment_stream
+from foliospark.streaming import status as status_stream_job
 from foliospark.streaming import uploads as upload_stream
 
 ADMIN = "admin@example.com"
@@ -475,6 +476,28 @@ def illegal_transitions(spark, d):
     return status.illegal_transitions(fx.status_log(spark, d))
 
 
+@query
+def status_with_timeouts(spark, d):
+    """The log up to a date, with orders that stood still for a day as failed."""
+    return status.with_timeouts(fx.status_log(spark, d), fx.STATUS_TIMEOUT, fx.STATUS_AS_OF)
+
+
+@query
+def status_stream(spark, d):
+    """The same as a stream over the whole log, in four micro-batches that are out of order by up to twelve hours."""
+    folder = fresh_dir(spark, "status")
+    status_stream_job.prepare(spark, f"{folder}/steps")
+    changes = fx.arriving(fx.status_log(spark, d), "changed_at", "change_id", fx.STATUS_DELAY, 4)
+    for part in range(4):  # one write after another: files are taken in the order of their times
+        changes.filter(F.col("part") == part).drop("part").coalesce(1).write.parquet(f"{folder}/changes/part={part}")
+    arrivals = spark.readStream.schema(changes.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/changes/part=*")
+    for _ in range(2):  # the second run starts from the checkpoint and adds nothing
+        job = status_stream_job.start(arrivals, f"{folder}/steps", f"{folder}/checkpoint", fx.STATUS_TIMEOUT, fx.STATUS_DELAY, available_now=True)
+        job.awaitTermination()
+    rows = status_stream_job.stored_steps(spark, f"{folder}/steps")
+    return rows.withColumn("changed_at", F.col("changed_at").cast("timestamp_ntz"))
+
+
 @query
 def order_progress(spark, d):
     return status.progress(fx.order_inputs(spark, d), fx.file_rows(spark, d))

@@ -6,7 +6,7 @@ import pytest
 
 from foliospark.plans.queries import QUERIES
 
-STREAMS = {"orders_stream", "pending_work_stream", "staged_stream", "two_pass_inference"}
+STREAMS = {"orders_stream", "pending_work_stream", "staged_stream", "status_stream", "two_pass_inference"}
 PYTHON = {"docx_bulk_extract"}
 TEXT_FREE = ("pending_languages", "request_blockers", "original_lookup", "delivery_resolve", "delivery_manifest", "results_by_order")
 
