@@ -396,15 +396,35 @@ from (select *, {translation_text('romance', 'substr(content, part * 50000 + 1,
 oracle("editorial_requests", f"""
 select order_id, language, cast(length(r) as bigint) as request_chars, md5(r) as request_md5
 from (select *, {editorial_text('content', "'<' || content || '>'")} as r from todo)""")
-_PART = "cast(part * 25000 + 1 as bigint), 25000"
+# Every line is two characters longer, so the n-th paragraphs belong together. Windows are filled one paragraph
+# after the other; one that is too long is dealt out in even parts.
+_PLACES = """
+(with recursive texts as (select order_id, any_value(content) as content from todo group by 1),
+lines as (select order_id, unnest(range(1, len(l) + 1)) as i, unnest(l) as s
+  from (select order_id, regexp_extract_all(content, '[^\\n]*\\n+|[^\\n]+') as l from texts)),
+sized as (select order_id, i, length(s) as a, length(s) + case when rtrim(s, chr(10)) = '' then 0 else 2 end as b from lines),
+parted as (select *, cast(ceil(b / 25000.0) as bigint) as k, sum(a) over w - a as from_a, sum(b) over w - b as from_b
+  from sized window w as (partition by order_id order by i)),
+filled as (
+  select order_id, cast(0 as bigint) as i, cast(0 as bigint) as part, cast(0 as bigint) as next, cast(0 as bigint) as has_a, cast(0 as bigint) as has_b from texts
+  union all
+  select order_id, i, part, case when k > 1 then part + k else part end, case when k > 1 then 0 else a + old_a end, case when k > 1 then 0 else b + old_b end
+  from (select p.order_id, p.i, p.a, p.b, p.k, case when full_up then next + 1 else next end as part,
+      case when full_up then 0 else has_a end as old_a, case when full_up then 0 else has_b end as old_b
+    from (select f.*, q.i as at, f.has_b > 0 and (f.has_a + q.a > 25000 or f.has_b + q.b > 25000) as full_up
+      from filled f join parted q on q.order_id = f.order_id and q.i = f.i + 1) g
+    join parted p on p.order_id = g.order_id and p.i = g.at)),
+dealt as (select p.*, f.part, unnest(range(0, greatest(k, 1))) as t from parted p join filled f using (order_id, i)),
+shared as (select order_id, part + t as part, from_a + a * t // greatest(k, 1) as a0, a * (t + 1) // greatest(k, 1) - a * t // greatest(k, 1) as na,
+  from_b + b * t // greatest(k, 1) as b0, b * (t + 1) // greatest(k, 1) - b * t // greatest(k, 1) as nb from dealt)
+select order_id, part, cast(min(a0) as bigint) as a0, cast(sum(na) as bigint) as na, cast(min(b0) as bigint) as b0, cast(sum(nb) as bigint) as nb from shared group by 1, 2)"""
 oracle("windowed_reviews", f"""
-select order_id, language, part, cast(length(substr(translated, {_PART})) as bigint) as translated_chars, md5(concat_ws(chr(10),
+select order_id, language, part, cast(nb as bigint) as translated_chars, md5(concat_ws(chr(10),
   'Edit this ' || language_name || ' translation of a ' || coalesce(nullif(genre, ''), 'romance') || ' book and explain every change.',
-  'Original:', substr(content, {_PART}), 'Translation:', substr(translated, {_PART}),
+  'Original:', substr(content, a0 + 1, na), 'Translation:', substr(translated, b0 + 1, nb),
   'Answer with JSON: {{"editedText": text, "changes": [{{"original", "edited", "reason", "type"}}]}},',
   'type being one of style, dialogue, cultural, description, grammar, consistency.')) as request_md5
-from (select *, unnest(generate_series(0, cast(ceil((length(content) + 2) / 25000.0) as bigint) - 1)) as part
-  from (select *, '<' || content || '>' as translated from todo))""")
+from (select *, regexp_replace(content, '([^\\n]+)', '«\\1»', 'g') as translated from todo) join {_PLACES} using (order_id)""")
 oracle("two_pass_inference", f"""
 select order_id, language, md5(translated) as translated_md5,
   case when language <> 'pt' then '[[ORIGINAL: old]]new ' || length({editorial_text('content', 'translated')}) end as edited,
@@ -438,6 +458,15 @@ oracle("structure_check", f"""
 select *, lines_before = lines_after and blank_lines_before = blank_lines_after and list_items_before = list_items_after
   and headings_before = headings_after as preserved
 from (select doc_id, {_structure('a', 'before')}, {_structure('b', 'after')} from reformatted)""")
+oracle("structure_losses", f"""
+with lines as (select doc_id, i, n, rtrim(s, chr(10)) as s, s like '%' || chr(10) as broken,
+    case when regexp_matches(s, '^(?:#{{1,6}} |Chapter |CHAPTER )') then 'heading'
+      when regexp_matches(s, '^[ \\t]*(?:[-*•]|[0-9]+[.)])[ \\t]') then 'list item' else 'paragraph' end as kind
+  from (select doc_id, unnest(range(1, len(l) + 1)) as i, len(l) as n, unnest(l) as s
+    from (select doc_id, regexp_extract_all(text, '[^\\n]*\\n+|[^\\n]+') as l from documents)))
+select doc_id, 'blank lines lost' as change, kind, i as place, i as place_after from lines where doc_id % 4 = 1 and broken
+union all select doc_id, 'retyped', kind, i, i from lines where doc_id % 4 = 2 and kind <> 'list item'
+union all select doc_id, 'added', 'heading', n, n + 1 from lines where doc_id % 4 = 3 and i = n""")
 oracle("results_by_order", """
 select order_id, count(*) as languages, cast(sum(copies) as bigint) as files,
   max(case when language = 'es' then file_id end) as file_es, max(case when language = 'fr' then file_id end) as file_fr,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.json_text import with_json
 from foliospark.functions.marks import spans, without_marks
+from foliospark.functions.paragraphs import structure_changes
 from foliospark.sources.dimensions import CHANGE_TYPES
 
 CHANGE = "struct<original:string,edited:string,reason:string,type:string>"
@@ -73,6 +74,16 @@ def structure_check(df: DataFrame, original: str, translated: str) -> DataFrame:
     return out.withColumn("preserved", same)
 
 
+def structure_losses(df: DataFrame, original: str, translated: str, *keys: str) -> DataFrame:
+    """One row per difference in structure: keys, change, kind, place in the original, place in the translation.
+
+    The paragraphs of both texts are aligned by kind and length, so the row says which one was lost, split or
+    merged; ``structure_check`` only tells that the counts differ.
+    """
+    each = df.select(*keys, structure_changes(F.col(original), F.col(translated)).alias("_changes"))
+    return each.select(*keys, F.inline("_changes"))
+
+
 def results_by_order(files: DataFrame, value: str = "file_id") -> DataFrame:
     """Map language -> latest result per order.
 

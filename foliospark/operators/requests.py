@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.functions.paragraphs import aligned_windows
 from foliospark.functions.text import fallback
 from foliospark.sources import dimensions as dims
 
@@ -201,8 +202,8 @@ def editorial_requests(
 
     The manuscript and the translations meet on the original's id alone, which the manuscript is
     already partitioned by, so its text is not shuffled again per language. With a review window,
-    original and translation are cut at the same places and paired part by part; the longer of the
-    two decides the number of parts.
+    the paragraphs of both texts are aligned and the windows are cut between them, so a request holds
+    a stretch of the original and its own translation, and all requests together hold both texts.
     """
     texts = with_text(work, originals).join(translated.select("original_id", "language", "translated"), "original_id")
     both = with_language(texts.filter(F.array_contains("pending", F.col("language"))))
@@ -211,12 +212,12 @@ def editorial_requests(
             "order_id", "language", F.lit(0).cast("long").alias("part"), "translated",
             editorial_text(style, F.col("content"), F.col("translated")).alias("request"),
         )
-    size = style.review_window
-    cut = both.withColumn("_original", pieces(F.col("content"), size)).withColumn("_translated", pieces(F.col("translated"), size))
-    last = F.greatest(F.size("_original"), F.size("_translated"), F.lit(1)) - 1
-    parts = cut.drop("content", "translated").select("*", F.explode(F.sequence(F.lit(0), last)).alias("part"))
-    at = lambda c: F.coalesce(F.get(F.col(c), F.col("part")), F.when(F.col(c).isNotNull(), ""))
+    places = aligned_windows(F.col("content"), F.col("translated"), style.review_window)
+    cut = lambda w, text, side: F.substring(text, w[f"{side}_start"] + 1, w[f"{side}_chars"])
+    texts = lambda w, i: F.struct(i.cast("long").alias("part"), cut(w, "content", "a").alias("original"), cut(w, "translated", "b").alias("translated"))
+    placed = both.withColumn("_places", places).withColumn("_parts", F.transform("_places", texts))
+    parts = placed.drop("content", "translated", "_places").select("*", F.inline("_parts")).drop("_parts")
     return parts.select(
-        "order_id", "language", F.col("part").cast("long").alias("part"), at("_translated").alias("translated"),
-        editorial_json_text(style, at("_original"), at("_translated")).alias("request"),
+        "order_id", "language", "part", "translated",
+        editorial_json_text(style, F.col("original"), F.col("translated")).alias("request"),
     )

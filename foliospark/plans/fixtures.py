@@ -273,6 +273,19 @@ def reformatted_texts(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", t.alias("original"), after.alias("translated"))
 
 
+def restructured_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a blank line after every line, next to a copy that is unchanged, lost its blank lines, became one list,
+    or gained a heading at the end."""
+    docs = table(spark, d, "documents")
+    t = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    kind = F.col("doc_id") % 4
+    after = (
+        F.when(kind == 0, t).when(kind == 1, F.replace(t, F.lit("\n\n"), F.lit("\n")))
+        .when(kind == 2, F.regexp_replace(t, r"([^\n]+)", "- $1")).otherwise(F.concat(t, F.lit("\n# Notes")))
+    )
+    return docs.select("doc_id", t.alias("original"), after.alias("translated"))
+
+
 def strategy_books(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     did = F.col("doc_id")

@@ -334,10 +334,17 @@ def editorial_requests(spark, d):
     )
 
 
+def longer_first_pass(spark, d):
+    """A stand-in first pass that makes every line longer, so that both texts drift apart."""
+    ready = requests.with_text(work(spark, d), fx.originals(spark, d))
+    longer = F.regexp_replace("content", r"([^\n]+)", "«$1»")
+    return ready.select("original_id", F.explode("pending").alias("language"), longer.alias("translated"))
+
+
 @query
 def windowed_reviews(spark, d):
-    """The second pass in windows: original and translation cut at the same places."""
-    rows = requests.editorial_requests(work(spark, d), fx.originals(spark, d), first_pass(spark, d), requests.WINDOWED)
+    """The second pass in windows: original and translation cut between paragraphs that belong together."""
+    rows = requests.editorial_requests(work(spark, d), fx.originals(spark, d), longer_first_pass(spark, d), requests.WINDOWED)
     return rows.select(
         "order_id", "language", "part", F.length("translated").cast("long").alias("translated_chars"), digest("request").alias("request_md5")
     )
@@ -411,6 +418,11 @@ def structure_check(spark, d):
     return rows.drop("original", "translated")
 
 
+@query
+def structure_losses(spark, d):
+    return editorial.structure_losses(fx.restructured_texts(spark, d), "original", "translated", "doc_id")
+
+
 @query
 def results_by_order(spark, d):
     grouped = editorial.results_by_order(fx.file_rows(spark, d))
