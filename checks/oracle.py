@@ -475,6 +475,9 @@ from latest_files group by 1""")
 
 oracle("staged_upsert", f"select * replace ({t('created_at')} as created_at) from staged")
 oracle("staged_stream", f"select * exclude (writes) replace ({t('created_at')} as created_at) from staged")
+oracle("live_uploads_stream", f"""
+select * exclude (writes) replace ({t('created_at')} as created_at) from staged
+where created_at >= (select max(created_at) from staged) - interval 24 hour""")
 oracle("expire_staged", f"""
 select * replace ({t('created_at')} as created_at) from staged where created_at >= {UPLOADS_AS_OF} - interval 24 hour""")
 oracle("promote_originals", f"""

@@ -445,10 +445,22 @@ def staged_upsert(spark, d):
 def staged_stream(spark, d):
     """The streaming form of ``staged_upsert``: append-only log per batch, folded on read."""
     folder = fresh_dir(spark, "staged")
-    upload_stream.prepare(spark, f"{folder}/log")
     events = event_stream(spark, d)
     log = fx.upload_log(events).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    upload_stream.start(log, f"{folder}/log", f"{folder}/checkpoint", available_now=True).awaitTermination()
+    upload_stream.start(log, f"{folder}/log", f"{folder}/checkpoint", available_now=True, expire=False).awaitTermination()
+    rows = upload_stream.staged(spark, f"{folder}/log", expire=False)
+    return rows.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query
+def live_uploads_stream(spark, d):
+    """Staged uploads of the last day, from a log that was merged and expired while nine micro-batches were added."""
+    folder = fresh_dir(spark, "live")
+    log = fx.upload_log(table(spark, d, "events")).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    log = log.withColumn("part", F.pmod(F.xxhash64("upload_id"), F.lit(9)))
+    log.repartition("part").write.partitionBy("part").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(upload_stream.STAGED_DDL).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
+    upload_stream.start(stream, f"{folder}/log", f"{folder}/checkpoint", available_now=True).awaitTermination()
     rows = upload_stream.staged(spark, f"{folder}/log")
     return rows.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 

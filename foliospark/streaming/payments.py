@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from foliospark.operators.payments import first_delivery, paid_orders, typed_events
 from foliospark.operators.requests import known_languages
-from foliospark.sinks import tables
+from foliospark.sinks import snapshots, tables
 
 ORDER_DDL = """
 payment_session_id string, event_id string, delivered_at timestamp, email string, author_name string,
@@ -18,7 +18,7 @@ voucher_code string, original_amount decimal(12,2), created_at timestamp_ntz, or
 status string, created_date date
 """
 WORK_DDL = "order_id string, language string, position bigint, reason string"
-KEY_DDL = "payment_session_id string, bucket int"
+KEY_DDL = "payment_session_id string, bucket int, batch_id string"
 BATCH = "batch_id"
 DAY = ("created_date",)
 BUCKETS = 64  # of the table of stored sessions; fixed for a table's life
@@ -41,10 +41,9 @@ def orders_stream(bodies: DataFrame) -> DataFrame:
 
 
 def prepare(spark: SparkSession, folder: str) -> None:
-    """Create the empty order, work and key tables once, before the first start."""
+    """Create the empty order and work tables once, before the first start. The key table begins with its first part."""
     tables.ensure(spark, f"{folder}/orders", ORDER_DDL, BATCH, DAY)
     tables.ensure(spark, f"{folder}/work", WORK_DDL, BATCH)
-    tables.ensure(spark, f"{folder}/keys", KEY_DDL, BATCH)
 
 
 def stored_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,7 +55,12 @@ def stored_work(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stored_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.read(spark, f"{folder}/keys", KEY_DDL, BATCH, keep=True)
+    return snapshots.snapshot(spark, f"{folder}/keys").read(spark, KEY_DDL)
+
+
+def by_bucket(keys: DataFrame) -> DataFrame:
+    """Keys sorted by bucket, so that a reader skips the row groups of other buckets; small shares become one file."""
+    return keys.repartitionByRange("bucket").sortWithinPartitions("bucket")
 
 
 def pending_work(orders: DataFrame) -> DataFrame:
@@ -73,9 +77,11 @@ def batch_writer(folder: str, checkpoint: str):
     """Write one micro-batch: new orders, the work they trigger, and last their sessions as keys.
 
     All folders are named by the batch, so a repeated batch replaces its own rows. A session is new
-    when no other batch has its key. The key table is narrow and sorted by a hash bucket of the
-    session, and only the row groups with buckets of the batch are read. Replays within the batch
-    are combined on the map side before anything is shuffled by session.
+    when no other batch has its key. The key table is narrow; its parts are sorted by a hash bucket of the
+    session and merged by level, so a batch opens a number of parts that grows with the logarithm of the
+    batches, and reads only the row groups with its buckets. A batch that breaks off before its keys are
+    switched in is run again by the stream. Replays within the batch are combined on the map side before
+    anything is shuffled by session.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -89,8 +95,9 @@ def batch_writer(folder: str, checkpoint: str):
             tables.write_run(new.select(*ORDER_COLUMNS), f"{folder}/orders", number, BATCH, DAY)
             written = spark.read.schema(ORDER_DDL).parquet(f"{folder}/orders/{BATCH}={number}")
             tables.write_run(pending_work(written), f"{folder}/work", number, BATCH)
-            sessions = written.select("payment_session_id", session_bucket().alias("bucket"))
-            tables.write_run(sessions.repartition("bucket").sortWithinPartitions("bucket"), f"{folder}/keys", number, BATCH)
+            sessions = written.select("payment_session_id", session_bucket().alias("bucket"), F.lit(number).alias(BATCH))
+            snapshots.append(by_bucket(sessions), f"{folder}/keys", number)
+            snapshots.merge(spark, f"{folder}/keys", KEY_DDL, by_bucket)
         finally:
             rows.unpersist()
 

@@ -125,12 +125,11 @@ def test_repeated_batch_replaces_itself(spark, folder):
 
 @pytest.mark.parametrize("order", [[0, 1, 2], [2, 1, 0]])
 def test_staged_uploads_fold(spark, folder, order):
-    uploads.prepare(spark, folder)
-    write = uploads.batch_writer(folder, "c")
+    write = uploads.batch_writer(folder, "c", expire=False)
     ddl = "session_id string, upload_id bigint, created_at timestamp, file_name string, file_format string, word_count bigint"
     for number, k in enumerate(order):
         rows = [("s1", k * 10 + i, at(k * 10 + i), f"f{k}{i}.txt", ".txt", 1) for i in range(3)] + [(f"t{k}", 100 + k, at(0), "x.txt", ".txt", 2)]
         write(spark.createDataFrame(rows, ddl), number)
         write(spark.createDataFrame(rows, ddl), number)
-    out = {r.session_id: r.file_name for r in uploads.staged(spark, folder).collect()}
+    out = {r.session_id: r.file_name for r in uploads.staged(spark, folder, expire=False).collect()}
     assert out == {"s1": "f22.txt", "t0": "x.txt", "t1": "x.txt", "t2": "x.txt"}
