@@ -30,7 +30,7 @@ def folded(rows: DataFrame, as_of: dt.datetime | None) -> DataFrame:
     return latest if as_of is None else without_expired(latest, as_of)
 
 
-def batch_writer(folder: str, checkpoint: str, fan: int = snapshots.FAN, expire: bool = True):
+def batch_writer(folder: str, checkpoint: str, fan: int | None = None, expire: bool = True):
     """Add one part with a row per session; a repeated batch replaces its own part.
 
     A full level is merged in the same step: last writes win and, with ``expire``, rows that the log's own
