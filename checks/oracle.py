@@ -34,10 +34,10 @@ def name_of(code: str) -> str:
 
 SUFFIX = "['.txt','.docx','.epub','.pdf','.TXT','.v2.txt','']"
 SETTING = """case language
- when 'es' then 'Use Latin American Spanish as the default, but maintain universal readability. Use "tú" for informal address.'
- when 'fr' then 'Use standard French (France) with clear, modern phrasing.'
- when 'de' then 'Use standard German (Hochdeutsch) with clear sentence structure.'
- when 'pt' then 'Use Brazilian Portuguese as the default for wider readability.' end"""
+ when 'es' then 'Spanish as read across Latin America, plain enough for Spain; address readers with tú.'
+ when 'fr' then 'Present-day French of France, in short and clear phrases.'
+ when 'de' then 'High German with sentences that are easy to follow.'
+ when 'pt' then 'Portuguese as spoken in Brazil, clear to readers in Portugal.' end"""
 
 CTE: dict[str, str] = {}
 
@@ -249,14 +249,14 @@ select * from (values ('es', 'Spanish', 'Spain and Latin America', 'amazon.es /
   ('de', 'German', 'Germany, Austria, and Switzerland', 'amazon.de'),
   ('pt', 'Portuguese', 'Brazil and Portugal', 'amazon.com.br')) as m(language, market_language, market, store_domain)"""
 CTE["rules"] = f"""
-select doc_id, len(boxes) = 7 as seven_boxes,
-  len(list_filter(boxes, lambda b: length(b) >= 50)) = 0 as boxes_short,
-  len(list_filter(boxes, lambda b: regexp_matches(b, '[,"“”]'))) = 0 as boxes_plain,
-  len(list_filter(boxes, lambda b: contains(lower(b), lower(book_title)) or contains(lower(b), lower(author_name)))) = 0 as boxes_not_title,
-  len(list_filter(boxes, lambda b: regexp_matches(b, '(?i)(^|[^\\p{{L}}\\p{{N}}])(book|ebook)s?($|[^\\p{{L}}\\p{{N}}])'))) = 0 as boxes_not_generic,
-  n_ads between 25 and 30 as ad_keywords_ok, n_paths between 5 and 7 as categories_ok, n_tips between 5 and 7 as reviews_ok,
-  {words('line')} between 150 and 200 as description_ok, n_steps > 0 as checklist_ok
-from plans where parse_reason is null"""
+select doc_id, parse_reason as reason, readable and len(boxes) = 7 as seven_boxes,
+  readable and len(list_filter(boxes, lambda b: length(b) >= 50)) = 0 as boxes_short,
+  readable and len(list_filter(boxes, lambda b: regexp_matches(b, '[,"“”]'))) = 0 as boxes_plain,
+  readable and len(list_filter(boxes, lambda b: contains(lower(b), lower(book_title)) or contains(lower(b), lower(author_name)))) = 0 as boxes_not_title,
+  readable and len(list_filter(boxes, lambda b: regexp_matches(b, '(?i)(^|[^\\p{{L}}\\p{{N}}])(book|ebook)s?($|[^\\p{{L}}\\p{{N}}])'))) = 0 as boxes_not_generic,
+  readable and n_ads between 25 and 30 as ad_keywords_ok, readable and n_paths between 5 and 7 as categories_ok, readable and n_tips between 5 and 7 as reviews_ok,
+  readable and {words('line')} between 150 and 200 as description_ok, readable and n_steps > 0 as checklist_ok
+from (select *, coalesce(parse_reason <> 'unreadable', true) as readable from plans)"""
 
 
 def _order(names: list[str]) -> list[str]:
@@ -595,6 +595,16 @@ from g left join r on r.session_id = g.session_id
 left join a on a.session_id = g.session_id and a.item = g.item and a.event_type = 'click' and (r.at is null or (a.ts, a.event_id) > r.at)
 group by g.session_id, g.item, r.at having (count(a.event_id) + case when r.at is null then 0 else 1 end) % 2 = 1""")
 
+oracle("unknown_languages", "select order_id, 'xx' as language, 'unknown_language' as reason, cast(len(languages) + 1 as bigint) as position from order_inputs where order_id % 13 = 0")
+oracle("order_improvement_notices", f"""
+select * from (with parts as (select conv_id as order_id, ['es','fr','de','pt'][cast(turn % 4 + 1 as int)] as language,
+    cast(sum(case when shape in (0, 2) then 2 else 0 end) as bigint) as improvements from pairs group by 1, 2),
+called as (select *, {name_of('language')} as language_name from parts)
+select order_id, 'improvement_notice' as kind, email as recipient, 'Your translations are ready: ' || book_title as subject, author_name,
+  string_agg(language_name || '=https://books.example.com/download/' || order_id || '/' || language, ';' order by language) as links,
+  string_agg(language_name || ': ' || improvements || ' improvements', chr(10) order by language) as summary, cast(sum(improvements) as bigint) as improvements
+from called join customers using (order_id) group by all)""")
+oracle("rejected_events_from_files", ORACLES["rejected_events"])
 oracle("strategy_requests", """
 select doc_id, language, case when market is null then 'unknown_market' end as reason,
   cast(length(r) as bigint) as request_chars, md5(r) as request_md5
@@ -629,14 +639,14 @@ def _section(head: str, *lines: str) -> str:
 _BOXES = ", ".join(f"'Box {i}: ' || coalesce(boxes[{i}], '')" for i in range(1, 8))
 _DOUBLE = f"'{'═' * 67}'"
 _NL = "chr(10)"
-_DOCUMENT = f"""concat_ws(chr(10), {_DOUBLE}, '📚 LAUNCH STRATEGY PACK', book_title || ' — ' || market_language || ' (' || market || ')', {_DOUBLE}, '',
-{_section("'🔑 AMAZON BACKEND KEYWORDS (Copy these exactly into KDP)'", _BOXES)},
-{_section("'🎯 AMAZON ADS KEYWORDS (For Sponsored Products campaigns)'", _list('keyword', 'n_ads', _NL))},
-{_section("'📂 RECOMMENDED CATEGORIES'", _list('path', 'n_paths', _NL))},
-{_section("'💰 PRICING RECOMMENDATION'", "'Ebook:     €4.99'", "'Paperback: €12.99'", "''", "'Why: Local average'")},
-{_section("'📝 OPTIMIZED BOOK DESCRIPTION'", 'line')},
-{_section("'⭐ REVIEW STRATEGY FOR ' || upper(market)", _list('tip', 'n_tips', _NL + ' || ' + _NL))},
-{_section("'✅ KDP UPLOAD CHECKLIST FOR ' || upper(store_domain)", _list('step', 'n_steps', _NL + ' || ' + _NL, '☐ '))},
+_DOCUMENT = f"""concat_ws(chr(10), {_DOUBLE}, '📚 LAUNCH PLAN', book_title || ' — ' || market_language || ' (' || market || ')', {_DOUBLE}, '',
+{_section("'🔑 KEYWORD BOXES FOR THE STORE'", _BOXES)},
+{_section("'🎯 KEYWORDS FOR PAID ADS'", _list('keyword', 'n_ads', _NL))},
+{_section("'📂 CATEGORY PATHS'", _list('path', 'n_paths', _NL))},
+{_section("'💰 PRICES'", "'Ebook:     €4.99'", "'Paperback: €12.99'", "''", "'Why: Local average'")},
+{_section("'📝 DESCRIPTION FOR THE STORE PAGE'", 'line')},
+{_section("'⭐ HOW TO GET REVIEWS IN ' || upper(market)", _list('tip', 'n_tips', _NL + ' || ' + _NL))},
+{_section("'✅ BEFORE UPLOADING TO ' || upper(store_domain)", _list('step', 'n_steps', _NL + ' || ' + _NL, '☐ '))},
 {_DOUBLE}, 'Generated by Folio', {_DOUBLE})"""
 oracle("strategy_render", f"""
 select doc_id, language, reason, cast(length(document) as bigint) as document_chars, md5(document) as document_md5

@@ -74,6 +74,24 @@ def outbox(orders: DataFrame, admin: str, base_url: str) -> DataFrame:
     return facts.select("*", "n.*").drop("n")
 
 
+def order_improvement_notices(orders: DataFrame, parsed: DataFrame, base_url: str) -> DataFrame:
+    """One notice per order whose edited texts are ready: recipient, subject, links, improvements per language.
+
+    orders: order_id, email, author_name, book_title; parsed: order_id, language, changes, any number of parts per language.
+    Parts are added up per order and language before anything is grouped per order, so that group is as long as the order has languages.
+    """
+    per_language = parsed.groupBy("order_id", "language").agg(F.sum(F.size("changes").cast("long")).alias("n"))
+    own = F.array_sort(F.collect_list(F.struct("language", "n")))
+    per_order = per_language.groupBy("order_id").agg(own.alias("_each"), F.sum("n").alias("improvements"))
+    name = lambda c: F.coalesce(language_name(c), c)
+    line = lambda e: F.concat(name(e["language"]), F.lit(": "), e["n"].cast("string"), F.lit(" improvements"))
+    return per_order.join(orders.select("order_id", "email", "author_name", "book_title"), "order_id").select(
+        "order_id", F.lit("improvement_notice").alias("kind"), F.col("email").alias("recipient"), F.concat(F.lit(READY), F.col("book_title")).alias("subject"),
+        "author_name", links(base_url, F.transform("_each", lambda e: e["language"])).alias("links"),
+        F.array_join(F.transform("_each", line), "\n").alias("summary"), "improvements",
+    )
+
+
 def improvement_notices(parsed: DataFrame) -> DataFrame:
     """Number of editorial improvements per order and language, as text for the completion notice.
 

@@ -83,6 +83,16 @@ def work_per_order(orders: DataFrame, originals: DataFrame, done: DataFrame) ->
     )
 
 
+def unknown_languages(work: DataFrame) -> DataFrame:
+    """One row per order and language code that no one translates, with its place in the order's list.
+
+    An order may have such codes beside others that are translated, so they are no reason to hold it back.
+    """
+    each = work.select("order_id", "languages", F.explode("unknown_languages").alias("language"))
+    position = F.array_position("languages", F.col("language")).cast("long")
+    return each.select("order_id", "language", F.lit("unknown_language").alias("reason"), position.alias("position"))
+
+
 def _per_language(rows: DataFrame) -> DataFrame:
     exploded = rows.select("*", F.explode("pending").alias("language")).drop("pending", "reason", "unknown_languages")
     return exploded.withColumn("position", F.array_position("languages", F.col("language")).cast("long"))

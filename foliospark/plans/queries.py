@@ -15,6 +15,7 @@ from foliospark.operators import (
 from foliospark.plans import fixtures as fx
 from foliospark.session import fresh_dir
 from foliospark.sources import manuscripts
+from foliospark.sources.events import read_bodies
 from foliospark.sources.tables import table
 from foliospark.streaming import payments as payment_stream
 from foliospark.streaming import status as status_stream_job
@@ -254,6 +255,14 @@ def rejected_events(spark, d):
     return payments.rejected(typed_events(spark, d))
 
 
+@query
+def rejected_events_from_files(spark, d):
+    """The bodies written to text files, one per line, and read back."""
+    folder = fresh_dir(spark, "bodies")
+    fx.payment_bodies(table(spark, d, "events")).select("body").write.text(folder)
+    return payments.rejected(payments.typed_events(read_bodies(spark, folder)))
+
+
 EVENTS_DDL = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -299,6 +308,15 @@ def pending_languages(spark, d):
     return requests.pending_languages(work(spark, d)).select("order_id", "language", "position")
 
 
+@query
+def unknown_languages(spark, d):
+    """Codes no one translates, beside known ones in every thirteenth order."""
+    orders = fx.order_inputs(spark, d, customers=True)
+    some = F.when(F.col("order_id") % 13 == 0, F.concat("languages", F.array(F.lit("xx")))).otherwise(F.col("languages"))
+    done = fx.file_rows(spark, d).select("order_id", "language")
+    return requests.unknown_languages(requests.work_per_order(orders.withColumn("languages", some), fx.originals(spark, d), done))
+
+
 @query
 def request_blockers(spark, d):
     return work(spark, d).filter(F.col("reason").isNotNull()).select("order_id", "reason")
@@ -400,6 +418,15 @@ def improvement_notices(spark, d):
     return outbox.improvement_notices(rows)
 
 
+@query
+def order_improvement_notices(spark, d):
+    """One notice per conversation that is an order: every turn is a part of one of its languages."""
+    parts = parsed_answers(spark, d).withColumn("order_id", F.col("conv_id")).withColumn("language", fx.pick(fx.LANGUAGE_CODES, F.col("turn") % 4))
+    rows = outbox.order_improvement_notices(fx.order_inputs(spark, d, customers=True), parts, SITE)
+    urls = F.array_join(F.transform("links", lambda x: F.concat(x["language"], F.lit("="), x["url"])), ";")
+    return rows.withColumn("links", urls)
+
+
 @query
 def mark_spans(spark, d):
     rows = editorial.mark_spans(fx.marked_texts(spark, d), "text")
@@ -667,7 +694,7 @@ def strategy_parse(spark, d):
 @query
 def strategy_contract(spark, d):
     return launch.contract(strategies(spark, d)).drop(
-        "language", "book_title", "author_name", "genre", "book_description", "answer", "strategy", "reason"
+        "language", "book_title", "author_name", "genre", "book_description", "answer", "strategy"
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foliospark.functions.json_text import with_json
 
@@ -30,13 +29,3 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """Event bodies from text files, one document per line."""
     return spark.read.text(path).withColumnRenamed("value", "body")
 
-
-def read_kafka_bodies(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """Streaming event bodies from a Kafka topic (needs the Kafka connector on the classpath)."""
-    return (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topic)
-        .load()
-        .select(F.col("value").cast("string").alias("body"), F.col("timestamp").alias("delivered_at"))
-    )

@@ -119,7 +119,7 @@ def test_launch_rules_and_document(spark):
     out = {r.id: r for r in launch.render(parsed, "Brand").collect()}
     assert out[4].reason == "unknown_market" and out[3].document is None
     doc = out[2].document
-    assert "Box 2: a, b\n" in doc and "Box 7: \n" in doc and "KDP UPLOAD CHECKLIST FOR AMAZON.DE" in doc
+    assert "Box 2: a, b\n" in doc and "Box 7: \n" in doc and "BEFORE UPLOADING TO AMAZON.DE" in doc
     assert "☐ 1. s\n\n☐ 2. t" in doc and "\n25. k24\n" in doc and doc.splitlines()[2] == "Title — German (Germany, Austria, and Switzerland)"
 
 

@@ -54,7 +54,7 @@ def test_request_slots(spark):
     assert set(rows) == {(1, "es"), (2, "de"), (7, "pt")}
     text = rows[1, "es"].request
     assert "this general manuscript into Spanish" in text and "Instructions from the author: Be kind." in text
-    assert "short text" in text and "Latin American" in text
+    assert "short text" in text and "Latin America" in text
     assert "Instructions" not in rows[2, "de"].request and LONG in rows[2, "de"].request
 
 
