@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,14 +27,43 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+MADE: list[str] = []  # tables of the running operator, oldest first
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder, read again: later steps don't depend on what made them."""
+    """The rows as a table in the shared folder, read again: later steps don't depend on what made them.
+
+    So its shuffle files go as soon as it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``stored(make())``, after which the tables that were stored on the way are deleted."""
+    first = len(MADE)
+    out = stored(make(), name)
+    dropped(out.sparkSession, MADE[first:-1])
+    del MADE[first:-1]
+    return out
+
+
 def hot_join(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
     """Rows that meet a group of their key; ``groups`` has each key once and the number of its rows.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import stored
+from foliospark.llm.common import MADE, dropped, stored
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -27,7 +27,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         under = large.join(low, "u")
         small = under.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        old = [MADE.pop()]
         edges = stored(small.where("u <> v").distinct(), name)
+        dropped(edges.sparkSession, old)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == before or not state[0]:
             break

@@ -393,8 +393,10 @@ def keep_first_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     def left(texts: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series(without(texts, gone), dtype=object)
 
-    places = lines(docs).where("not kept").select("k1", "k2", "number").distinct()
-    gone = places.groupBy("k1", "k2").agg(F.collect_list("number").alias("gone"))
+    def places() -> DataFrame:
+        return lines(docs).where("not kept").select("k1", "k2", "number").distinct()
+
+    gone = common.settled(places, "lines-gone").groupBy("k1", "k2").agg(F.collect_list("number").alias("gone"))
     rows = common.packed(docs, *common.identity()).join(gone, ["k1", "k2"], "left")
     rows = rows.select("row", "gone", left(F.col("row.text"), F.col("gone")).alias("left"))
     names, new = docs.columns, {"text": F.col("left")}

@@ -17,19 +17,23 @@ sets of five-word shingles is ``SIMILARITY`` or more, and no radius is sure to h
 lie 9.7 bits apart on average, some twice that). Candidates come from a prefix filter, which is complete: if all
 shingles stand in one order, two sets that similar share one of the first n // 5 + 1 of each. The order is
 by rarity in hashed counters of constant size, so that common shingles seldom are keys. Candidates are
-verified on the whole sets. Texts without words have one, empty, set.
+verified on the whole sets. A group of copies is joined through one of its members; only pairs that this leaves in
+different components are listed. Texts without words have one, empty, set.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -49,7 +53,9 @@ STAGE_WORDS = 5  # of a shingle in the stage
 SIMILARITY = (4, 5)  # of near copies in the stage, as a fraction
 COUNTERS = 1 << 18  # behind the order of shingles
 GROUP = 512  # sets of one key that meet in one group
-FILTER_BITS = 26  # of the filter of documents to verify: 8 MB whatever the input
+FILTER_BITS = (20, 30)  # least and most of a filter, which has eight for each wanted hash
+FAN = 16  # arrays of counters that one task adds
+ROUNDS = 2  # of comparisons with one set of each key, before all pairs between components
 
 
 def words_of(text: str) -> list[bytes]:
@@ -310,25 +316,36 @@ def set_classes():
 
 
 def shingle_counters(docs: DataFrame) -> np.ndarray:
-    """In how many documents a shingle of each hash class is, roughly: enough to order by."""
+    """In how many documents a shingle of each hash class is, roughly: enough to order by.
+
+    A task sends one packed array; the arrays are added in groups of ``FAN`` until few are left.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for a, b in common.bounded(texts := common.strings(batch["text"]), PIECE << 4):
                 total += np.bincount(np.concatenate([shingle_set(t) for t in texts[a:b]]) & (COUNTERS - 1), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"k": at.astype(np.int32), "n": total[at]})
+        yield pd.DataFrame({"place": [TaskContext.get().partitionId()], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    got = docs.select("text").mapInPandas(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COUNTERS, np.int64)
-    out[got["k"].to_numpy()] = got["n"].to_numpy()
-    return out
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in group["counts"])
+        return pd.DataFrame({"place": [int(group["place"].iat[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
 
+    parts, texts = max(1, docs.rdd.getNumPartitions()), docs.select("text")
+    rows = texts.mapInPandas(run, "place int, counts binary")
+    while parts > 1:
+        rows = rows.withColumn("place", F.floor(F.col("place") / FAN).cast("int")).groupBy("place").applyInPandas(add, "place int, counts binary")
+        parts = -(-parts // FAN)
+    # One row, or the few that a plan with other partitions than the counted ones leaves.
+    return sum((np.frombuffer(zlib.decompress(r.counts), np.int64) for r in rows.toLocalIterator()), np.zeros(COUNTERS, np.int64))
 
-def prefix_rows(docs: DataFrame) -> DataFrame:
-    """(key, c1, c2, size): the rarest shingles of each document's set, as many as a near copy can't all lack."""
-    counters = docs.sparkSession.sparkContext.broadcast(shingle_counters(docs))
+
+def prefix_rows(docs: DataFrame, counters, shared=None) -> DataFrame:
+    """(key, c1, c2, size, pos): the rarest shingles of each document's set, as many as a near copy can't all lack.
+
+    ``shared`` is a bitmap of the keys that are wanted, if only those are.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = counters.value
@@ -339,39 +356,127 @@ def prefix_rows(docs: DataFrame) -> DataFrame:
                 if sets:
                     n = [len(f) for f in first]
                     own = {c: np.repeat(v, n) for c, v in set_names(sets).items()}
-                    yield pd.DataFrame({"key": np.concatenate(first), **own, "size": np.repeat([len(s) for s in sets], n)})
+                    pos = np.concatenate([np.arange(k, dtype=np.int64) for k in n])
+                    out = pd.DataFrame({"key": np.concatenate(first), **own, "size": np.repeat([len(s) for s in sets], n), "pos": pos})
+                    yield out if shared is None else out[common.in_bitmap(shared.value, out["key"].to_numpy())]
 
-    return docs.select("text").mapInPandas(run, "key long, c1 long, c2 long, size long")
+    return docs.select("text").mapInPandas(run, "key long, c1 long, c2 long, size long, pos long")
 
 
-def similar_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) with a < b: every two nodes of ``classes`` (node, c1, c2, k1, k2) whose sets are near copies, once."""
-    each = Window.partitionBy("key")
-    rows = prefix_rows(docs).withColumn("low", F.min("c1").over(each)).withColumn("high", F.max("c1").over(each)).where("low <> high")
-    rows = rows.select("key", "c1", "c2", "size").distinct().join(classes.select("node", "c1", "c2"), ["c1", "c2"]).select("key", "node", "size")
-    rows = stored(rows, "copy-keys")
-    # A key of more than GROUP sets is cut into shares; every two shares meet in a group of their own.
-    shares = F.ceil(F.count("*").over(each) / GROUP).cast("int")
-    rows = rows.withColumn("shares", shares).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
-    left = rows.select("key", F.col("own").alias("x"), others.alias("y"), F.col("node").alias("a"), F.col("size").alias("m"))
-    right = rows.select("key", others.alias("x"), F.col("own").alias("y"), F.col("node").alias("b"), F.col("size").alias("n"))
-    near = (F.col("a") < F.col("b")) & (F.least("m", "n") * SIMILARITY[1] >= F.greatest("m", "n") * SIMILARITY[0])
-    pairs = stored(left.join(right, ["key", "x", "y"]).where(near).select("a", "b").distinct(), "copy-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(classes, "node").select("node", "k1", "k2")
-    wanted = stored(wanted, "copy-nodes")
-    bits = docs.sparkSession.sparkContext.broadcast(common.bitmap(wanted, "k1", FILTER_BITS))
+def filter_of(rows: DataFrame, column: str):
+    """A broadcast bitmap of hashes with eight bits for each, within bounds; beyond them more passes by chance."""
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (8 * rows.count()).bit_length()))
+    return rows.sparkSession.sparkContext.broadcast(common.bitmap(rows, column, bits))
+
+
+def shared_keys(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, node, size, pos): the prefixes of all sets, as far as their keys are in more than one set."""
+    counters = docs.sparkSession.sparkContext.broadcast(shingle_counters(docs))
+    name = F.struct("c1", "c2")
+    ends = prefix_rows(docs, counters).groupBy("key").agg(F.min(name).alias("low"), F.max(name).alias("high"))
+    keys = stored(ends.where("low <> high").select("key"), "copy-shared")
+    rows = prefix_rows(docs, counters, filter_of(keys, "key")).distinct().join(keys, "key")
+    return stored(rows.join(classes.select("node", "c1", "c2"), ["c1", "c2"]).select("key", "node", "size", "pos"), "copy-keys")
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, text): one text of each of some classes. A filter lets few other texts move."""
+    wanted = stored(nodes.select("node").distinct().join(classes, "node").select("node", "k1", "k2"), "copy-nodes")
+    bits = filter_of(wanted, "k1")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            some = batch[common.in_bitmap(bits.value, batch["k1"].to_numpy())]
-            yield pd.DataFrame({"k1": some["k1"], "k2": some["k2"], "set": [shingle_set(t) for t in common.strings(some["text"])]})
+            yield batch[common.in_bitmap(bits.value, batch["k1"].to_numpy())]
+
+    texts = docs.select(*common.identity(), "text").mapInPandas(read, "k1 long, k2 int, text string")
+    return stored(texts.dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"]).select("node", "text"), "copy-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are near copies.
+
+    A text moves once for each text it is compared with as ``b``, and once for each ``GROUP`` partners as ``a``.
+    A task streams a share: the text ``a``, then its partners.
+    """
+    often = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("shares"))
+    dealt = pairs.join(often, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
+    first = often.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    first = first.join(texts.withColumnRenamed("node", "a"), "a").select("a", "share", F.lit(None).cast("long").alias("b"), "text")
+    rest = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "share", "b", "text")
+    rows = first.unionByName(rest).repartition("a", "share").sortWithinPartitions("a", "share", "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.int64)
+        for batch in batches:
+            a, b, near = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
+            for at, texts in common.pieces(batch.column("text"), PIECE << 4):
+                for i, text in enumerate(texts, at):
+                    this = shingle_set(text)
+                    if b[i] is None:
+                        own = this
+                        continue
+                    both = len(np.intersect1d(own, this, assume_unique=True))
+                    if both * SIMILARITY[1] >= (len(own) + len(this) - both) * SIMILARITY[0]:
+                        near.append(i)
+            yield pa.record_batch([pa.array([a[i] for i in near], pa.int64()), pa.array([b[i] for i in near], pa.int64())], ["a", "b"])
+
+    return rows.select("a", "b", "text").mapInArrow(compare, "a long, b long")
+
+
+def may_be_near(m: str, n: str) -> Column:
+    return F.least(m, n) * SIMILARITY[1] >= F.greatest(m, n) * SIMILARITY[0]
+
+
+def star_pairs(rows: DataFrame, seed: int) -> DataFrame:
+    """Each set of a key with one of them, if it is not yet in the same component."""
+    middle = F.min(F.struct(F.xxhash64("node", F.lit(seed)), "node", "root", "size")).alias("c")
+    stars = rows.groupBy("key").agg(middle, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    met = rows.join(stars.select("key", "c"), "key").where("root <> c.root").select("node", "size", F.col("c.node").alias("center"), F.col("c.size").alias("n"))
+    return met.where(may_be_near("size", "n")).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
 
-    sets = docs.select(*common.identity(), "text").mapInPandas(read, "k1 long, k2 int, set array<long>")
-    sets = stored(sets.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "set"), "copy-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    return both.where(shared * SIMILARITY[1] >= (F.size("s") + F.size("t") - shared) * SIMILARITY[0]).select("a", "b")
+
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """Every two sets that share a key, are in different components and may be near copies by size and place.
+
+    With the first key they share at places p and q, sets of m and n shingles share min(m - p, n - q) at most.
+    A key of more than GROUP sets is cut into shares; every two shares meet in a group of their own.
+    """
+    split = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / GROUP).cast("int").alias("shares")).where("low <> high")
+    rows = rows.join(split.select("key", "shares"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    left = rows.select("key", F.col("own").alias("x"), others.alias("y"), F.col("node").alias("a"), F.col("size").alias("m"), F.col("pos").alias("p"), F.col("root").alias("r"))
+    right = rows.select("key", others.alias("x"), F.col("own").alias("y"), F.col("node").alias("b"), F.col("size").alias("n"), F.col("pos").alias("q"), F.col("root").alias("s"))
+    met = left.join(right, ["key", "x", "y"]).where((F.col("a") < F.col("b")) & (F.col("r") != F.col("s")) & may_be_near("m", "n"))
+    pairs = met.groupBy("a", "b").agg(F.least(F.first("m") - F.min("p"), F.first("n") - F.min("q")).alias("most"), (F.first("m") + F.first("n")).alias("both"))
+    enough = F.col("most") * (SIMILARITY[0] + SIMILARITY[1]) >= F.col("both") * SIMILARITY[0]
+    return pairs.where(enough).select("a", "b")
+
+
+def similar_sets(docs: DataFrame, classes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(a, b): links between near copies that join the same nodes of ``classes`` (node, c1, c2, k1, k2) as all links would.
+
+    The sets that share a key are first compared with one of them, which joins a group of copies without
+    listing its pairs. After some rounds, each with other middles, every pair that still lies in two
+    components is compared, so that no link between components is lost.
+    """
+    keys = shared_keys(docs, classes)
+    texts = texts_of(docs, keys, classes)
+    tried = links = roots = None
+    for step in range(rounds + 1):
+        rows = keys.withColumn("root", F.col("node"))
+        if roots is not None:
+            rows = keys.join(roots.withColumnRenamed("root", "r"), "node", "left").select("key", "node", "size", "pos", F.coalesce("r", "node").alias("root"))
+        pairs = star_pairs(rows, step) if step < rounds else cross_pairs(rows)
+        if tried is not None:
+            either = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = pairs.join(either, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "copy-pairs")
+        found = stored(verified(pairs, texts), "copy-links")
+        tried = pairs if tried is None else tried.union(pairs)
+        links = found if links is None else links.union(found)
+        if step < rounds:
+            roots = components(links, "copy-roots")
+    return links
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -405,4 +510,4 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_copy(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage: of each component of near copies the document with the smallest id stays; of equal rows one."""
-    return one_of_each(docs, near_copies(docs))
+    return one_of_each(docs, common.settled(lambda: near_copies(docs), "copy-groups"))
