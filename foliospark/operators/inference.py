@@ -1,8 +1,8 @@
 """Two-pass batch inference with a function the caller supplies.
 
 The function gets a pandas DataFrame of requests and returns one list of answer blocks per row
-(``[{"type": "text", "text": ...}]``). Spark partitions and retries the work. Finished rows are kept
-in tables keyed by order and language, so a job that is started again sends only what is missing.
+(``[{"type": "text", "text": ...}]``). Spark partitions and retries the work. Answers are kept by order,
+language and part as soon as a batch has them, so a job that is started again sends only what is missing.
 """
 
 from __future__ import annotations
@@ -10,32 +10,57 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.operators import requests as rq
 from foliospark.operators.editorial import CHANGE, parse_editorial
-from foliospark.sinks import tables
+from foliospark.sinks import answers
 
 ModelFn = Callable[[pd.DataFrame], list]
 BLOCKS = "array<struct<type:string,text:string>>"
 KEYS = ("order_id", "language", "part")
+DONE_KEY = ("order_id", "language")
+SHARE = 8 << 20  # bytes of requests that a task gets, about
+ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
 
-def ask(requests: DataFrame, fn: ModelFn, keys=KEYS, carry=(), request: str = "request") -> DataFrame:
-    """Send every request once: keys and carried columns in, the same and ``blocks`` out.
+def one_by_one(batch: pd.DataFrame, fn: ModelFn) -> Iterator[tuple[list | None, str | None]]:
+    for at in range(len(batch)):
+        try:
+            yield list(fn(batch.iloc[at : at + 1]))[0], None
+        except Exception as problem:
+            yield None, f"{type(problem).__name__}: {problem}"
 
-    A text that is needed next to the answer is carried through instead of being joined back,
-    which would shuffle it again.
+
+def answered(batch: pd.DataFrame, fn: ModelFn) -> pd.DataFrame:
+    """A batch of requests with ``blocks`` and ``error`` instead of the request.
+
+    When the function fails on a batch, its rows are sent one by one, and a row that fails alone has the
+    reason and no blocks.
     """
-    narrow = requests.select(*keys, *carry, F.col(request).alias("request"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "request")
+    try:
+        pairs = [(blocks, None) for blocks in fn(batch)]
+    except Exception:
+        pairs = list(one_by_one(batch, fn))
+    blocks, errors = zip(*pairs) if pairs else ((), ())
+    return batch.drop(columns="request").assign(blocks=list(blocks), error=list(errors))
+
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.drop(columns="request").assign(blocks=list(fn(batch)))
+def ask_and_store(requests: DataFrame, fn: ModelFn, path: str, carry: tuple[str, ...], ddl: str, share: int) -> int:
+    """Send requests in shares of about equal bytes and store each batch of answers when it is there.
 
-    return narrow.mapInPandas(answer, f"{schema}, blocks {BLOCKS}")
+    A text that is needed next to the answer is carried through instead of being joined back,
+    which would shuffle it again.
+    """
+    spark = requests.sparkSession
+    before = spark.conf.get(ADVISORY)
+    spark.conf.set(ADVISORY, str(share))  # what the rebalance below cuts and packs by
+    try:
+        packed = requests.select(*KEYS, "parts", *carry, "request").hint("rebalance")
+        return answers.store_each(packed, lambda batch: answered(batch, fn), path, ddl)
+    finally:
+        spark.conf.set(ADVISORY, before)
 
 
 def first_text(blocks: Column | str, otherwise: Column) -> Column:
@@ -56,28 +81,18 @@ def join_parts(answers: DataFrame, text: str) -> DataFrame:
     )
 
 
-def translate(requests: DataFrame, fn: ModelFn, style: rq.RequestStyle = rq.WHOLE) -> DataFrame:
-    """First pass: order_id, original_id, language, translated. A non-text answer counts as empty."""
-    answers = ask(requests, fn, carry=("original_id",)).withColumn("translated", first_text("blocks", F.lit("")))
-    if style.translate_window is None:
-        return answers.select("order_id", "original_id", "language", "translated")
-    return join_parts(answers, "translated")
-
-
-def edit(requests: DataFrame, fn: ModelFn, style: rq.RequestStyle = rq.WHOLE) -> DataFrame:
+def edited(answered: DataFrame, style: rq.RequestStyle = rq.WHOLE) -> DataFrame:
     """Second pass: order_id, language, translated, edited, changes.
 
     A whole-text answer is the edited text itself. A windowed answer is JSON per part; its parts
     are put back together in order. Without a usable answer the first pass stands.
     """
-    answers = ask(requests, fn, carry=("translated",)).withColumn(
-        "answer", first_text("blocks", F.lit(None).cast("string"))
-    )
+    rows = answered.withColumn("answer", first_text("blocks", F.lit(None).cast("string")))
     if style.review_window is None:
-        edited = F.coalesce("answer", "translated")
+        text = F.coalesce("answer", "translated")
         none = F.array().cast(f"array<{CHANGE}>")
-        return answers.select("order_id", "language", "translated", edited.alias("edited"), none.alias("changes"))
-    parsed = parse_editorial(answers)
+        return rows.select("order_id", "language", "translated", text.alias("edited"), none.alias("changes"))
+    parsed = parse_editorial(rows)
     ordered = F.array_sort(F.collect_list(F.struct("part", "translated", "edited", "changes")))
     together = parsed.groupBy("order_id", "language").agg(ordered.alias("_p"))
     return together.select(
@@ -104,8 +119,19 @@ def finished_files(edited: DataFrame) -> DataFrame:
     )
 
 
-SLICES = 8
-DONE_KEY = ("order_id", "language")
+def whole_books(stored: DataFrame) -> DataFrame:
+    """(order_id, language) whose parts are all stored."""
+    counted = stored.groupBy(*DONE_KEY).agg(F.count("*").alias("n"), F.max("parts").alias("parts"))
+    return counted.filter(F.col("n") >= F.col("parts")).select(*DONE_KEY)
+
+
+def without_stored(requests: DataFrame, stored: DataFrame) -> DataFrame:
+    """Requests whose answers are not stored; narrow keys tell, and only where a book is answered in part."""
+    have = stored.select("order_id", "language", "part").join(whole_books(stored), list(DONE_KEY), "left_anti")
+    have = have.groupBy(*DONE_KEY).agg(F.collect_set("part").alias("_have"))
+    if have.isEmpty():
+        return requests
+    return requests.join(have, list(DONE_KEY), "left").filter(~F.coalesce(F.array_contains("_have", F.col("part")), F.lit(False))).drop("_have")
 
 
 def run_two_pass(
@@ -115,35 +141,46 @@ def run_two_pass(
     translate_fn: ModelFn,
     edit_fn: ModelFn,
     style: rq.RequestStyle = rq.WHOLE,
-    slices: int = SLICES,
+    share: int = SHARE,
 ) -> DataFrame:
-    """Translate and edit everything not yet in ``folder``; return the file table.
+    """Translate and edit everything not yet in ``folder``; return the file table of finished books.
 
-    Each pass goes slice by slice (a hash of the order), and each slice is stored in a folder of its
-    own before the next one starts. A call that breaks off loses the open slice at most; the same call
-    again asks only for what no folder holds, and replaces nothing.
+    Each pass reads the manuscripts once. Answers are stored batch by batch by the tasks themselves, so a call that
+    breaks off loses the open batches at most, and the same call again asks only for what is not stored. A request
+    that the model fails on is a row with its reason (``failed_requests``) and is asked again by the next call.
     """
     spark = orders.sparkSession
-    pass_one, final = f"{folder}/translated", f"{folder}/files"
     id_type = orders.schema["order_id"].dataType.simpleString()
     file_type = originals.schema["file_id"].dataType.simpleString()
-    one_ddl = f"order_id {id_type}, original_id {file_type}, language string, translated string"
-    final_ddl = (
-        f"file_id string, order_id {id_type}, type string, language string, content string, "
-        f"original_content string, changes array<{CHANGE}>, empty_translation boolean"
-    )
-    slice_of = F.pmod(F.xxhash64("order_id"), F.lit(slices))
-
-    stored = tables.read_attempts(spark, pass_one, one_ddl, DONE_KEY)
-    work = rq.work_per_order(orders, originals, stored.select(*DONE_KEY))
-    for k in range(slices):
-        requests = rq.translation_requests(work.filter(slice_of == k), originals, style)
-        tables.append_attempt(translate(requests, translate_fn, style), pass_one)
-
-    stored = tables.read_attempts(spark, pass_one, one_ddl, DONE_KEY)
-    files = tables.read_attempts(spark, final, final_ddl, DONE_KEY)
-    work = rq.work_per_order(orders, originals, files.select(*DONE_KEY))
-    for k in range(slices):
-        requests = rq.editorial_requests(work.filter(slice_of == k), originals, stored, style)
-        tables.append_attempt(finished_files(edit(requests, edit_fn, style)), final)
-    return tables.read_attempts(spark, final, final_ddl, DONE_KEY)
+    keys = f"order_id {id_type}, language string, part bigint, parts bigint"
+    one = f"{keys}, original_id {file_type}, blocks {BLOCKS}, error string"
+    two = f"{keys}, translated string, blocks {BLOCKS}, error string"
+    read = lambda name, ddl: answers.read(spark, f"{folder}/{name}", ddl, KEYS, "error")
+
+    stored = read("translated", one)
+    work = rq.work_per_order(orders, originals, whole_books(stored))
+    requests = without_stored(rq.translation_requests(work, originals, style), stored)
+    ask_and_store(requests, translate_fn, f"{folder}/translated", ("original_id",), one, share)
+
+    stored = read("translated", one)
+    first = stored.join(whole_books(stored), list(DONE_KEY), "left_semi").withColumn("translated", first_text("blocks", F.lit("")))
+    first = first.select("order_id", "original_id", "language", "translated") if style.translate_window is None else join_parts(first, "translated")
+    stored = read("files", two)
+    work = rq.work_per_order(orders, originals, whole_books(stored))
+    requests = without_stored(rq.editorial_requests(work, originals, first, style), stored)
+    ask_and_store(requests, edit_fn, f"{folder}/files", ("translated",), two, share)
+
+    stored = read("files", two)
+    return finished_files(edited(stored.join(whole_books(stored), list(DONE_KEY), "left_semi"), style))
+
+
+def failed_requests(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:
+    """(pass, order_id, language, part, reason) of requests the model failed on and that no later call has answered."""
+    out = None
+    ddl = f"order_id {id_type}, language string, part bigint, error string"
+    for name in ("translated", "files"):
+        rows = spark.read.schema(ddl).parquet(f"{folder}/{name}")
+        per = rows.groupBy(*KEYS).agg(F.max("error").alias("reason"), F.count(F.when(F.col("error").isNull(), 1)).alias("_ok")).filter("_ok = 0").drop("_ok")
+        per = per.select(F.lit(name).alias("pass"), *KEYS, "reason")
+        out = per if out is None else out.unionByName(per)
+    return out

@@ -198,9 +198,10 @@ def editorial_json_text(style: RequestStyle, original: Column, translated: Colum
 def translation_requests(work: DataFrame, originals: DataFrame, style: RequestStyle = WHOLE) -> DataFrame:
     """First-pass requests: one row per order, language and part."""
     texts = _per_language(with_text(work, originals))
-    parts = texts.select("*", F.explode(windows(F.col("content"), style.translate_window)).alias("_w")).drop("content")
+    cut = texts.withColumn("_windows", windows(F.col("content"), style.translate_window)).withColumn("parts", F.size("_windows").cast("long"))
+    parts = cut.drop("content").select("*", F.explode("_windows").alias("_w")).drop("_windows")
     return with_language(parts).select(
-        "order_id", "original_id", "language", "position", F.col("_w.part").cast("long").alias("part"),
+        "order_id", "original_id", "language", "position", F.col("_w.part").cast("long").alias("part"), "parts",
         translation_text(style, F.col("_w.text")).alias("request"),
     )
 
@@ -219,15 +220,15 @@ def editorial_requests(
     both = with_language(texts.filter(F.array_contains("pending", F.col("language"))))
     if style.review_window is None:
         return both.select(
-            "order_id", "language", F.lit(0).cast("long").alias("part"), "translated",
+            "order_id", "language", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts"), "translated",
             editorial_text(style, F.col("content"), F.col("translated")).alias("request"),
         )
     places = aligned_windows(F.col("content"), F.col("translated"), style.review_window)
     cut = lambda w, text, side: F.substring(text, w[f"{side}_start"] + 1, w[f"{side}_chars"])
     texts = lambda w, i: F.struct(i.cast("long").alias("part"), cut(w, "content", "a").alias("original"), cut(w, "translated", "b").alias("translated"))
-    placed = both.withColumn("_places", places).withColumn("_parts", F.transform("_places", texts))
-    parts = placed.drop("content", "translated", "_places").select("*", F.inline("_parts")).drop("_parts")
-    return parts.select(
-        "order_id", "language", "part", "translated",
+    placed = both.withColumn("_places", places).withColumn("parts", F.size("_places").cast("long")).withColumn("_parts", F.transform("_places", texts))
+    each = placed.drop("content", "translated", "_places").select("*", F.inline("_parts")).drop("_parts")
+    return each.select(
+        "order_id", "language", "part", "parts", "translated",
         editorial_json_text(style, F.col("original"), F.col("translated")).alias("request"),
     )

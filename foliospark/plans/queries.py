@@ -385,9 +385,9 @@ def stub_edit(batch: pd.DataFrame) -> list:
 def two_pass_inference(spark, d):
     orders = fx.order_inputs(spark, d, customers=True)
     folder = fresh_dir(spark, "inference")
-    inference.run_two_pass(orders, fx.originals(spark, d), folder, stub_translate, stub_edit, slices=2)
+    inference.run_two_pass(orders, fx.originals(spark, d), folder, stub_translate, stub_edit)
     # The same call again finds everything stored and asks for nothing.
-    files = inference.run_two_pass(orders, fx.originals(spark, d), folder, stub_translate, stub_edit, slices=2)
+    files = inference.run_two_pass(orders, fx.originals(spark, d), folder, stub_translate, stub_edit)
     return files.select(
         "order_id", "language", digest("original_content").alias("translated_md5"),
         F.when(F.col("language") != "pt", F.col("content")).alias("edited"),

@@ -8,7 +8,6 @@ row, and readers fold by key.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,18 +38,6 @@ def read(spark: SparkSession, folder: str, ddl: str, by: str = "run_id", keep: b
     return rows if keep else rows.drop(by)
 
 
-def append_attempt(rows: DataFrame, folder: str) -> None:
-    """Add rows in a folder of their own, named at random, so that no attempt ever replaces another one's."""
-    rows.write.parquet(f"{folder}/attempt={uuid.uuid4().hex}")
-
-
-def read_attempts(spark: SparkSession, folder: str, ddl: str, keys: tuple[str, ...]) -> DataFrame:
-    """All attempts, one row per key. An attempt that broke off left no committed files."""
-    empty = f"{folder}/attempt=none"
-    spark.createDataFrame([], ddl).write.mode("ignore").parquet(empty)
-    return spark.read.schema(f"{ddl}, attempt string").parquet(folder).drop("attempt").dropDuplicates(list(keys))
-
-
 def write_files_by_language(files: DataFrame, folder: str, run_id: int) -> None:
     """Finished translations, partitioned by language so a delivery for one language reads only it."""
     write_run(files, folder, run_id, partition_by=("language",))

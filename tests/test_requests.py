@@ -85,23 +85,26 @@ def improve(batch):
 def test_two_pass_runs_once(spark, folder):
     orders, originals, _ = tables(spark)
     out = f"{folder}/run"
-    files = {(r.order_id, r.language): r for r in inference.run_two_pass(orders, originals, out, bracket, improve, slices=2).collect()}
+    files = {(r.order_id, r.language): r for r in inference.run_two_pass(orders, originals, out, bracket, improve).collect()}
     assert set(files) == {(1, "es"), (1, "fr"), (2, "de"), (7, "pt")}
     assert files[1, "es"].content == "[[ORIGINAL: a]]b" and files[1, "es"].original_content == "<short text>"
     assert files[1, "fr"].content == files[1, "fr"].original_content == "<short text>"
     # The same call again asks for nothing and changes nothing.
-    again = inference.run_two_pass(orders, originals, out, must_not_run, must_not_run, slices=1)
+    again = inference.run_two_pass(orders, originals, out, must_not_run, must_not_run)
+    assert inference.failed_requests(spark, out).count() == 0
     assert {(r.order_id, r.language): r for r in again.collect()} == files
 
 
-def counted(calls, answer, fails=()):
-    """A model that notes every request in a file of its own, and breaks off on some orders' books."""
+def counted(calls, answer, fails=(), how="kill"):
+    """A model that notes every request in a file of its own, and fails on some orders' books or takes its process with it."""
 
     def run(batch):
         out = answer(batch)
         for request in batch["request"]:
             if any(word in request for word in fails):
-                raise RuntimeError("broken off")
+                if how == "kill":
+                    os._exit(1)
+                raise RuntimeError("no answer")
         for request in batch["request"]:
             with open(f"{calls}/{uuid.uuid4().hex}", "w") as f:
                 f.write(request)
@@ -110,27 +113,62 @@ def counted(calls, answer, fails=()):
     return run
 
 
+@pytest.fixture()
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    yield
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+
+
 @pytest.mark.parametrize("failing", ["first", "second"])
-def test_two_pass_resumes_after_a_crash(spark, folder, failing):
+def test_a_killed_task_loses_its_open_batch_only(spark, folder, small_batches, failing):
     orders, originals, _ = tables(spark)
     calls, again, out = f"{folder}/calls", f"{folder}/again", f"{folder}/run"
     os.mkdir(calls)
     os.mkdir(again)
-    # The last slice with a ready order breaks off; those before it are stored.
-    slices = {n: spark.sql(f"select pmod(xxhash64({n}L), 4)").first()[0] for n in (1, 2, 7)}
-    assert len(set(slices.values())) > 1
-    last = max(slices, key=slices.get)
-    word = f"Title: T{last}" if failing == "first" else {1: "<short text>", 2: f"<{LONG[:40]}", 7: "<x>"}[last]
-    broken = counted(calls, bracket if failing == "first" else improve, fails=[word])
+    word = "Title: T2" if failing == "first" else f"<{LONG[:40]}"
+    broken = counted(calls, bracket if failing == "first" else improve, [word])
     first, second = (broken, counted(calls, improve)) if failing == "first" else (counted(calls, bracket), broken)
-    with pytest.raises(Exception, match="broken off"):
-        inference.run_two_pass(orders, originals, out, first, second, slices=4)
-    stored = sum(spark.read.parquet(f"{out}/{name}/attempt=*").count() for name in ("translated", "files") if os.path.exists(f"{out}/{name}"))
-    files = inference.run_two_pass(orders, originals, out, counted(again, bracket), counted(again, improve), slices=4)
+    with pytest.raises(Exception, match="(?i)crash|exited|worker|EOF"):
+        inference.run_two_pass(orders, originals, out, first, second)
+    stored = sum(spark.read.parquet(f"{out}/{name}").count() for name in ("translated", "files") if os.path.exists(f"{out}/{name}") and os.listdir(f"{out}/{name}"))
+    files = inference.run_two_pass(orders, originals, out, counted(again, bracket), counted(again, improve))
     assert files.count() == 4
-    # Four languages, two passes; nothing that a slice has stored is asked for again.
-    assert 0 < stored < 8 and len(os.listdir(again)) == 8 - stored
-    assert inference.run_two_pass(orders, originals, out, must_not_run, must_not_run, slices=1).count() == 4
+    # Four languages, two passes: what had been answered is stored and not asked for again.
+    assert len(os.listdir(calls)) == stored and len(os.listdir(again)) == 8 - stored
+    assert stored >= (0 if failing == "first" else 4)
+    inference.run_two_pass(orders, originals, out, must_not_run, must_not_run).count()
+    assert inference.failed_requests(spark, out).count() == 0
+
+
+def test_a_failed_request_is_a_row_with_its_reason(spark, folder):
+    orders, originals, _ = tables(spark)
+    out, calls = f"{folder}/run", f"{folder}/calls"
+    os.mkdir(calls)
+    fails = counted(calls, bracket, ["Title: T2"], "raise")
+    files = inference.run_two_pass(orders, originals, out, fails, improve)
+    assert {(r.order_id, r.language) for r in files.collect()} == {(1, "es"), (1, "fr"), (7, "pt")}
+    failed = inference.failed_requests(spark, out).collect()
+    assert [(r["pass"], r.order_id, r.language, r.part, r.reason) for r in failed] == [("translated", 2, "de", 0, "RuntimeError: no answer")]
+    files = inference.run_two_pass(orders, originals, out, bracket, improve)
+    assert files.count() == 4 and inference.failed_requests(spark, out).count() == 0
+
+
+def test_a_book_answered_in_part(spark, folder, small_batches):
+    """Only the windows that are missing are asked for, and a row stored twice counts once."""
+    orders, originals, _ = tables(spark)
+    out, calls = f"{folder}/run", f"{folder}/calls"
+    os.mkdir(calls)
+    only = counted(calls, bracket, ["Manuscript:\n" + LONG[100000:100003]], "raise")  # the last of three windows fails
+    inference.run_two_pass(orders, originals, out, only, improve, rq.WINDOWED).count()
+    n = len(os.listdir(calls))
+    stored = spark.read.parquet(f"{out}/translated").filter("order_id = 2 and error is null")
+    assert stored.count() == 2
+    stored.coalesce(1).write.mode("append").parquet(f"{out}/translated")
+    files = inference.run_two_pass(orders, originals, out, counted(calls, bracket), improve, rq.WINDOWED)
+    long = files.filter("order_id = 2").first()
+    assert len(os.listdir(calls)) == n + 1
+    assert long.original_content == f"<{LONG[:50000]}><{LONG[50000:100000]}><{LONG[100000:]}>"
 
 
 def test_empty_books_are_not_sent(spark):
@@ -151,7 +189,7 @@ def test_windowed_two_pass(spark, folder):
             answers.append([{"type": "text", "text": json.dumps({"editedText": part + "!", "changes": [change]})}])
         return answers
 
-    files = {(r.order_id, r.language): r for r in inference.run_two_pass(orders, originals, f"{folder}/w", bracket, explain, rq.WINDOWED, slices=1).collect()}
+    files = {(r.order_id, r.language): r for r in inference.run_two_pass(orders, originals, f"{folder}/w", bracket, explain, rq.WINDOWED).collect()}
     long = files[2, "de"]
     assert long.original_content == f"<{LONG[:50000]}><{LONG[50000:100000]}><{LONG[100000:]}>"
     assert long.content.replace("!", "") == long.original_content and len(long.changes) == 5
