@@ -535,6 +535,22 @@ oracle("delivery_resolve", "select order_id, language, requests, outcome, copies
 oracle("delivery_manifest", f"""
 select order_id, language, file_id, book_title || '_' || coalesce({name_of('language')}, language) || '.txt' as file_name,
   outcome = 'ambiguous' as duplicated, {t('created_at')} as created_at from resolved where outcome in ('ok', 'ambiguous')""")
+oracle("delivered_documents", f"""
+select order_id, language, file_name, cast(strlen(content) as bigint) as bytes, md5(content) as content_md5
+from (select r.order_id, r.language, r.book_title || '_' || coalesce({name_of('r.language')}, r.language) || '.txt' as file_name,
+    repeat('Überarbeitet: ' || replace(r.file_id, '-', ' ') || chr(10), cast(split_part(r.file_id, '-', 2) as int) + 1) as content
+  from resolved r where outcome in ('ok', 'ambiguous'))""")
+_CHANGED = """
+(select * replace (case when order_id % 40 > 2 then status when status = 'pending' then 'processing' when status = 'processing' then 'completed' else 'failed' end as status)
+ from order_inputs where not (order_id % 40 <= 2 and order_id % 3 = 0))"""
+oracle("kept_orders_by_status", f"""
+select status, count(*) as orders, cast(sum(amount_paid) as double) as revenue, {t('min(created_at)')} as oldest, {t('max(created_at)')} as newest from {_CHANGED} group by 1""")
+oracle("kept_recent_orders", f"""
+select order_id, book_title, status, cast(amount_paid as double) as amount_paid, {t('created_at')} as created_at
+from {_CHANGED} order by created_at desc, order_id limit 100""")
+oracle("manuscript_files", f"""
+select source, lang, cast(sum(strlen(replace(text, chr(10), ' ')) + 1) as bigint) as size_bytes,
+  cast(sum({words("replace(text, chr(10), ' ')")}) as bigint) as words from documents group by 1, 2""")
 oracle("order_lookup", """
 select a.order_id, requests, case when k.order_id is null then 0 else 1 end::bigint as matches,
   case when k.order_id is null then 'missing' else 'found' end as outcome
@@ -574,6 +590,7 @@ select *, cast(no_email::int + no_title::int + no_language::int + repeated_langu
 from (select order_id, order_id % 11 = 0 as no_email, priority = '1-URGENT' as no_title, n = 0 as no_language,
   order_id % 7 = 0 and n > 0 as repeated_language, order_id % 13 = 0 and n > 0 as unknown_language, order_id % 17 = 0 as repeated_addon,
   order_id % 19 = 0 as bad_format from customers)""")
+ORACLES["cascade_rewrite"] = ORACLES["cascade_delete"]
 oracle("orders_by_status", f"""
 select status, count(*) as orders, cast(sum(amount_paid) as double) as revenue, {t('min(created_at)')} as oldest, {t('max(created_at)')} as newest
 from order_inputs group by 1""")
@@ -604,7 +621,7 @@ select order_id, 'improvement_notice' as kind, email as recipient, 'Your transla
   string_agg(language_name || '=https://books.example.com/download/' || order_id || '/' || language, ';' order by language) as links,
   string_agg(language_name || ': ' || improvements || ' improvements', chr(10) order by language) as summary, cast(sum(improvements) as bigint) as improvements
 from called join customers using (order_id) group by all)""")
-oracle("rejected_events_from_files", ORACLES["rejected_events"])
+ORACLES["rejected_events_from_files"] = ORACLES["rejected_events"]
 oracle("strategy_requests", """
 select doc_id, language, case when market is null then 'unknown_market' end as reason,
   cast(length(r) as bigint) as request_chars, md5(r) as request_md5

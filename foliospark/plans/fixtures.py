@@ -114,6 +114,16 @@ def file_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def file_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Contents of the files of ``file_rows``: the line's comment for a few times, and a first pass."""
+    li = table(spark, d, "lineitem")
+    parts = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    line = F.concat(F.lit("Überarbeitet: "), F.concat_ws(" ", *parts), F.lit("\n"))
+    return li.select(
+        F.concat_ws("-", *parts).alias("file_id"), F.repeat(line, (F.col("l_linenumber") + 1).cast("int")).alias("content"), line.alias("original_content")
+    )
+
+
 def originals(spark: SparkSession, d: str) -> DataFrame:
     """Staged manuscripts as original files; every fourth order has two, so the look-up is ambiguous."""
     staged = intake(manuscripts(spark, d))

@@ -9,11 +9,12 @@ from pyspark.sql import types as T
 
 from foliospark.functions.text import word_count
 from foliospark.operators import (
-    checkout, delivery, editorial, inference, intake, launch, outbox, payments, pricing, quality, reports,
+    checkout, delivery, editorial, inference, intake, kept, launch, outbox, payments, pricing, quality, reports,
     requests, retention, selection, status, vouchers,
 )
 from foliospark.plans import fixtures as fx
 from foliospark.session import fresh_dir
+from foliospark.sinks import clustered, shards
 from foliospark.sources import manuscripts
 from foliospark.sources.events import read_bodies
 from foliospark.sources.tables import table
@@ -76,6 +77,19 @@ def word_counts(spark, d):
     return rows.select("session_id", "extension", "title", "word_count")
 
 
+@query
+def manuscript_files(spark, d):
+    """Words of whole text files: the documents of each source and language are files of a book, written and read back."""
+    folder = fresh_dir(spark, "manuscripts")
+    docs = table(spark, d, "documents").select("source", "lang", F.translate("text", "\n", " ").alias("value"))
+    docs.repartition("source", "lang").write.partitionBy("source", "lang").text(folder)
+    rows = manuscripts.read_text(spark, f"{folder}/*/*")
+    place = F.regexp_extract("path", r"/source=([^/]*)/lang=([^/]*)/[^/]*$", 0)
+    named = rows.select(F.regexp_extract(place, "/source=([^/]*)/", 1).alias("source"), F.regexp_extract(place, "/lang=([^/]*)/", 1).alias("lang"),
+                        "size_bytes", word_count("content").alias("words"))
+    return named.groupBy("source", "lang").agg(F.sum("size_bytes").alias("size_bytes"), F.sum("words").alias("words"))
+
+
 @query
 def book_word_totals(spark, d):
     return books(spark, d)
@@ -576,6 +590,17 @@ def delivery_manifest(spark, d):
     return delivery.manifest(resolved(spark, d))
 
 
+@query
+def delivered_documents(spark, d):
+    """The texts of all files that can be delivered, exported as shards and read back by their places."""
+    folder = fresh_dir(spark, "documents")
+    texts = delivery.deliver(delivery.manifest(resolved(spark, d)), fx.file_texts(spark, d))
+    shards.export(texts, folder, "content", "order_id", "language", "file_name", shard_bytes=1 << 20)
+    index = shards.read_index(spark, folder, "order_id bigint, language string, file_name string")
+    rows = shards.read_texts(index.repartition("shard").sortWithinPartitions("shard", "start"), folder)
+    return rows.select("order_id", "language", "file_name", "bytes", digest("content").alias("content_md5"))
+
+
 @query
 def order_lookup(spark, d):
     orders = retention.kept_orders(fx.order_inputs(spark, d), fx.ORDERS_AS_OF)
@@ -623,6 +648,17 @@ def removed_by_cascade(spark, d):
     return rows.groupBy("language").agg(F.count("*").alias("files"), F.max("created_at").alias("newest"))
 
 
+@query
+def cascade_rewrite(spark, d):
+    """What ``cascade_delete`` leaves, from a stored table of which only the files with due orders were written again."""
+    folder = fresh_dir(spark, "files")
+    rows = fx.file_rows(spark, d)
+    clustered.create(rows, folder, "order_id")
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    state, _ = clustered.delete(spark, folder, ddl, "order_id", deleted_orders(spark, d))
+    return state.read(spark, ddl)
+
+
 @query
 def dq_orders(spark, d):
     """Quality flags on all order rows; every flag is true somewhere."""
@@ -649,6 +685,29 @@ def orders_by_status(spark, d):
     return reports.orders_by_status(fx.order_inputs(spark, d))
 
 
+def changed_orders(spark, d) -> str:
+    """Kept reports after three sets of changes: some orders go on a step, some are deleted; returns their folder."""
+    folder = fresh_dir(spark, "kept")
+    orders = fx.order_inputs(spark, d).select(*kept.COLUMNS)
+    kept.create(orders, folder, 16, RECENT)
+    step = F.when(F.col("status") == "pending", "processing").when(F.col("status") == "processing", "completed").otherwise("failed")
+    for k in range(3):
+        some = orders.filter(F.col("order_id") % 40 == k).withColumn("status", step)
+        kept.apply(some.withColumn("deleted", F.col("order_id") % 3 == 0), folder, 16, RECENT)
+    return folder
+
+
+@query
+def kept_orders_by_status(spark, d):
+    return kept.orders_by_status(spark, changed_orders(spark, d))
+
+
+@query
+def kept_recent_orders(spark, d):
+    rows = kept.recent_orders(spark, changed_orders(spark, d), RECENT)
+    return rows.select("order_id", "book_title", "status", "amount_paid", "created_at")
+
+
 @query
 def orders_by_email(spark, d):
     return reports.orders_by_email(fx.order_inputs(spark, d, customers=True))

@@ -6,7 +6,7 @@ import pytest
 
 from foliospark.plans.queries import QUERIES
 
-STREAMS = {"orders_stream", "pending_work_stream", "live_uploads_stream", "staged_stream", "status_stream", "two_pass_inference"}
+STREAMS = {"cascade_rewrite", "delivered_documents", "kept_orders_by_status", "kept_recent_orders", "manuscript_files", "orders_stream", "pending_work_stream", "live_uploads_stream", "staged_stream", "status_stream", "two_pass_inference"}
 PYTHON = {"docx_bulk_extract"}
 LENGTHS = {"windowed_reviews", "structure_losses"}  # only arrays of lengths go to Python
 TEXT_FREE = ("pending_languages", "request_blockers", "original_lookup", "delivery_resolve", "delivery_manifest", "results_by_order")
