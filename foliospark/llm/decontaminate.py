@@ -1,23 +1,23 @@
-"""Benchmark decontamination: SimHash windows, a multi-index over Hamming blocks, exact verification.
+"""Benchmark decontamination: SimHash of item-sized windows, a multi-index over Hamming blocks, exact verification.
 
 Words are runs of ASCII letters and digits and of characters beyond ASCII, in lower case; shingles are
 five words. A document matches an item when a stretch of it holds shingles of the item with at
-least ``SIMILARITY`` of the item's weight (a shingle weighs more the fewer items have it).
+least ``SIMILARITY`` of the item's weight. A shingle weighs more the fewer items of the whole benchmark have it; the weights
+are counted once by Spark, whatever the number of passes.
 
-Windows. An item registers the SimHash of windows of ``window_size`` shingles, a document is searched with all
-of its windows of that size. What a match surely keeps whole is one shingle: an inserted word costs four, a word
-said twice three, four words said twice none, and light shingles may go in any number. So windows hold one
-shingle, and an item registers its heaviest ones, until what is left weighs less than a match must hold. A match
-has one of them, whatever is damaged.
+Windows. An item has one fingerprint, the weighted SimHash of its shingles. A document is searched with all of its windows
+as long as an item; one that holds no shingle of the benchmark can't match and is left out.
 
-Index. A fingerprint is cut into ``BLOCKS`` blocks; two within ``RADIUS`` bits differ in at most
-RADIUS // BLOCKS bits in one of them. All values that near are listed per block, so every window within
-the radius of a registered one is found (an undamaged window is found at distance zero).
+Index. A fingerprint is cut into ``BLOCKS``; two within ``RADIUS`` bits differ in at most RADIUS // blocks bits in one of them.
+All values that near are listed per block, so every window within the radius of an item is found. At a similarity of
+0.8 about a fifth of the bits differ, with a spread of three; the radius lies three spreads above (measured in the tests: 0.99 and more
+of the matches). As bits can't promise a match, an exact supplement adds the places of each item's heaviest shingles, of which no match
+can lack all; so all matches are found. Candidates are verified on the shingles.
 
 Items go to the tasks ``ITEMS`` at a time, which bounds the broadcast; a larger benchmark takes more
-passes over the documents, and their hits are joined by document.
+passes over the documents, and their hits are joined by document. The results don't depend on the passes.
 
-Defined cases: null and empty texts have no words and match nothing; items without words are left out.
+Defined cases: null and empty texts have no words and match nothing; items without words or without an id are left out.
 A text or item with fewer than five words has one shingle, the whole sequence, so such an item matches
 only documents that consist of it. Repeated items are reported each. Repeated rows get equal answers.
 """
@@ -39,10 +39,11 @@ from foliospark.llm.common import mix, powers, stored
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 5
-BLOCKS = (22, 21, 21)
+RADIUS = 23
+BLOCKS = (8,) * 8
 ITEMS = 2_000
 PIECE = 1 << 18  # characters searched at once
+CHUNK = 1 << 12  # windows with their sums of bits
 HITS = "array<struct<item_id:bigint,similarity:double>>"
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -52,11 +53,6 @@ IN_WORD = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
 
 
-def window_size(shingles: int) -> int:
-    """Size of the windows of an item: what any match holds undamaged."""
-    return min(1, shingles)
-
-
 def registered(counts: Counter, weights: dict[int, float]) -> set[int]:
     """The heaviest shingles of an item that a match can't all lack."""
     held = sorted(((n * weights[h], h) for h, n in counts.items()), reverse=True)
@@ -102,29 +98,26 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.bincount(belongs, minlength=len(texts))
 
 
-class Windows:
-    """SimHashes of all windows over a run of hashes. Sums of bits come from sums over powers of two."""
+def simhashes(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of the windows of ``size`` hashes: the bits that more than half of a window's weight has."""
+    signs = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64) * 2 - 1
+    sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(signs * weights[:, None], axis=0)])
+    return np.packbits(sums[starts + size] - sums[starts] > 0, axis=1).view(">u8").ravel().astype(U)
 
-    def __init__(self, hashes: np.ndarray):
-        self.sums = {1: np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)}
 
-    def doubled(self, size: int) -> np.ndarray:
-        if size not in self.sums:
-            half = self.doubled(size // 2)
-            if size == 256:
-                half = half.astype(np.uint16)
-            self.sums[size] = half[size // 2 :] + half[: -(size // 2)]
-        return self.sums[size]
+def whole_weight(weight: float | np.ndarray) -> np.ndarray:
+    """Weights as whole numbers, so that sums of bits are exact."""
+    return np.maximum(1, np.rint(np.asarray(weight) * 64)).astype(np.int64)
 
-    def prints(self, size: int) -> np.ndarray:
-        """Fingerprint of each window of ``size`` hashes: the bits that more than half of them have."""
-        n, at, ones = len(self.sums[1]) - size + 1, 0, None
-        for k in reversed(range(size.bit_length())):
-            if size >> k & 1:
-                part = self.doubled(1 << k)[at : at + n]
-                ones = part if ones is None else ones + part
-                at += 1 << k
-        return np.packbits(ones > size // 2, axis=1).view(">u8").ravel().astype(U)
+
+def starts_around(places: np.ndarray, first: np.ndarray, last: np.ndarray, size: int, total: int) -> np.ndarray:
+    """Starts of the windows that hold one of some places and lie in its text, first..last. A shorter text is one window."""
+    low, high = np.maximum(first, places - size + 1), np.minimum(places, last - size)
+    marks = np.zeros(total + 1, np.int64)
+    fits = high >= low
+    np.add.at(marks, low[fits], 1)
+    np.add.at(marks, high[fits] + 1, -1)
+    return np.flatnonzero(np.cumsum(marks[:-1]) > 0)
 
 
 def blocks(values: np.ndarray) -> list[np.ndarray]:
@@ -136,72 +129,95 @@ def blocks(values: np.ndarray) -> list[np.ndarray]:
 
 
 class Index:
-    """The windows of some items, by size, each size with its block tables."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        hashes, counts = shingles([t for _, t in items])
-        ends = np.cumsum(counts)
-        self.ids = [i for i, _ in items]
-        self.shingles = [hashes[e - c : e] for e, c in zip(ends, counts)]
-        have = Counter(h for own in self.shingles for h in set(own.tolist()))
-        self.weights = {h: float(np.log1p(len(items) / n)) for h, n in have.items()}
+    """Some items of a benchmark of ``total`` items: their fingerprints by size, each size with its block tables."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], total: int):
+        """items: (item_id, hashes of its shingles, number of items that have each)."""
+        self.ids = [i for i, _, _ in items]
+        self.shingles = [h for _, h, _ in items]
+        self.weights = {h: float(np.log1p(total / n)) for _, hashes, often in items for h, n in zip(hashes.tolist(), often.tolist())}
+        self.rare = float(np.log1p(total))  # the weight of a shingle that no item has
         self.counts = [Counter(own.tolist()) for own in self.shingles]
         self.totals = [sum(n * self.weights[h] for h, n in c.items()) for c in self.counts]
+        self.known = np.array(sorted(self.weights), U)
+        self.known_weights = np.array([self.weights[h] for h in self.known.tolist()])
         by_size: dict[int, list] = {}
+        heavy: list[tuple[int, int, int]] = []
         for k, own in enumerate(self.shingles):
             if len(own):
-                size = window_size(len(own))
-                prints, some = Windows(own).prints(size), registered(self.counts[k], self.weights)
-                at = np.flatnonzero([h in some for h in own.tolist()])
-                by_size.setdefault(size, []).append((prints[at], np.full(len(at), k), at))
+                by_size.setdefault(len(own), []).append(k)
+                some = registered(self.counts[k], self.weights)
+                heavy += [(h, k, at) for at, h in enumerate(own.tolist()) if h in some]
+        heavy.sort()
+        self.heavy = tuple(np.array([x[i] for x in heavy], U if not i else np.int64) for i in range(3))
         self.sizes = {}
-        for size, found in by_size.items():
-            prints, item, offset = (np.concatenate(x) for x in zip(*found))
+        for size, which in by_size.items():
+            prints = np.concatenate([simhashes(self.shingles[k], whole_weight([self.weights[h] for h in self.shingles[k].tolist()]), np.zeros(1, np.int64), size) for k in which])
             tables = []
             for own, width in zip(blocks(prints), BLOCKS):
                 flips = [sum(1 << b for b in f) for e in range(RADIUS // len(BLOCKS) + 1) for f in combinations(range(width), e)]
                 near = (own[:, None] ^ np.array(flips)).ravel()
-                which = np.repeat(np.arange(len(own)), len(flips))
+                held = np.repeat(np.arange(len(own)), len(flips))
                 order = np.argsort(near, kind="stable")
-                near, which = near[order], which[order]
-                there = np.zeros(1 << width, bool)
-                there[near] = True
-                tables.append((there, near, which))
-            self.sizes[size] = (prints, item, offset, tables)
-
-    def candidates(self, windows_of: Windows, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, registered window) for every two within the radius."""
-        prints, _, _, tables = self.sizes[size]
-        own = windows_of.prints(size)
-        windows, others = [], []
-        for value, (there, near, which) in zip(blocks(own), tables):
-            at = np.flatnonzero(there[value])
-            low, high = np.searchsorted(near, value[at], "left"), np.searchsorted(near, value[at], "right")
+                tables.append((near[order], held[order]))
+            self.sizes[size] = (prints, np.array(which), tables)
+
+    def candidates(self, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item of this size) for every two within the radius, each once."""
+        prints, _, tables = self.sizes[size]
+        pairs = []
+        for value, (near, held) in zip(blocks(own), tables):
+            low, high = np.searchsorted(near, value, "left"), np.searchsorted(near, value, "right")
             n = high - low
-            w = np.repeat(at, n)
-            o = which[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            w = np.repeat(np.arange(len(own)), n)
+            o = held[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             ok = np.bitwise_count(own[w] ^ prints[o]) <= RADIUS
-            windows.append(w[ok])
-            others.append(o[ok])
-        return np.concatenate(windows), np.concatenate(others)
+            pairs.append(w[ok] * len(prints) + o[ok])
+        each = np.unique(np.concatenate(pairs))
+        return each // len(prints), each % len(prints)
+
+    def by_windows(self, hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """(item, start) of the windows whose fingerprint is near an item's. first, last: where each hash's text lies."""
+        if not len(self.known):
+            return []
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        is_known = self.known[at] == hashes
+        places = np.flatnonzero(is_known)
+        weights = whole_weight(np.where(is_known, self.known_weights[at], self.rare))
+        out = []
+        for size, (_, which, _) in self.sizes.items() if len(places) else ():
+            starts = starts_around(places, first[places], last[places], size, len(hashes))
+            for a in range(0, len(starts), CHUNK):  # a run of windows at a time bounds the sums
+                some = starts[a : a + CHUNK]
+                low, high = some[0], some[-1] + size
+                w, o = self.candidates(simhashes(hashes[low:high], weights[low:high], some - low, size), size)
+                out.append(np.stack([which[o], some[w]], 1))
+        return out
+
+    def by_shingles(self, hashes: np.ndarray) -> list[np.ndarray]:
+        """(item, start) by the items' heaviest shingles: the exact supplement."""
+        value, item, offset = self.heavy
+        low, high = np.searchsorted(value, hashes, "left"), np.searchsorted(value, hashes, "right")
+        n = high - low
+        w = np.repeat(np.arange(len(hashes)), n)
+        o = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return [np.stack([item[o], w - offset[o], w], 1)]
 
-    def search(self, texts: list[str]) -> list[dict[int, float]]:
-        """For each text its items (positions) with their similarity, where it reaches SIMILARITY."""
+    def search(self, texts: list[str], exact: bool = True) -> list[dict[int, float]]:
+        """For each text its items (positions) with their similarity, where it reaches SIMILARITY.
+
+        Without ``exact`` the fingerprints alone give the candidates.
+        """
         hashes, counts = shingles(texts)
         out = [{} for _ in texts]
         if not len(hashes):
             return out
-        ends, windows = np.cumsum(counts), Windows(hashes)
+        ends = np.cumsum(counts)
         owner = np.repeat(np.arange(len(texts)), counts)
-        places = []
-        for size in self.sizes:
-            if size > len(hashes):
-                continue
-            _, item, offset, _ = self.sizes[size]
-            w, o = self.candidates(windows, size)
-            inside = owner[w] == owner[w + size - 1]
-            w, o = w[inside], o[inside]
-            places.append(np.stack([owner[w], item[o], w - offset[o]], 1))
+        first, last = (ends - counts)[owner], ends[owner]
+        places = [np.concatenate([owner[p[:, 1]][:, None], p], 1) for p in self.by_windows(hashes, first, last)]
+        if exact:
+            places += [np.stack([owner[p[:, 2]], p[:, 0], p[:, 1]], 1) for p in self.by_shingles(hashes)]
         if not places:
             return out
         for doc, k, at in np.unique(np.concatenate(places), axis=0).tolist():
@@ -235,16 +251,35 @@ def hits(spark, index: Index):
     return find
 
 
+def weighed(benchmark: DataFrame) -> DataFrame:
+    """(uid, item_id, hashes, often): the shingles of every item in order, each with the number of items that have it."""
+    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hashes, counts = shingles(texts := common.strings(batch["text"]))
+            each = np.split(hashes.view(np.int64), np.cumsum(counts)[:-1]) if len(texts) else []
+            yield pd.DataFrame({"item_id": batch["item_id"], "hashes": each})
+
+    items = rows.mapInPandas(cut, "item_id bigint, hashes array<bigint>").where(F.size("hashes") > 0)
+    items = stored(items.withColumn("uid", F.monotonically_increasing_id()), "benchmark-items")
+    often = items.select("uid", F.explode("hashes").alias("h")).distinct().groupBy("h").agg(F.count("*").alias("n"))
+    each = items.select("uid", F.posexplode("hashes").alias("at", "h")).join(often, "h")
+    own = each.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("own"))  # as long as one item
+    return stored(items.join(own, "uid").select("uid", "item_id", "hashes", F.col("own.n").alias("often")), "benchmark-weights")
+
+
 def indexes(benchmark: DataFrame, items: int = ITEMS) -> Iterator[Index]:
     """Indexes of at most ``items`` items each; the driver holds one of them at a time."""
-    some = []
-    for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
-        some.append((row[0], row[1]))
+    rows = weighed(benchmark)
+    total, some = rows.count(), []
+    for row in rows.select("item_id", "hashes", "often").toLocalIterator():
+        some.append((row[0], np.array(row[1], np.int64).view(U), np.array(row[2], np.int64)))
         if len(some) == items:
-            yield Index(some)
+            yield Index(some, total)
             some = []
     if some:
-        yield Index(some)
+        yield Index(some, total)
 
 
 def found(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:

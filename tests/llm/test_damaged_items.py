@@ -3,13 +3,15 @@
 import random
 from collections import Counter
 
+from test_decontaminate import index_of
+
 from foliospark.llm import decontaminate as m
 
 
 def test_every_damage_at_every_length():
     rnd = random.Random(7)
     items = [(n, " ".join(f"q{rnd.randrange(9999)}" for _ in range(n + 4))) for n in range(1, 90)]
-    index = m.Index(items)
+    index = index_of([t for _, t in items])
     texts, pairs = [], []
     for k, (n, text) in enumerate(items):
         for kind in "idrt":
@@ -36,6 +38,13 @@ def test_every_damage_at_every_length():
         if (k in got) != (round(share, 12) >= m.SIMILARITY):
             missed.append((n, share))
     assert hits > 300 and not missed, missed
+    # The fingerprints alone, by length and by kind of damage: 0.9 and more.
+    alone = index.search(texts, exact=False)
+    for part in [range(0, 10), range(10, 20), range(20, 40), range(40, 90)]:
+        for kind in range(4):
+            of = [i for i, (k, n) in enumerate(pairs) if n in part and i // 3 % 4 == kind and k in found[i]]
+            near = sum(pairs[i][0] in alone[i] for i in of)
+            assert near >= 0.9 * len(of), (part, kind, near, len(of))
 
 
 def test_light_shingles_may_go():
@@ -44,7 +53,7 @@ def test_light_shingles_may_go():
     words = items[0][1].split()
     for at in range(62, 100, 4):
         words[at] = "gone"
-    index = m.Index(items)
+    index = index_of([t for _, t in items])
     here = Counter(m.shingles([" ".join(words)])[0].tolist())
     share = sum(min(c, here[h]) * index.weights[h] for h, c in index.counts[0].items()) / index.totals[0]
     assert share >= m.SIMILARITY and set(index.search([" ".join(words)])[0]) == {0}
