@@ -11,9 +11,13 @@ in the template's order (that of their mean places); a page's token out of order
 
 Extraction. Text nodes of the template go. Of the others, those in slots of the article remain: the ``article``
 elements, else ``main``, else the smallest element with ``MOST`` of what is left. Elements whose name, role, class or
-id marks menus, headers, footers, sidebars, notices, adverts, forms and reader comments are no part of it.
-Headings in the header of an article are. A host with fewer than ``PAGES`` different pages
-has no text template; there only elements decide.
+id marks menus, headers, footers, sidebars, notices, adverts, forms and reader comments are no part of it. A class or
+id counts as a whole, or as such a name with a word for its place or its box (``site-header``, ``comment-list``);
+``has-sidebar``, ``no-comments`` or ``related-work`` mark nothing. An article in a form or in an element with such a
+class is an article all the same, but not one among reader comments or in a menu, sidebar or footer.
+Headings in the header of an article are part of it. A host with fewer than ``PAGES`` different pages
+has no text template, and pages without a host have none: with nine pages, nine tenths of them are all of them, so one page
+that lacks a token would decide. There only elements decide.
 
 Defined cases: a null or empty html has an empty text. Unclosed and stray tags, comments, raw script text and pages
 that end inside a tag are read as browsers do, roughly. Rows with equal ids are separate pages. An empty table
@@ -47,7 +51,7 @@ MASK = (1 << 63) - 1
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-NAME = re.compile(r"[a-z]+")
+NAME = re.compile(r"[a-z]+")  # of a path: numbers in classes and ids differ from page to page
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
@@ -59,38 +63,48 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ASIDE_TAGS = {"aside", "button", "canvas", "datalist", "dialog", "footer", "form", "head", "input", "label", "menu", "nav", "object", "option", "select", "svg"}
 ASIDE_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search"}
-ASIDE_NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
-    "disclaimer", "disqus", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices",
-    "notification", "pager", "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social",
+PLACE_WORDS = "site|page|main|global|top|bottom|left|right|primary|secondary|sticky|mobile|user|reader|blog|cookie|newsletter|social|google"
+BOX_WORDS = "area|bar|banner|block|box|container|content|form|inner|item|link|links|list|menu|message|panel|popup|section|slot|thread|top|unit|widget|wrap|wrapper"
+COMMENT_NAMES = {"comment", "comments", "replies", "respond", "disqus"}
+ASIDE_NAMES = COMMENT_NAMES | {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "consent", "cookie", "cookies",
+    "disclaimer", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices",
+    "notification", "pager", "pagination", "popup", "promo", "promotion", "related", "search", "share", "sharing", "sidebar", "signup", "social",
     "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget",
 }
 
 
+MARKED = re.compile(rf"(?:(?:{PLACE_WORDS})[-_]+)?({'|'.join(sorted(ASIDE_NAMES, key=len, reverse=True))})(?:[-_]+(?:{BOX_WORDS}|[0-9]+))*")
+
+
+def marked_by(names: str) -> str | None:
+    """The aside's name among classes and ids, comments first."""
+    found = {m[1] for name in names.split() if (m := MARKED.fullmatch(name))}
+    return min(found, key=lambda n: (n not in COMMENT_NAMES, n), default=None)
+
+
 def hashed(*values: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(values).encode("utf-8", "surrogatepass"), 3) & MASK
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "path", "aside", "header", "heading", "article", "main")
+    __slots__ = ("tag", "parent", "depth", "path", "aside", "firm", "header", "heading", "article", "main")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
-        names = set(NAME.findall(found.get("class", "") + " " + found.get("id", "")))
+        names = found.get("class", "") + " " + found.get("id", "")
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
-        self.path = hashed(str(parent.path) if parent else "", tag, " ".join(sorted(names)))
+        self.path = hashed(str(parent.path) if parent else "", tag, " ".join(sorted(set(NAME.findall(names)))))
         self.article = tag == "article" or bool(parent and parent.article)
         self.main = tag == "main" or found.get("role") == "main" or bool(parent and parent.main)
         self.heading = tag in HEADINGS or bool(parent and parent.heading)
         self.header = tag == "header" or bool(parent and parent.header)
-        own = tag in ASIDE_TAGS or found.get("role") in ASIDE_ROLES or (tag not in ("html", "body", "main") and bool(names & ASIDE_NAMES))
-        self.aside = own or bool(parent and parent.aside)
-
-    def above(self) -> Iterator[Element]:
-        element = self
-        while element is not None:
-            yield element
-            element = element.parent
+        mark = None if tag in ("html", "body", "main") else marked_by(names)
+        own = tag in ASIDE_TAGS or found.get("role") in ASIDE_ROLES or mark is not None
+        # A firm aside keeps even articles; the others lose them.
+        self.firm = (tag in ASIDE_TAGS and tag != "form") or mark in COMMENT_NAMES or bool(parent and parent.firm)
+        around = bool(parent and (parent.firm if tag == "article" else parent.aside))
+        self.aside = own or around
 
 
 class Node:
@@ -103,10 +117,11 @@ class Node:
         self.token = hashed(str(element.path), " ".join(text.split()))
 
 
-def read(page: str) -> tuple[list[Node], list[int]]:
-    """Text nodes in page order, and the tokens of the tags."""
+def read(page: str) -> tuple[list[Node], list[Element]]:
+    """Text nodes in page order, and the elements in the order of their tags; the first is the page itself."""
     root = Element("", "", None)
-    stack, nodes, tags, block, at = [root], [], [], 0, 0
+    stack, nodes, elements, block, at = [root], [], [root], 0, 0
+    open_tags: Counter = Counter()
     end = len(page)
     while at < end:
         m = MARKUP.search(page, at)
@@ -123,10 +138,12 @@ def read(page: str) -> tuple[list[Node], list[int]]:
         if tag in BLOCK:
             block += 1
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                while True:
+                    last = stack.pop().tag
+                    open_tags[last] -= 1
+                    if last == tag:
+                        break
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -135,6 +152,7 @@ def read(page: str) -> tuple[list[Node], list[int]]:
         if tag in CLOSES:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in CLOSES[tag]:
+                    open_tags.subtract(e.tag for e in stack[k:])
                     del stack[k:]
                     break
                 if stack[k].tag in ("ul", "ol", "dl", "table", "select"):
@@ -142,15 +160,17 @@ def read(page: str) -> tuple[list[Node], list[int]]:
         elif tag in BLOCK and tag != "br":
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
+                    open_tags.subtract(e.tag for e in stack[k:])
                     del stack[k:]
                     break
                 if stack[k].tag in BLOCK:
                     break
         element = Element(tag, m[3], stack[-1])
-        tags.append(element.path)
+        elements.append(element)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(element)
-    return nodes, tags
+            open_tags[tag] += 1
+    return nodes, elements
 
 
 def joined(nodes: list[Node]) -> str:
@@ -175,7 +195,7 @@ def slots(nodes: list[Node], template: dict[int, tuple[int, bool]]) -> list[Node
 
 def main_text(page: str, template: dict[int, tuple[int, bool]]) -> str:
     """Text of the article's slots."""
-    nodes, _ = read(page)
+    nodes, elements = read(page)
     free = slots(nodes, template)
 
     def shown(node: Node) -> bool:
@@ -188,15 +208,19 @@ def main_text(page: str, template: dict[int, tuple[int, bool]]) -> str:
             text = joined([n for n in own if shown(n)])
             if text or any(shown(n) for n in own):
                 return text
-    # No element tells: the smallest one that holds most of the text.
+    # No element tells: the smallest one that holds most of the text. An element comes after its parent.
     own = [n for n in free if shown(n)]
-    size: Counter = Counter()
+    size: dict[Element, int] = dict.fromkeys(elements, 0)
     for node in own:
-        for element in node.element.above():
-            size[element] += len(node.text.strip())
-    total = max(size.values(), default=0)
-    best = max((e for e, n in size.items() if n >= MOST * total), key=lambda e: e.depth, default=None)
-    return joined([n for n in own if best in n.element.above()])
+        size[node.element] += len(node.text.strip())
+    for element in reversed(elements[1:]):
+        size[element.parent] += size[element]
+    best = max((e for e in elements if size[e] >= MOST * size[elements[0]]), key=lambda e: e.depth)
+    inside = {best}
+    for element in elements[1:]:
+        if element.parent in inside:
+            inside.add(element)
+    return joined([n for n in own if n.element in inside])
 
 
 def token_rows(pages: DataFrame) -> DataFrame:
@@ -208,10 +232,10 @@ def token_rows(pages: DataFrame) -> DataFrame:
             for x, texts in common.pieces(batch.column("html"), PIECE):
                 seen: dict = {}
                 for i, page in enumerate(texts):
-                    nodes, tags = read(page)
+                    nodes, elements = read(page)
                     order: dict = {}
                     counts: Counter = Counter()
-                    for place, (token, is_text) in enumerate([(t, False) for t in tags] + [(n.token, True) for n in nodes if n.text.strip()]):
+                    for place, (token, is_text) in enumerate([(e.path, False) for e in elements[1:]] + [(n.token, True) for n in nodes if n.text.strip()]):
                         counts[token, is_text] += 1
                         order.setdefault((token, is_text), place)
                     for (token, is_text), n in counts.items():
@@ -245,6 +269,7 @@ def once(pages: DataFrame, contents: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): the text nodes in valid classes of a host, in order: (mean place, token, comes once a page)."""
+    pages = pages.where("host <> ''")
     contents = stored(pages.groupBy("host", "content").agg(F.count("*").alias("copies")), "page-contents")
     hosts = contents.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
     tokens = token_rows(once(pages, contents)).groupBy("host", "token", "text").agg(

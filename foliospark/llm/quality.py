@@ -202,7 +202,9 @@ def model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     )
     chosen = known.orderBy("h", "doc_id", "label").limit(sample)  # the bound makes the broadcast safe
     rows = chosen.agg(F.count("*")).first()[0]
-    return train(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "h"), rows)
+    # A labelled document that stands in many rows is learnt from once.
+    learnt = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "h").distinct()
+    return train(learnt, rows)
 
 
 def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -1,6 +1,9 @@
 """Main texts of made pages with and without an article element."""
 
 import random
+import time
+
+import pytest
 
 from foliospark.llm import page_text as m
 
@@ -65,3 +68,42 @@ def test_very_long_and_broken():
     assert m.main_text(deep, {}) == "x"
     assert m.main_text("<article>" + "<p>w</p>" * 20000, {}) == " ".join(["w"] * 20000)
     assert m.main_text("<article><p>a</b></i>b</article", {}) == "ab"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="has-sidebar"><article><h1>Title</h1><p>Real text here.</p></article><div class="sidebar">no</div></div>', "Title Real text here."),
+        ('<article class="post no-comments"><p>Text.</p></article>', "Text."),
+        ('<article><header class="entry-header"><h1>Title</h1></header><p>Text.</p></article>', "Title Text."),
+        ('<article><p>Text.</p><section id="related-work"><p>More.</p></section><div class="related">no</div></article>', "Text. More."),
+        ('<form id="aspnetForm"><div class="ads-free"><article><p>Text.</p></article></div></form>', "Text."),
+        ('<div class="widget"><article><p>Text.</p></article></div>', "Text."),
+        ('<article><p>Text.</p></article><div class="comment-list"><article><p>nice</p></article></div>', "Text."),
+        ('<article><p>Text.</p></article><aside><article><p>teaser</p></article></aside><footer><article>x</article></footer>', "Text."),
+        ('<div class="site-header">a</div><div><p>Text of the page.</p></div><div id="cookie-banner">b</div><div class="x newsletter-form-2">c</div>', "Text of the page."),
+    ],
+)
+def test_names_of_elements(page, text):
+    assert m.main_text(page, {}) == text
+
+
+def test_deep_and_wide_pages_take_linear_time():
+    for make in (
+        lambda n: "<div>x" * n, lambda n: "<div>" * n + "x", lambda n: "<b>x" * n + "<p>y</p>" * n, lambda n: "<b>" * n + "</i>" * n + "x",
+        lambda n: "<p>x</p>" * n, lambda n: "<ul>" + "<li>x<b>y" * n, lambda n: "<article>" + "<div class=ad>" * n + "z",
+    ):
+        m.main_text(make(1000), {})
+        start = time.process_time()
+        m.main_text(make(10_000), {})
+        few = time.process_time() - start
+        start = time.process_time()
+        m.main_text(make(80_000), {})
+        assert time.process_time() - start < 8 * 3 * max(few, 0.05)
+
+
+def test_pages_without_a_host_share_no_template(spark):
+    rnd = random.Random(4)
+    rows = [(i, url, f"<div><p>Same on all pages</p><p>{words(rnd, 20)}</p></div>") for i, url in enumerate([None, "", "x", "/a"] * 8)]
+    got = m.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 32 and all(r.text.startswith("Same on all pages ") for r in got)
