@@ -60,6 +60,7 @@ BLOCK = {
     "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SCOPES = {"ul", "ol", "dl", "table", "select"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ASIDE_TAGS = {"aside", "button", "canvas", "datalist", "dialog", "footer", "form", "head", "input", "label", "menu", "nav", "object", "option", "select", "svg"}
 ASIDE_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search"}
@@ -122,7 +123,15 @@ def read(page: str) -> tuple[list[Node], list[Element]]:
     root = Element("", "", None)
     stack, nodes, elements, block, at = [root], [], [root], 0, 0
     open_tags: Counter = Counter()
+    marks: list[int] = []  # places in the stack of the elements that a start tag may close or stop at
     end = len(page)
+
+    def close(k: int) -> None:
+        open_tags.subtract(e.tag for e in stack[k:])
+        del stack[k:]
+        while marks and marks[-1] >= k:
+            marks.pop()
+
     while at < end:
         m = MARKUP.search(page, at)
         text = page[at : m.start()] if m else page[at:]
@@ -139,35 +148,31 @@ def read(page: str) -> tuple[list[Node], list[Element]]:
             block += 1
         if m[1]:
             if open_tags[tag]:
-                while True:
-                    last = stack.pop().tag
-                    open_tags[last] -= 1
-                    if last == tag:
-                        break
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
         if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in reversed(marks):
                 if stack[k].tag in CLOSES[tag]:
-                    open_tags.subtract(e.tag for e in stack[k:])
-                    del stack[k:]
+                    close(k)
                     break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "select"):
+                if stack[k].tag in SCOPES:
                     break
         elif tag in BLOCK and tag != "br":
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    open_tags.subtract(e.tag for e in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+            k = next((k for k in reversed(marks) if stack[k].tag in BLOCK), 0)
+            if stack[k].tag == "p":
+                close(k)
         element = Element(tag, m[3], stack[-1])
         elements.append(element)
         if tag not in VOID and not m[3].endswith("/"):
+            if tag in BLOCK or tag in CLOSES or tag in SCOPES:
+                marks.append(len(stack))
             stack.append(element)
             open_tags[tag] += 1
     return nodes, elements
