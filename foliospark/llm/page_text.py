@@ -126,7 +126,7 @@ def read(page: str) -> tuple[list[Node], list[Element]]:
     marks: list[int] = []  # places in the stack of the elements that a start tag may close or stop at
     end = len(page)
 
-    def close(k: int) -> None:
+    def close_from(k: int) -> None:
         open_tags.subtract(e.tag for e in stack[k:])
         del stack[k:]
         while marks and marks[-1] >= k:
@@ -151,7 +151,7 @@ def read(page: str) -> tuple[list[Node], list[Element]]:
                 k = len(stack) - 1
                 while stack[k].tag != tag:
                     k -= 1
-                close(k)
+                close_from(k)
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -160,14 +160,14 @@ def read(page: str) -> tuple[list[Node], list[Element]]:
         if tag in CLOSES:
             for k in reversed(marks):
                 if stack[k].tag in CLOSES[tag]:
-                    close(k)
+                    close_from(k)
                     break
                 if stack[k].tag in SCOPES:
                     break
         elif tag in BLOCK and tag != "br":
             k = next((k for k in reversed(marks) if stack[k].tag in BLOCK), 0)
             if stack[k].tag == "p":
-                close(k)
+                close_from(k)
         element = Element(tag, m[3], stack[-1])
         elements.append(element)
         if tag not in VOID and not m[3].endswith("/"):
