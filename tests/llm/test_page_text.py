@@ -104,6 +104,6 @@ def test_deep_and_wide_pages_take_linear_time():
 
 def test_pages_without_a_host_share_no_template(spark):
     rnd = random.Random(4)
-    rows = [(i, url, f"<div><p>Same on all pages</p><p>{words(rnd, 20)}</p></div>") for i, url in enumerate([None, "", "x", "/a"] * 8)]
+    rows = [(i, url, f"<article><p>Same on all pages</p><p>{words(rnd, 20)}</p></article>") for i, url in enumerate([None, "", "x", "/a"] * 8)]
     got = m.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 32 and all(r.text.startswith("Same on all pages ") for r in got)
