@@ -41,8 +41,10 @@ WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS = (8,) * 8
+BASES = np.array([sum(1 << w for w in BLOCKS[:i]) for i in range(len(BLOCKS))])  # where a block's values begin in a table
 ITEMS = 2_000
-PIECE = 1 << 18  # characters searched at once
+PIECE = 1 << 19  # characters searched at once
+KNOWN_BITS = 20  # of a table that tells most shingles apart from the benchmark's
 CHUNK = 1 << 12  # windows with their sums of bits
 HITS = "array<struct<item_id:bigint,similarity:double>>"
 U = np.uint64
@@ -98,11 +100,15 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.bincount(belongs, minlength=len(texts))
 
 
-def simhashes(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of the windows of ``size`` hashes: the bits that more than half of a window's weight has."""
+def bit_sums(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Running sums, per bit, of the weights of the hashes that have it less those that don't."""
     signs = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64) * 2 - 1
-    sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(signs * weights[:, None], axis=0)])
-    return np.packbits(sums[starts + size] - sums[starts] > 0, axis=1).view(">u8").ravel().astype(U)
+    return np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(signs * weights[:, None], axis=0)])
+
+
+def simhashes(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of the windows of ``size`` hashes: the bits that more than half of a window's weight has."""
+    return np.packbits(sums[starts + size] > sums[starts], axis=1).view(">u8").ravel().astype(U)
 
 
 def whole_weight(weight: float | np.ndarray) -> np.ndarray:
@@ -129,7 +135,7 @@ def blocks(values: np.ndarray) -> list[np.ndarray]:
 
 
 class Index:
-    """Some items of a benchmark of ``total`` items: their fingerprints by size, each size with its block tables."""
+    """Some items of a benchmark of ``total`` items: their fingerprints by size, each size with one table of the values of all blocks."""
 
     def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]], total: int):
         """items: (item_id, hashes of its shingles, number of items that have each)."""
@@ -141,6 +147,8 @@ class Index:
         self.totals = [sum(n * self.weights[h] for h, n in c.items()) for c in self.counts]
         self.known = np.array(sorted(self.weights), U)
         self.known_weights = np.array([self.weights[h] for h in self.known.tolist()])
+        self.maybe = np.zeros(1 << KNOWN_BITS, bool)
+        self.maybe[(self.known & U((1 << KNOWN_BITS) - 1)).astype(np.int64)] = True
         by_size: dict[int, list] = {}
         heavy: list[tuple[int, int, int]] = []
         for k, own in enumerate(self.shingles):
@@ -152,54 +160,71 @@ class Index:
         self.heavy = tuple(np.array([x[i] for x in heavy], U if not i else np.int64) for i in range(3))
         self.sizes = {}
         for size, which in by_size.items():
-            prints = np.concatenate([simhashes(self.shingles[k], whole_weight([self.weights[h] for h in self.shingles[k].tolist()]), np.zeros(1, np.int64), size) for k in which])
-            tables = []
-            for own, width in zip(blocks(prints), BLOCKS):
+            prints = np.concatenate([simhashes(bit_sums(self.shingles[k], whole_weight([self.weights[h] for h in self.shingles[k].tolist()])), np.zeros(1, np.int64), size) for k in which])
+            near, held = [], []
+            for own, width, base in zip(blocks(prints), BLOCKS, BASES):
                 flips = [sum(1 << b for b in f) for e in range(RADIUS // len(BLOCKS) + 1) for f in combinations(range(width), e)]
-                near = (own[:, None] ^ np.array(flips)).ravel()
-                held = np.repeat(np.arange(len(own)), len(flips))
-                order = np.argsort(near, kind="stable")
-                tables.append((near[order], held[order]))
+                near.append(base + (own[:, None] ^ np.array(flips)).ravel())
+                held.append(np.repeat(np.arange(len(own)), len(flips)))
+            near, held = np.concatenate(near), np.concatenate(held)
+            order = np.argsort(near, kind="stable")
+            places = np.searchsorted(near[order], np.arange(BASES[-1] + (1 << BLOCKS[-1]) + 1))
+            tables = (places, held[order])
             self.sizes[size] = (prints, np.array(which), tables)
 
     def candidates(self, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item of this size) for every two within the radius, each once."""
-        prints, _, tables = self.sizes[size]
-        pairs = []
-        for value, (near, held) in zip(blocks(own), tables):
-            low, high = np.searchsorted(near, value, "left"), np.searchsorted(near, value, "right")
-            n = high - low
-            w = np.repeat(np.arange(len(own)), n)
-            o = held[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            ok = np.bitwise_count(own[w] ^ prints[o]) <= RADIUS
-            pairs.append(w[ok] * len(prints) + o[ok])
-        each = np.unique(np.concatenate(pairs))
+        prints, _, (places, held) = self.sizes[size]
+        keys = (np.stack(blocks(own), 1) + BASES).ravel()
+        low = places[keys]
+        n = places[keys + 1] - low
+        w = np.repeat(np.repeat(np.arange(len(own)), len(BLOCKS)), n)
+        o = held[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        ok = np.bitwise_count(own[w] ^ prints[o]) <= RADIUS
+        each = np.unique(w[ok] * len(prints) + o[ok])
         return each // len(prints), each % len(prints)
 
-    def by_windows(self, hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-        """(item, start) of the windows whose fingerprint is near an item's. first, last: where each hash's text lies."""
+    def known_places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where a shingle of the benchmark stands."""
+        some = np.flatnonzero(self.maybe[(hashes & U((1 << KNOWN_BITS) - 1)).astype(np.int64)])
         if not len(self.known):
-            return []
-        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        is_known = self.known[at] == hashes
-        places = np.flatnonzero(is_known)
-        weights = whole_weight(np.where(is_known, self.known_weights[at], self.rare))
-        out = []
-        for size, (_, which, _) in self.sizes.items() if len(places) else ():
-            starts = starts_around(places, first[places], last[places], size, len(hashes))
-            for a in range(0, len(starts), CHUNK):  # a run of windows at a time bounds the sums
+            return some[:0]
+        at = np.minimum(np.searchsorted(self.known, hashes[some]), len(self.known) - 1)
+        return some[self.known[at] == hashes[some]]
+
+    def by_windows(self, hashes: np.ndarray, places: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """(item, start) of the windows whose fingerprint is near an item's. first, last: where each hash's text lies.
+
+        Only what lies as near to a shingle of the benchmark (``places``) as a window may reach is looked at.
+        """
+        reach, marks = max(self.sizes), np.zeros(len(hashes) + 1, np.int64)
+        np.add.at(marks, np.maximum(first[places], places - reach + 1), 1)
+        np.add.at(marks, np.minimum(last[places], places + reach), -1)
+        here = np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+        # The same places and texts, counted among what is looked at.
+        low, high = np.searchsorted(here, first[places]), np.searchsorted(here, last[places])
+        cuts = np.flatnonzero(np.diff(here) > 1) + 1  # a window must not span what was left out
+        own = np.searchsorted(here, places)
+        run = np.searchsorted(cuts, own, "right")
+        edges = np.concatenate([[0], cuts, [len(here)]])
+        low, high = np.maximum(low, edges[run]), np.minimum(high, edges[run + 1])
+        weights = np.full(len(here), self.rare)
+        weights[own] = self.known_weights[np.searchsorted(self.known, hashes[places])]
+        sums, out = bit_sums(hashes[here], whole_weight(weights)), []
+        for size, (_, which, _) in self.sizes.items():
+            starts = starts_around(own, low, high, size, len(here))
+            for a in range(0, len(starts), CHUNK):
                 some = starts[a : a + CHUNK]
-                low, high = some[0], some[-1] + size
-                w, o = self.candidates(simhashes(hashes[low:high], weights[low:high], some - low, size), size)
-                out.append(np.stack([which[o], some[w]], 1))
+                w, o = self.candidates(simhashes(sums, some, size), size)
+                out.append(np.stack([which[o], here[some[w]]], 1))
         return out
 
-    def by_shingles(self, hashes: np.ndarray) -> list[np.ndarray]:
-        """(item, start) by the items' heaviest shingles: the exact supplement."""
+    def by_shingles(self, hashes: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+        """(item, start, place) by the items' heaviest shingles: the exact supplement."""
         value, item, offset = self.heavy
-        low, high = np.searchsorted(value, hashes, "left"), np.searchsorted(value, hashes, "right")
+        low, high = np.searchsorted(value, hashes[places], "left"), np.searchsorted(value, hashes[places], "right")
         n = high - low
-        w = np.repeat(np.arange(len(hashes)), n)
+        w = np.repeat(places, n)
         o = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return [np.stack([item[o], w - offset[o], w], 1)]
 
@@ -212,15 +237,22 @@ class Index:
         out = [{} for _ in texts]
         if not len(hashes):
             return out
-        ends = np.cumsum(counts)
+        ends, known = np.cumsum(counts), self.known_places(hashes)
+        if not len(known):
+            return out
         owner = np.repeat(np.arange(len(texts)), counts)
         first, last = (ends - counts)[owner], ends[owner]
-        places = [np.concatenate([owner[p[:, 1]][:, None], p], 1) for p in self.by_windows(hashes, first, last)]
+        places = [np.concatenate([owner[p[:, 1]][:, None], p], 1) for p in self.by_windows(hashes, known, first, last)]
         if exact:
-            places += [np.stack([owner[p[:, 2]], p[:, 0], p[:, 1]], 1) for p in self.by_shingles(hashes)]
+            places += [np.stack([owner[p[:, 2]], p[:, 0], p[:, 1]], 1) for p in self.by_shingles(hashes, known)]
         if not places:
             return out
+        before = (-1, -1, 0)
         for doc, k, at in np.unique(np.concatenate(places), axis=0).tolist():
+            # What is verified reaches further than this on both sides.
+            if (doc, k) == before[:2] and at < before[2] + WORDS:
+                continue
+            before = (doc, k, at)
             if out[doc].get(k, 0) >= 1:
                 continue
             m = len(self.shingles[k])
