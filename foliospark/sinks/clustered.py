@@ -16,8 +16,13 @@ FILE = "_file"
 
 
 def file_column():
-    """Path of a row's file below the table's folder."""
-    return F.concat(F.lit("data/"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1))
+    """Path of a row's file as Spark has it, the same value for all rows of a file: nothing is computed per row."""
+    return F.col("_metadata.file_path")
+
+
+def below(path: str) -> str:
+    """Path of a file below the table's folder."""
+    return "data/" + "/".join(path.split("/")[-2:])
 
 
 def clustered_parts(rows: DataFrame, folder: str, key: str, name: str) -> list[Part]:
@@ -25,7 +30,7 @@ def clustered_parts(rows: DataFrame, folder: str, key: str, name: str) -> list[P
     held = write_part(rows.repartitionByRange(key).sortWithinPartitions(key), folder, name)
     back = rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{held.path}")
     found = back.select(key, file_column().alias(FILE)).groupBy(FILE).agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    return [Part(r[FILE], name, 0, {key: [r.low, r.high]}) for r in found.collect()]  # a line per file, as in the manifest
+    return [Part(below(r[FILE]), name, 0, {key: [r.low, r.high]}) for r in found.collect()]  # a line per file, as in the manifest
 
 
 def create(rows: DataFrame, folder: str, key: str) -> Snapshot:
@@ -54,7 +59,7 @@ def delete(spark: SparkSession, folder: str, ddl: str, key: str, due: DataFrame)
     if not near:
         return state, []
     held = spark.read.schema(ddl).parquet(*[f"{folder}/{p}" for p in near]).select(key, file_column().alias(FILE))
-    hit = {r[FILE] for r in held.join(keys, key, "left_semi").select(FILE).distinct().collect()}
+    hit = {below(r[FILE]) for r in held.join(keys, key, "left_semi").select(FILE).distinct().collect()}
     if not hit:
         return state, []
     rest = spark.read.schema(ddl).parquet(*[f"{folder}/{p}" for p in sorted(hit)]).join(keys, key, "left_anti").select(*spark.createDataFrame([], ddl).columns)
