@@ -285,16 +285,23 @@ def event_stream(spark, d) -> DataFrame:
     return spark.readStream.schema(EVENTS_DDL).parquet(f"{d}/events[.]parquet")
 
 
+EVENTS_A_FILE = 50_000  # behind a file of bodies, about
+
+
 def run_payment_stream(spark, d) -> str:
     """Run the payment stream over the whole events table, in four out-of-order micro-batches; return the folder it wrote."""
     folder = fresh_dir(spark, "payments")
     payment_stream.prepare(spark, folder)
-    # The newest events come first, and each event's deliveries lie in several files.
-    bodies = fx.payment_bodies(table(spark, d, "events"))
+    # The newest events come first, and each event's deliveries lie in several files. Only the narrow events are
+    # shuffled, to files of about the same number of rows, so that no task holds or sorts a share of all bodies.
+    events = table(spark, d, "events")
+    files = 2 * (1 + events.count() // EVENTS_A_FILE)
+    bodies = fx.payment_bodies(events.repartitionByRange(files, F.desc("ts")))
     late = F.pmod(F.xxhash64("body", "delivered_at"), F.lit(2))
-    ordered = bodies.repartitionByRange(2, F.desc("delivered_at"))
-    ordered.select("body", "delivered_at", late.alias("part")).write.partitionBy("part").parquet(f"{folder}/bodies")
-    stream = spark.readStream.schema("body string, delivered_at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{folder}/bodies/part=*")
+    for part in range(2):  # one write after another: files are taken in the order of their times
+        bodies.filter(late == part).write.parquet(f"{folder}/bodies/part={part}")
+    found = len(spark.read.parquet(f"{folder}/bodies").inputFiles())
+    stream = spark.readStream.schema("body string, delivered_at timestamp").option("maxFilesPerTrigger", -(-found // 4)).parquet(f"{folder}/bodies/part=*")
     payment_stream.start(stream, folder, f"{folder}/checkpoint", available_now=True).awaitTermination()
     return folder
 

@@ -1,6 +1,13 @@
 """What keeps the cost of a row, and the memory of a task, the same however large the tables are."""
 
+import os
+
+from foliospark.operators import payments
+from foliospark.plans import fixtures as fx
+from foliospark.plans import queries
 from foliospark.sinks import clustered
+from foliospark.sources.tables import table
+from foliospark.streaming import payments as payment_stream
 
 
 def test_files_of_a_clustered_table_are_told_apart_without_work_per_row(spark, folder, monkeypatch):
@@ -14,3 +21,14 @@ def test_files_of_a_clustered_table_are_told_apart_without_work_per_row(spark, f
     assert written and all(p.startswith("data/") and p.count("/") == 2 for p in written)
     assert state.read(spark, "order_id bigint, name string").count() == 4000 - due.count()
     assert any("file_path" in p for p in plans) and not any("regexp" in p for p in plans)
+
+
+def test_bodies_of_the_payment_stream_lie_in_files_of_bounded_size(spark, small, monkeypatch):
+    monkeypatch.setattr(queries, "EVENTS_A_FILE", 100, raising=False)
+    folder, events = queries.run_payment_stream(spark, small), table(spark, small, "events")
+    bodies = spark.read.parquet(f"{folder}/bodies")
+    assert sorted(bodies.select("body").collect()) == sorted(fx.payment_bodies(events).select("body").collect())
+    assert len(bodies.inputFiles()) > events.count() // 100
+    assert len([f for f in os.listdir(f"{folder}/checkpoint/commits") if f.isdigit()]) == 4
+    want = {r.payment_session_id for r in payments.paid_orders(payments.typed_events(fx.payment_bodies(events))).collect()}
+    assert sorted(r.payment_session_id for r in payment_stream.stored_orders(spark, folder).collect()) == sorted(want)
