@@ -2,6 +2,7 @@
 
 import os
 
+from foliospark.functions import alignment
 from foliospark.operators import payments
 from foliospark.plans import fixtures as fx
 from foliospark.plans import queries
@@ -32,3 +33,15 @@ def test_bodies_of_the_payment_stream_lie_in_files_of_bounded_size(spark, small,
     assert len([f for f in os.listdir(f"{folder}/checkpoint/commits") if f.isdigit()]) == 4
     want = {r.payment_session_id for r in payments.paid_orders(payments.typed_events(fx.payment_bodies(events))).collect()}
     assert sorted(r.payment_session_id for r in payment_stream.stored_orders(spark, folder).collect()) == sorted(want)
+
+
+def test_texts_that_pair_one_by_one_take_no_table(monkeypatch):
+    """Equal texts, blank lines lost, a mark on every line, every line made a list item."""
+    lengths = [40 + 7 * i % 90 for i in range(400)]
+    cases = [(lengths, [0] * 400), ([n + 2 for n in lengths], [0] * 400), ([n + 2 for n in lengths], [2] * 400)]
+    want = [(i, i + 1, i, i + 1) for i in range(400)]
+    with monkeypatch.context() as without:
+        without.setattr(alignment, "straight", lambda a, b, ratio: False, raising=False)
+        assert all(alignment.align(lengths, [0] * 400, *case) == want for case in cases)
+    monkeypatch.setattr(alignment, "sweep", None)
+    assert all(alignment.align(lengths, [0] * 400, *case) == want for case in cases)
