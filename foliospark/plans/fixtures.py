@@ -16,6 +16,7 @@ from foliospark.operators.intake import intake
 from foliospark.operators.pricing import quote, tier_of
 from foliospark.sources.dimensions import ADDONS, LANGUAGE_CODES
 from foliospark.sources.events import METADATA, PAID
+from foliospark.sources.manuscripts import shares
 from foliospark.sources.tables import table
 
 UPLOADS_AS_OF = dt.datetime(2024, 1, 31)
@@ -359,6 +360,7 @@ def docx_files(spark: SparkSession, d: str) -> DataFrame:
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch.doc_id, "bytes": [docx_bytes(t) for t in batch.text]})
+            for part in shares(batch, "text"):
+                yield pd.DataFrame({"doc_id": part.doc_id, "bytes": [docx_bytes(t) for t in part.text]})
 
     return table(spark, d, "documents").select("doc_id", "text").mapInPandas(pack, "doc_id bigint, bytes binary")

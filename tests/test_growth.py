@@ -2,11 +2,14 @@
 
 import os
 
+import pandas as pd
+
 from foliospark.functions import alignment
 from foliospark.operators import payments
 from foliospark.plans import fixtures as fx
 from foliospark.plans import queries
 from foliospark.sinks import clustered
+from foliospark.sources import manuscripts
 from foliospark.sources.tables import table
 from foliospark.streaming import payments as payment_stream
 
@@ -45,3 +48,10 @@ def test_texts_that_pair_one_by_one_take_no_table(monkeypatch):
         assert all(alignment.align(lengths, [0] * 400, *case) == want for case in cases)
     monkeypatch.setattr(alignment, "sweep", None)
     assert all(alignment.align(lengths, [0] * 400, *case) == want for case in cases)
+
+
+def test_word_files_are_read_in_shares(monkeypatch):
+    monkeypatch.setattr(manuscripts, "HELD", 10, raising=False)
+    batch = pd.DataFrame({"id": range(6), "bytes": [b"x" * 4, b"y" * 5, None, b"", b"z" * 30, b"w" * 3]})
+    parts = list(manuscripts.shares(batch, "bytes"))
+    assert [list(p.id) for p in parts] == [[0, 1, 2, 3], [4], [5]] and list(manuscripts.shares(batch[:0], "bytes")) == []
