@@ -12,10 +12,10 @@ other. Texts with fewer than three words have one shingle. Rows equal in id and
 with equal answers. An empty table gives no rows. A null doc_id counts as smaller than none: its row is
 linked, but never names a component unless all ids in it are null.
 
-The pipeline's stage doesn't go by bits: two documents are near copies when the Jaccard similarity of their
-sets of five-word shingles is ``SIMILARITY`` or more, and no radius is sure to hold such pairs (at 0.8 they
-lie 9.7 bits apart on average, some twice that). Candidates come from a prefix filter, which is complete: if all
-shingles stand in one order, two sets that similar share one of the first n // 5 + 1 of each. The order is
+In the pipeline's stage two documents are near copies when the Jaccard similarity of their sets of five-word shingles
+is ``SIMILARITY`` or more. Candidates come from the search above over SimHash fingerprints of these sets. No radius is
+sure to hold all such pairs (at 0.8 they lie 9.7 bits apart on average, some twice that), so for those that lie
+farther apart more come from a prefix filter, which is complete: if all shingles stand in one order, two sets that similar share one of the first n // 5 + 1 of each. The order is
 by rarity in hashed counters of constant size, so that common shingles seldom are keys. Candidates are
 verified on the whole sets. A group of copies is joined through one of its members; only pairs that this leaves in
 different components are listed. Texts without words have one, empty, set.
@@ -51,11 +51,12 @@ PIECE = 1 << 16  # shingles held at once
 PROBE_COST = 1.0  # of one enumerated value, in candidates
 STAGE_WORDS = 5  # of a shingle in the stage
 SIMILARITY = (4, 5)  # of near copies in the stage, as a fraction
+STAGE_RADIUS = 6  # bits between fingerprints of sets that the stage compares first
 COUNTERS = 1 << 18  # behind the order of shingles
 GROUP = 512  # sets of one key that meet in one group
 FILTER_BITS = (20, 30)  # least and most of a filter, which has eight for each wanted hash
 FAN = 16  # arrays of counters that one task adds
-ROUNDS = 2  # of comparisons with one set of each key, before all pairs between components
+ROUNDS = 3  # of comparisons before all pairs between components: near fingerprints, then one set of each key with the others
 
 
 def words_of(text: str) -> list[bytes]:
@@ -299,18 +300,27 @@ def shingle_set(text: str, width: int = STAGE_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in cuts), np.uint64, len(starts)).view(np.int64))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set: a bit is one if more than half of its hashes have it; zero for an empty set."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), PIECE):
+        ones += bit_matrix(hashes[at : at + PIECE]).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def set_names(sets: list[np.ndarray]) -> dict[str, np.ndarray]:
     """128 bits per set."""
     return {c: np.array([xxhash.xxh64_intdigest(s.tobytes(), k) for s in sets], np.uint64).view(np.int64) for k, c in enumerate(("c1", "c2"))}
 
 
 def set_classes():
-    """Column function text -> the 128 bits of its set."""
+    """Column function text -> the 128 bits of its set, and the set's fingerprint."""
 
-    @pandas_udf("c1 long, c2 long")
+    @pandas_udf("c1 long, c2 long, fp long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame(set_names([shingle_set(t) for t in common.strings(texts)]))
+            sets = [shingle_set(t) for t in common.strings(texts)]
+            yield pd.DataFrame({**set_names(sets), "fp": np.array([set_fingerprint(s) for s in sets], np.int64)})
 
     return of
 
@@ -427,6 +437,21 @@ def may_be_near(m: str, n: str) -> Column:
     return F.least(m, n) * SIMILARITY[1] >= F.greatest(m, n) * SIMILARITY[0]
 
 
+def simhash_pairs(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): sets with equal fingerprints or with fingerprints within ``STAGE_RADIUS`` bits.
+
+    A fingerprint goes by one of its sets and is paired with the smallest one near it, so that a group of copies
+    isn't listed pair by pair. Sets without a text in ``texts`` share no rare shingle with another and are left out.
+    """
+    able = classes.join(texts.select("node"), "node", "left_semi").select("node", "fp")
+    firsts = stored(able.groupBy("fp").agg(F.min("node").alias("first")), "copy-prints")
+    near = links(firsts.select("fp"), STAGE_RADIUS).groupBy("b").agg(F.min("a").alias("a"))
+    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    between = near.join(side("a"), "a").join(side("b"), "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    equal = able.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return between.unionByName(equal)
+
+
 def star_pairs(rows: DataFrame, seed: int) -> DataFrame:
     """Each set of a key with one of them, if it is not yet in the same component."""
     middle = F.min(F.struct(F.xxhash64("node", F.lit(seed)), "node", "root", "size")).alias("c")
@@ -453,10 +478,10 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, classes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b): links between near copies that join the same nodes of ``classes`` (node, c1, c2, k1, k2) as all links would.
+    """(a, b): links between near copies that join the same nodes of ``classes`` (node, fp, c1, c2, k1, k2) as all links would.
 
-    The sets that share a key are first compared with one of them, which joins a group of copies without
-    listing its pairs. After some rounds, each with other middles, every pair that still lies in two
+    First the sets with near fingerprints are compared. Then the sets that share a key are compared with one of
+    them, which joins a group of copies without listing its pairs. After some rounds, each with other middles, every pair that still lies in two
     components is compared, so that no link between components is lost.
     """
     keys = shared_keys(docs, classes)
@@ -466,7 +491,7 @@ def similar_sets(docs: DataFrame, classes: DataFrame, rounds: int = ROUNDS) -> D
         rows = keys.withColumn("root", F.col("node"))
         if roots is not None:
             rows = keys.join(roots.withColumnRenamed("root", "r"), "node", "left").select("key", "node", "size", "pos", F.coalesce("r", "node").alias("root"))
-        pairs = star_pairs(rows, step) if step < rounds else cross_pairs(rows)
+        pairs = cross_pairs(rows) if step == rounds else star_pairs(rows, step) if step else simhash_pairs(classes, texts)
         if tried is not None:
             either = tried.union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(either, ["a", "b"], "left_anti")
@@ -482,9 +507,9 @@ def similar_sets(docs: DataFrame, classes: DataFrame, rounds: int = ROUNDS) -> D
 def near_copies(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, k1, k2, root (a node), component_id."""
     marked = docs.select("doc_id", *common.identity(), set_classes()(F.coalesce("text", F.lit(""))).alias("c"))
-    marked = stored(marked.select("doc_id", "k1", "k2", "c.c1", "c.c2"), "set-names")
-    classes = marked.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.struct("k1", "k2")).alias("key"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "first", "key.k1", "key.k2"), "set-classes")
+    marked = stored(marked.select("doc_id", "k1", "k2", "c.c1", "c.c2", "c.fp"), "set-names")
+    classes = marked.groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.struct("k1", "k2")).alias("key"), F.min("fp").alias("fp"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "fp", "first", "key.k1", "key.k2"), "set-classes")
     roots = components(similar_sets(docs, classes), "copies").withColumnRenamed("node", "member")
     labelled = classes.join(roots, F.col("node") == F.col("member"), "left").select("c1", "c2", "first", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
