@@ -1,8 +1,12 @@
 """What keeps the cost of a row, and the memory of a task, the same however large the tables are."""
 
+import datetime as dt
+import json
 import os
+from types import SimpleNamespace
 
 import pandas as pd
+from pyspark.sql import Row
 
 from foliospark.functions import alignment
 from foliospark.operators import payments
@@ -12,6 +16,7 @@ from foliospark.sinks import clustered
 from foliospark.sources import manuscripts
 from foliospark.sources.tables import table
 from foliospark.streaming import payments as payment_stream
+from foliospark.streaming import status as status_stream
 
 
 def test_files_of_a_clustered_table_are_told_apart_without_work_per_row(spark, folder, monkeypatch):
@@ -55,3 +60,64 @@ def test_word_files_are_read_in_shares(monkeypatch):
     batch = pd.DataFrame({"id": range(6), "bytes": [b"x" * 4, b"y" * 5, None, b"", b"z" * 30, b"w" * 3]})
     parts = list(manuscripts.shares(batch, "bytes"))
     assert [list(p.id) for p in parts] == [[0, 1, 2, 3], [4], [5]] and list(manuscripts.shares(batch[:0], "bytes")) == []
+
+
+class Held:
+    """State of one lane in memory; counts the calls to it."""
+
+    calls = 0
+
+    def __init__(self):
+        self.rows, self.timers = [], set()
+
+    def getListState(self, name, ddl):
+        return type(self)()
+
+    getValueState = getListState
+
+    def __getattribute__(self, name):
+        if name in ("exists", "get", "put", "update", "appendList", "clear", "registerTimer", "deleteTimer"):
+            Held.calls += 1
+        return object.__getattribute__(self, name)
+
+    exists = lambda self: bool(self.rows)
+    clear = lambda self: setattr(self, "rows", [])
+    put = lambda self, rows: setattr(self, "rows", list(rows))
+    update = lambda self, row: setattr(self, "rows", row)
+    get = lambda self: self.rows
+    appendList = lambda self, rows: self.rows.extend(rows)
+    registerTimer = lambda self, at: self.timers.add(at)
+    deleteTimer = lambda self, at: self.timers.remove(at)
+
+
+def test_status_state_is_called_per_lane_and_not_per_order():
+    minute, at = 60_000_000, lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    lane, store, key = status_stream.StatusProcessor(dt.timedelta(minutes=5)), Held(), (7,)
+    lane.init(store)
+    Held.calls, orders = 0, range(9000)
+    told = list(lane.handleInputRows(key, iter([Row(order_id=o, at=minute, change_id=o, status="processing") for o in orders]), at(0)))
+    late = [Row(order_id=o, at=3 * minute, change_id=10000 + o, status="completed") for o in orders if o % 2]
+    told += lane.handleInputRows(key, iter(late), at(0))
+    assert not told and store.timers == {60_000}
+    for now in (120_000, 400_000):  # the first changes, the others and the time-outs
+        moment, = store.timers
+        told = sorted(((r.order_id, r.at, r.status, r.previous, r.cause) for r in lane.handleExpiredTimer(key, at(now), None)), key=str)
+        store.timers.discard(moment)
+        if now == 120_000:
+            assert told == sorted(((o, minute, "processing", None, "change") for o in orders), key=str) and store.timers == {180_000}
+    assert told == sorted(((o, 3 * minute, "completed", "processing", "change") if o % 2 else (o, 6 * minute, "failed", "processing", "timeout") for o in orders), key=str)
+    assert not store.timers and Held.calls < 40
+
+
+def test_parts_of_the_status_stream_lie_in_files_of_bounded_size(spark, small, monkeypatch):
+    monkeypatch.setattr(queries, "EVENTS_A_FILE", 50)
+    seen, start = [], status_stream.start
+    monkeypatch.setattr(status_stream, "start", lambda changes, *a, **k: seen.append((changes, a)) or start(changes, *a, **k))
+    got = queries.QUERIES["status_stream"](spark, small)
+    root = os.path.dirname(seen[0][1][0])
+    per_part = [sum(f.endswith(".parquet") for f in os.listdir(f"{root}/changes/part={part}")) for part in range(4)]
+    assert per_part[0] > 1 and len(set(per_part)) == 1
+    spent = [json.loads(line) for name in os.listdir(f"{root}/checkpoint/offsets") if name.isdigit() for line in open(f"{root}/checkpoint/offsets/{name}").read().split("\n")[2:]]
+    assert max(s["logOffset"] for s in spent) == 3
+    monkeypatch.setattr(queries, "EVENTS_A_FILE", 1 << 30)
+    assert sorted(got.collect(), key=str) == sorted(queries.QUERIES["status_stream"](spark, small).collect(), key=str)
