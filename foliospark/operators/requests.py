@@ -15,6 +15,7 @@ from foliospark.functions.paragraphs import aligned_windows
 from foliospark.functions.text import fallback
 from foliospark.sources import dimensions as dims
 
+MAPS, BITS = 2048, 32768  # bitmaps, and the bits that Spark gives each
 OPAQUE = tuple("." + f for f in dims.OPAQUE_FORMATS)
 
 
@@ -107,10 +108,21 @@ def with_text(work: DataFrame, originals: DataFrame) -> DataFrame:
     """Ready orders with their manuscript text; the one wide join.
 
     It goes by file id, which is unique: the texts of an order that has too many of them spread
-    over all tasks and drop out there.
+    over all tasks and drop out there. Texts that no ready order needs stay where they are, but for chance hits.
     """
+    ready = work.filter(F.col("reason").isNull())
     texts = originals.select(F.col("file_id").alias("original_id"), "content")
-    return work.filter(F.col("reason").isNull()).join(texts, "original_id")
+    return ready.join(marked(texts, ready, "original_id"), "original_id")
+
+
+def marked(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key's hash is among those of ``keys``, as told by a bitmap of 8 MB whatever the input."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(MAPS))
+    bit = F.pmod(F.shiftrightunsigned(F.xxhash64(key), 16), F.lit(BITS))
+    maps = keys.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_bucket", bucket).join(F.broadcast(maps), "_bucket")
+    return found.filter(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8).cast("int") + 1)) != 0).drop("_bucket", "_map")
 
 
 def with_language(rows: DataFrame) -> DataFrame:
@@ -197,7 +209,12 @@ def editorial_json_text(style: RequestStyle, original: Column, translated: Colum
 
 def translation_requests(work: DataFrame, originals: DataFrame, style: RequestStyle = WHOLE) -> DataFrame:
     """First-pass requests: one row per order, language and part."""
-    texts = _per_language(with_text(work, originals))
+    return translation_parts(with_text(work, originals), style)
+
+
+def translation_parts(texts: DataFrame, style: RequestStyle = WHOLE) -> DataFrame:
+    """First-pass requests from rows of ``with_text``, without a shuffle."""
+    texts = _per_language(texts)
     cut = texts.withColumn("_windows", windows(F.col("content"), style.translate_window)).withColumn("parts", F.size("_windows").cast("long"))
     parts = cut.drop("content").select("*", F.explode("_windows").alias("_w")).drop("_windows")
     return with_language(parts).select(
@@ -216,8 +233,22 @@ def editorial_requests(
     the paragraphs of both texts are aligned and the windows are cut between them, so a request holds
     a stretch of the original and its own translation, and all requests together hold both texts.
     """
-    texts = with_text(work, originals).join(translated.select("original_id", "language", "translated"), "original_id")
-    both = with_language(texts.filter(F.array_contains("pending", F.col("language"))))
+    return editorial_parts(with_translations(work, originals, translated), style)
+
+
+def with_translations(work: DataFrame, originals: DataFrame, translated: DataFrame) -> DataFrame:
+    """Ready orders with their manuscript text and its translations, so that the text is there once however many those are.
+
+    A group holds the translations of one book, one per language.
+    """
+    each = translated.groupBy("original_id").agg(F.collect_list(F.struct("language", "translated")).alias("_translations"))
+    return with_text(work, originals).join(each, "original_id")
+
+
+def editorial_parts(both: DataFrame, style: RequestStyle = WHOLE) -> DataFrame:
+    """Second-pass requests from rows of ``with_translations``, without a shuffle."""
+    pending = F.filter("_translations", lambda t: F.array_contains("pending", t["language"]))
+    both = with_language(both.select("*", F.inline(pending)).drop("_translations"))
     if style.review_window is None:
         return both.select(
             "order_id", "language", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts"), "translated",

@@ -36,7 +36,7 @@ def store_each(rows: DataFrame, make: Callable[[pd.DataFrame], pd.DataFrame], pa
             made = make(batch)
             if len(made):
                 out = io.BytesIO()
-                pq.write_table(pa.Table.from_pandas(made, schema, preserve_index=False), out)
+                pq.write_table(pa.Table.from_pandas(made, schema, preserve_index=False), out, compression="zstd")
                 put(files, f"{root}/{uuid.uuid4().hex}.parquet", out.getvalue())
             yield pd.DataFrame({"n": [len(made)]})
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Row
 
 from foliospark.functions import alignment
-from foliospark.operators import payments
+from foliospark.operators import inference, payments
+from foliospark.operators import requests as rq
 from foliospark.plans import fixtures as fx
 from foliospark.plans import queries
 from foliospark.sinks import clustered
@@ -121,3 +122,24 @@ def test_parts_of_the_status_stream_lie_in_files_of_bounded_size(spark, small, m
     assert max(s["logOffset"] for s in spent) == 3
     monkeypatch.setattr(queries, "EVENTS_A_FILE", 1 << 30)
     assert sorted(got.collect(), key=str) == sorted(queries.QUERIES["status_stream"](spark, small).collect(), key=str)
+
+
+def test_texts_of_a_two_pass_job_move_before_they_are_copied_and_never_for_nothing(spark, small, folder, monkeypatch):
+    plans, store = [], inference.answers.store_each
+    monkeypatch.setattr(inference.answers, "store_each", lambda rows, *a: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or store(rows, *a))
+    run = lambda: inference.run_two_pass(fx.order_inputs(spark, small, customers=True), fx.originals(spark, small), folder, queries.stub_translate, queries.stub_edit)
+    files = sorted(run().collect())
+    assert files and len(plans) == 2
+    for plan in plans:  # the dealing in shares lies below the copying per language
+        assert 0 < plan.index("Generate") < plan.index("RebalancePartitions")
+    again = run()
+    assert len(plans) == 2 and sorted(again.collect()) == files
+    assert "LeftSemi" not in again._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_that_no_one_needs_stay(spark):
+    rows = spark.range(20000).selectExpr("id as n", "concat('f', id) as original_id")
+    keys = rows.filter("n % 100 = 7").select("original_id")
+    left = {r.n for r in rq.marked(rows, keys, "original_id").collect()}
+    assert {n for n in range(20000) if n % 100 == 7} <= left and len(left) < 210
+    assert rq.marked(rows, keys.limit(0), "original_id").count() == 0
