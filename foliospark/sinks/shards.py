@@ -3,7 +3,8 @@
 Every task appends its documents to shards of at most ``shard_bytes`` (one longer document has a shard to itself) and
 an index file of (keys, shard, start, bytes), so the number of files follows the bytes and not the documents, and any
 document is read by its place. A job's files carry its name; when it commits, files that attempts without a commit
-left are deleted and one small file that names the live indexes is replaced. A job that fails deletes its files.
+left are deleted and one small file that names the live indexes is replaced. A job that fails leaves a mark and then deletes
+its files; a task that still runs looks for the mark around every file it makes, and takes its own away.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from foliospark.sinks.store import filesystem, names, put
 
 SHARD_BYTES = 128 << 20
 LIVE = "live.json"
+FAILED = "_failed-"  # and the job's name
 PLACE = "shard string, start long, bytes long"
 
 
@@ -44,6 +46,15 @@ class ShardWriter(DataSourceArrowWriter):
         files.create_dir(f"{root}/shards")
         files.create_dir(f"{root}/indexes")
         shards, out, at, index = [], None, 0, []
+        name = f"indexes/{attempt}.parquet"
+
+        def stop_if_failed() -> None:
+            if files.get_file_info(f"{root}/{FAILED}{self.job}").is_file:
+                for made in [*shards, name]:
+                    if files.get_file_info(f"{root}/{made}").is_file:
+                        files.delete_file(f"{root}/{made}")
+                raise RuntimeError("the export has failed in another task")
+
         for batch in iterator:
             *keys, text = batch.columns
             places = []
@@ -53,8 +64,10 @@ class ShardWriter(DataSourceArrowWriter):
                 if out is None or (at and at + size > self.limit):
                     if out is not None:
                         out.close()
+                    stop_if_failed()
                     shards.append(f"shards/{attempt}-{len(shards)}.txt")
                     out, at = files.open_output_stream(f"{root}/{shards[-1]}"), 0
+                    stop_if_failed()
                 out.write(data)
                 places.append((shards[-1], at, size))
                 at += size
@@ -63,8 +76,9 @@ class ShardWriter(DataSourceArrowWriter):
         if out is None:
             return Written([])
         out.close()
-        name = f"indexes/{attempt}.parquet"
+        stop_if_failed()
         pq.write_table(pa.concat_tables(index), f"{root}/{name}", filesystem=files)
+        stop_if_failed()
         return Written([*shards, name])
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -75,6 +89,9 @@ class ShardWriter(DataSourceArrowWriter):
         self.clean(mine, self.overwrite)
 
     def abort(self, messages: list[Written | None]) -> None:
+        files, root = filesystem(self.path)
+        files.create_dir(root)
+        put(files, f"{root}/{FAILED}{self.job}", b"")
         self.clean(set(), False)
 
     def clean(self, keep: set[str], others: bool) -> None:

@@ -68,3 +68,26 @@ def test_files_of_attempts_without_commit_go(folder):
     assert len(listed(folder)) == 4
     writer.commit([kept, None])
     assert listed(folder) == sorted(f.split("/")[1] for f in kept.files)
+
+
+@pytest.mark.parametrize("shard_bytes", [1, 100])
+def test_a_task_that_outlives_its_failed_job_leaves_nothing(folder, shard_bytes):
+    """The job is given up while a task still has documents to write."""
+    import pyarrow as pa
+
+    writer = m.ShardWriter({"path": folder, "shard_bytes": shard_bytes}, ["k", "t"], True)
+
+    def batches():
+        yield pa.record_batch([pa.array([1]), pa.array(["abc"])], ["k", "t"])
+        writer.abort([None])
+        assert listed(folder) == []
+        yield pa.record_batch([pa.array([2]), pa.array(["def"])], ["k", "t"])
+
+    with pytest.raises(RuntimeError, match="another task"):
+        writer.write(batches())
+    assert listed(folder) == []
+
+
+def test_a_job_that_fails_before_any_task_has_begun(folder):
+    m.ShardWriter({"path": f"{folder}/new"}, ["k", "t"], True).abort([])
+    assert listed(f"{folder}/new") == []
