@@ -561,7 +561,8 @@ def status_stream(spark, d):
     status_stream_job.prepare(spark, f"{folder}/steps")
     changes = fx.arriving(fx.status_log(spark, d), "changed_at", "change_id", fx.STATUS_DELAY, 4)
     # A micro-batch takes all files of a part, so every part has as many; each holds some ten thousand rows or more.
-    files = 1 + min((n for _, n in changes.groupBy("part").count().collect()), default=0) // EVENTS_A_FILE
+    counts = dict(changes.groupBy("part").agg(F.count("*")).collect())
+    files = 1 + min(counts.get(part, 0) for part in range(4)) // EVENTS_A_FILE
     for part in range(4):  # one write after another: files are taken in the order of their times
         changes.filter(F.col("part") == part).drop("part").repartition(files, "change_id").write.parquet(f"{folder}/changes/part={part}")
     arrivals = spark.readStream.schema(changes.drop("part").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/changes/part=*")

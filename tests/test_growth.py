@@ -7,9 +7,10 @@ from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from foliospark.functions import alignment
-from foliospark.operators import inference, payments
+from foliospark.operators import inference, payments, status
 from foliospark.operators import requests as rq
 from foliospark.plans import fixtures as fx
 from foliospark.plans import queries
@@ -143,3 +144,14 @@ def test_texts_that_no_one_needs_stay(spark):
     left = {r.n for r in rq.marked(rows, keys, "original_id").collect()}
     assert {n for n in range(20000) if n % 100 == 7} <= left and len(left) < 210
     assert rq.marked(rows, keys.limit(0), "original_id").count() == 0
+
+
+def test_a_part_of_the_status_stream_without_changes_is_a_micro_batch_too(spark, small, monkeypatch):
+    """Nothing arrives in the second quarter; parts then have one file each, and no change comes too late."""
+    monkeypatch.setattr(queries, "EVENTS_A_FILE", 50)
+    quiet = fx.status_log(spark, small).filter("changed_at < timestamp'2024-01-07' or changed_at > timestamp'2024-01-18'")
+    monkeypatch.setattr(fx, "status_log", lambda *a: quiet)
+    newest = quiet.agg(F.date_trunc("millisecond", F.max("changed_at"))).first()[0]
+    want = status.with_timeouts(quiet, fx.STATUS_TIMEOUT, newest - dt.timedelta(hours=12))
+    got = queries.QUERIES["status_stream"](spark, small)
+    assert sorted(got.collect(), key=str) == sorted(queries.portable(want).select(*got.columns).collect(), key=str)
