@@ -8,18 +8,34 @@ stages are tested against brute force.
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm import decontaminate, line_dedup, mixing, quality, simhash_dedup
-from foliospark.llm.common import stored
+from foliospark.llm.common import small_batches, stored
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage with texts that cross into Python a few MB at a time."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
 STAGES = [
-    ("quality classifier", quality.keep_good),
-    ("line dedup", line_dedup.keep_first_lines),
-    ("simhash near-dedup", simhash_dedup.keep_one_copy),
-    ("benchmark decontamination", decontaminate.keep_clean),
-    ("mixing to target weights", mixing.mix_sources),
+    ("quality classifier", in_small_batches(quality.keep_good)),
+    ("line dedup", in_small_batches(line_dedup.keep_first_lines)),
+    ("simhash near-dedup", in_small_batches(simhash_dedup.keep_one_copy)),
+    ("benchmark decontamination", in_small_batches(decontaminate.keep_clean)),
+    ("mixing to target weights", in_small_batches(mixing.mix_sources)),
 ]
 ORACLE_SQL = None
 
